@@ -1,0 +1,14 @@
+"""Catalog of registered queries."""
+
+import importlib
+
+MODULES = ["knowledge"]
+
+
+def load():
+    """(queries by name, SQL by name)."""
+    from .registry import QUERIES, SQL
+
+    for m in MODULES:
+        importlib.import_module(f"{__name__}.{m}")
+    return dict(QUERIES), dict(SQL)
