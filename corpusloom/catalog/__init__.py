@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["knowledge"]
+MODULES = ["knowledge", "content"]
 
 
 def load():
