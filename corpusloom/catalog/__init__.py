@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["knowledge", "content"]
+MODULES = ["knowledge", "content", "topics", "operations"]
 
 
 def load():

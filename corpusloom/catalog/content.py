@@ -58,7 +58,7 @@ def note_file_names(spark, sf):
     d = S.table(spark, sf, "documents")
     rows = d.select("doc_id", F.concat_ws("/", "lang", "source").alias("dir"),
                     F.concat(C("2024-05-01-"), F.floor(F.col("n_chars") / 100).cast("string")).alias("base"))
-    return tables.number_clashes(rows, "dir", "base", [F.col("doc_id").asc()]).select("doc_id", "file")
+    return tables.number_clashes(rows, "dir", "base", ["doc_id"]).select("doc_id", "file")
 
 
 @query("content_hashes", "SELECT doc_id, md5(text) AS md5, sha256(text) AS sha256 FROM documents")
@@ -66,15 +66,16 @@ def content_hashes(spark, sf):
     return S.table(spark, sf, "documents").select("doc_id", md5("text").alias("md5"), F.sha2(F.col("text").cast("binary"), 256).alias("sha256"))
 
 
-@query("table_to_text", r"""SELECT c_nationkey AS sheet, md5('## ' || c_nationkey || chr(10) || string_agg(
+@query("table_to_text", r"""SELECT c_nationkey AS sheet, c_custkey // 1000 AS part, md5('## ' || c_nationkey || chr(10) || string_agg(
     c_custkey || ' | ' || c_name || ' | ' || c_mktsegment, chr(10) ORDER BY c_custkey)) AS text_md5, count(*) AS n
-FROM customer GROUP BY 1""")
+FROM customer GROUP BY 1, 2""")
 def table_to_text(spark, sf):
-    """One sheet per nation, rows pipe-joined in key order."""
+    """One sheet per nation in parts of 1000 keys, rows pipe-joined in order."""
     c = S.table(spark, sf, "customer").select("c_custkey", "c_name", "c_mktsegment", "c_nationkey")
     lines = tables.row_text(c, ["c_custkey", "c_name", "c_mktsegment"]).filter("line IS NOT NULL")
-    out = tables.sheet_text(lines, "c_nationkey", "c_custkey")
-    return out.select(F.col("c_nationkey").alias("sheet"), md5("text").alias("text_md5"), "n")
+    lines = lines.withColumn("part", F.floor(F.col("c_custkey") / 1000))
+    out = tables.sheet_text(lines, ["c_nationkey", "part"], "c_custkey")
+    return out.select(F.col("c_nationkey").alias("sheet"), "part", md5("text").alias("text_md5"), "n")
 
 
 @query("table_lines", """SELECT o_orderkey, concat_ws(' | ', o_orderkey, o_custkey, o_orderstatus) AS line FROM orders""")
@@ -185,22 +186,23 @@ def note_render(spark, sf):
     return n.select("note_name", md5(page).alias("page_md5"))
 
 
-@query("index_render", """WITH s AS (SELECT conv_id, list('cat/c' || conv_id || '_' || turn ORDER BY turn) AS l, list(role ORDER BY turn) AS r, count(*) AS n
-  FROM conversations GROUP BY 1)
-SELECT conv_id, '---' || chr(10) || 'source: c' || conv_id || '.md' || chr(10) || 'date: 2024-05-01' || chr(10) || 'category: cat' || chr(10)
+@query("index_render", """WITH s AS (SELECT conv_id, turn // 500 AS part, list('cat/c' || conv_id || '_' || turn ORDER BY turn) AS l, list(role ORDER BY turn) AS r, count(*) AS n
+  FROM conversations GROUP BY 1, 2)
+SELECT conv_id, part, '---' || chr(10) || 'source: c' || conv_id || '.md' || chr(10) || 'date: 2024-05-01' || chr(10) || 'category: cat' || chr(10)
   || 'tags: []' || chr(10) || 'doc_type: index' || chr(10) || 'sections: ' || n || chr(10) || '---' || chr(10) || chr(10)
   || '# c' || conv_id || chr(10) || chr(10) || '## 目录' || chr(10) || chr(10)
   || array_to_string(list_transform(list_zip(l, r), lambda x: '- [[' || x[1] || '|' || regexp_extract(x[1], '[^/]*$') || ']] ' || x[2] || chr(10)), chr(10))
   || chr(10) || chr(10) || '---' || chr(10) || '> 自动生成于 t' || chr(10) AS page FROM s""")
 def index_render(spark, sf):
-    """Conversations as long documents, their turns as sections."""
+    """Conversations as long documents, their turns as sections, up to 500
+    links per index page."""
     c = S.table(spark, sf, "conversations")
     link = F.concat(C("cat/c"), F.col("conv_id").cast("string"), C("_"), F.col("turn").cast("string"))
-    links = c.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", link.alias("link"), F.col("role").alias("title")))).alias("links"))
+    links = c.groupBy("conv_id", F.floor(F.col("turn") / 500).alias("part")).agg(F.sort_array(F.collect_list(F.struct("turn", link.alias("link"), F.col("role").alias("title")))).alias("links"))
     src = F.concat(C("c"), F.col("conv_id").cast("string"), C(".md"))
     none = F.array().cast("array<string>")
     page = M.render_index(src, C("2024-05-01"), C("cat"), none, "links", C(""), C(None).cast("string"), C("t"))
-    return links.select("conv_id", page.alias("page"))
+    return links.select("conv_id", "part", page.alias("page"))
 
 
 @query("child_render", """SELECT conv_id, turn, md5('---' || chr(10) || 'source: c' || conv_id || '.md' || chr(10) || 'date: 2024-05-01' || chr(10) || 'category: cat' || chr(10)

@@ -43,3 +43,15 @@ def global_rank(df: DataFrame, order: list[str], out: str = "rn") -> DataFrame:
         .withColumn(out, F.col("_off") + F.col("_seq") + 1)
         .drop("_part", "_seq", "_off")
     )
+
+
+def group_rank(df: DataFrame, keys: list[str], order: list[str], out: str = "rn") -> DataFrame:
+    """1-based row number within each group, ascending ``order`` (unique in
+    the group). A global rank minus the group's first one: a group of any size
+    is spread over many partitions."""
+    ranked = global_rank(df, [*keys, *order], "_g")
+    first = ranked.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.min("_g").alias("_first"))
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return ranked.join(first, same).select(*df.columns, (F.col("_g") - F.col("_first") + 1).alias(out))

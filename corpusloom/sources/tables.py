@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.sections import ordered_text
+from ..plans.ranking import group_rank
 from ..session import scratch_path
 
 C = F.lit
@@ -19,22 +20,27 @@ def row_text(df: DataFrame, columns: list[str], sep: str = " | ") -> DataFrame:
     return df.withColumn("line", F.when(some, F.concat_ws(sep, *cells)))
 
 
-def sheet_text(lines: DataFrame, sheet: str, order: str) -> DataFrame:
+def sheet_text(lines: DataFrame, sheet: list[str], order: str) -> DataFrame:
     """sheet, text, n: the lines of a sheet under a ``## name`` header.
 
-    A sheet is one document, so it is one row; use row_text alone for tables
-    that are no documents.
+    ``sheet`` is a name column, and for tables that do not fit one text a part
+    column that keeps the rows per text small.
     """
-    return lines.groupBy(sheet).agg(ordered_text(order, F.col("line"), "\n").alias("text"), F.count("*").alias("n")).withColumn(
-        "text", F.concat(C("## "), F.col(sheet).cast("string"), C("\n"), "text"))
+    name = F.col(sheet[0]).cast("string")
+    return lines.groupBy(*sheet).agg(ordered_text(order, F.col("line"), "\n").alias("text"), F.count("*").alias("n")).withColumn(
+        "text", F.concat(C("## "), name, C("\n"), "text"))
 
 
-def number_clashes(rows: DataFrame, folder: str, base: str, order: list[Column], ext: str = ".md") -> DataFrame:
-    """Adds ``file``: dir/base.md, and _1, _2, … for later rows of one name."""
-    w = Window.partitionBy(folder, base).orderBy(*order)
-    n = F.row_number().over(w) - 1
+def number_clashes(rows: DataFrame, folder: str, base: str, order: list[str], ext: str = ".md") -> DataFrame:
+    """Adds ``file``: dir/base.md, and _1, _2, … for later rows of one name.
+
+    ``order`` is unique per row; a name shared by very many rows is numbered
+    over many tasks.
+    """
+    ranked = group_rank(rows, [folder, base], order, "_rn")
+    n = F.col("_rn") - 1
     name = F.concat(F.col(base), F.when(n > 0, F.concat(C("_"), n.cast("string"))).otherwise(""), C(ext))
-    return rows.withColumn("file", F.concat_ws("/", F.when(F.col(folder) != "", F.col(folder)), name))
+    return ranked.withColumn("file", F.concat_ws("/", F.when(F.col(folder) != "", F.col(folder)), name)).drop("_rn")
 
 
 def write_pages(pages: DataFrame, path: str | None = None) -> DataFrame:
