@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["knowledge", "content", "topics", "operations"]
+MODULES = ["knowledge", "content", "topics", "operations", "streams"]
 
 
 def load():

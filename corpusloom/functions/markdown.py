@@ -290,3 +290,19 @@ def render_child(source, date, category, tags, parent, original_path, title, sum
         F.concat(C(f"\n> {K.BACK_LABEL} [["), _col(parent), C("|"), leaf(parent), C("]]")),
         F.concat(C("\n" + footer), _col(made_at), C("\n")),
     )
+
+
+def render_failure(path, error, date) -> Column:
+    """Page that records a failed file."""
+    values = {"name": F.substring_index(_col(path), "/", -1), "path": _col(path), "error": _col(error), "date": _col(date)}
+    parts, rest = [], K.FAILED_PAGE
+    while "{" in rest:
+        before, _, rest = rest.partition("{")
+        name, _, rest = rest.partition("}")
+        parts += [C(before), values[name]]
+    return F.concat(*parts, C(rest))
+
+
+def failure_name(path, stamp) -> Column:
+    """FAIL_<safe stem>_<stamp>.md in the failed folder."""
+    return F.concat(C(f"{K.FAILED_FOLDER}/FAIL_"), F.replace(stem(path), C(" "), C("_")), C("_"), _col(stamp), C(".md"))

@@ -95,17 +95,17 @@ def cooldown_seconds(limit: int = K.STREAK_LIMIT, rules: dict = K.COOLDOWN) -> C
     return out
 
 
-def failure_streaks(calls: DataFrame, piece_seconds: int = 86400) -> DataFrame:
+def failure_streaks(calls: DataFrame, piece_seconds: int = 86400, initial: DataFrame | None = None) -> DataFrame:
     """Each call with its running 429 and 5xx streaks and the resulting rest.
 
     A success resets both streaks, other errors leave them. calls: provider,
     ts, seq, outcome. Long histories are scanned in pieces of
-    ``piece_seconds``.
+    ``piece_seconds``; ``initial`` holds streaks from earlier calls.
     """
     kinds = {k: F.col("outcome") == k for k in K.COOLDOWN}
     piece = F.floor(F.unix_timestamp("ts") / piece_seconds)
     rows = calls.select("provider", "ts", "seq", "outcome")
-    out = running_streaks(rows, "provider", ["ts", "seq"], piece, F.col("outcome") == "ok", kinds)
+    out = running_streaks(rows, "provider", ["ts", "seq"], piece, F.col("outcome") == "ok", kinds, initial)
     return out.withColumn("cooldown", cooldown_seconds())
 
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 
 def running_streaks(
-    df: DataFrame, key: str, order: list[str], bucket: Column, reset: Column, counted: dict[str, Column]
+    df: DataFrame, key: str, order: list[str], bucket: Column, reset: Column, counted: dict[str, Column],
+    initial: DataFrame | None = None,
 ) -> DataFrame:
     """For each row, how many ``counted`` rows came since the last ``reset``.
 
@@ -32,6 +33,11 @@ def running_streaks(
     piece = rows.groupBy(key, "_b").agg(
         F.max("_isl").alias("_resets"), *[F.max_by(f"_s_{n}", at_end).alias(f"_t_{n}") for n in names]
     )
+    if initial is not None:
+        before = initial.select(
+            key, F.lit(-(1 << 62)).alias("_b"), F.lit(0).cast("bigint").alias("_resets"),
+            *[F.col(n).alias(f"_t_{n}") for n in names])
+        piece = piece.unionByName(before)
     wp = Window.partitionBy(key).orderBy("_b")
     piece = piece.withColumn("_pi", F.sum((F.col("_resets") > 0).cast("int")).over(wp))
     wpi = Window.partitionBy(key, "_pi").orderBy("_b")

@@ -93,7 +93,10 @@ def web_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as a call log: provider, order, outcome, latency, tokens."""
-    e = table(spark, sf_dir, "events")
+    return as_calls(table(spark, sf_dir, "events"))
+
+
+def as_calls(e: DataFrame) -> DataFrame:
     outcome = (
         F.when(F.col("event_type") == "error", "rate_limit")
         .when(F.col("event_type") == "signup", "server_error")
