@@ -51,17 +51,19 @@ def repair_plan(pages: DataFrame, files: DataFrame, prefix: str = "source/") ->
 
 def apply_repair(pages: DataFrame, plan: DataFrame) -> DataFrame:
     """Pages with corrected category line and rel_path."""
-    todo = plan.filter("action <> 'skip'").select("rel_path", "old_category", "category", "fix_category", "fix_dir")
+    todo = plan.filter("action <> 'skip'").select(
+        "rel_path", F.col("old_category").alias("_old"), F.col("category").alias("_cat"),
+        F.col("fix_category").alias("_fix"), F.col("fix_dir").alias("_move"))
     j = pages.join(todo, "rel_path", "left")
-    old = F.concat(F.lit("category: "), "old_category")
+    old = F.concat(F.lit("category: "), "_old")
     at = F.instr(F.col("content"), old)
     fixed = F.concat(
-        F.substr("content", F.lit(1), at - 1), F.lit("category: "), F.col("category"),
+        F.substr("content", F.lit(1), at - 1), F.lit("category: "), F.col("_cat"),
         F.substr("content", at + F.length(old)))
-    target = F.concat_ws("/", F.when(F.col("category") != "", F.col("category")), P.basename("rel_path"))
+    target = F.concat_ws("/", F.when(F.col("_cat") != "", F.col("_cat")), P.basename("rel_path"))
     return j.withColumn(
-        "content", F.when(F.col("fix_category") & (at > 0), fixed).otherwise(F.col("content"))
-    ).withColumn("rel_path", F.when(F.col("fix_dir"), target).otherwise(F.col("rel_path"))).select(*pages.columns)
+        "content", F.when(F.col("_fix") & (at > 0), fixed).otherwise(F.col("content"))
+    ).withColumn("rel_path", F.when(F.col("_move"), target).otherwise(F.col("rel_path"))).select(*pages.columns)
 
 
 def page_origins(pages: DataFrame, max_chars: int | None = None) -> DataFrame:

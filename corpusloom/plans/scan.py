@@ -17,7 +17,8 @@ def running_streaks(
     are scanned apart; a piece is summed up as one row (had a reset, counts
     since its last reset), the pieces are scanned, and each row before the
     first reset of its piece adds what is carried in. A key with a third of
-    all rows thus spreads over its pieces.
+    all rows thus spreads over its pieces. ``initial`` (key and the counted
+    names) is what each key carries in from before.
     """
     names = list(counted)
     rows = df.withColumn("_b", bucket).withColumn("_r", reset.cast("int"))

@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .. import constants as K
 from ..functions import paths as P
@@ -94,7 +95,7 @@ def xml_text(raw: bytes) -> str:
         return ""
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def decode_any(content: pd.Series) -> pd.Series:
     return content.map(lambda b: decode_bytes(bytes(b)))
 
