@@ -21,7 +21,7 @@ def files(spark, sf):
     return d.select(
         F.concat_ws("/", "lang", "source", F.col("doc_id").cast("string")).alias("path"),
         F.md5(F.col("text").cast("binary")).alias("md5"),
-        F.timestamp_seconds("doc_id").alias("ts"), F.concat_ws("/", "lang", "source").alias("category"))
+        F.timestamp_seconds(F.col("doc_id") + 1_700_000_000).alias("ts"), F.concat_ws("/", "lang", "source").alias("category"))
 
 
 @query("stream_ingest", """SELECT md5(text) AS md5, min(lang || '/' || source || '/' || doc_id) AS path, 'success' AS status FROM documents GROUP BY 1""")

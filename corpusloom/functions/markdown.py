@@ -170,13 +170,19 @@ def related_block(targets, heading: str = K.RELATED_HEADING) -> Column:
     return F.concat(C(f"\n{heading}\n"), F.array_join(lines, ""))
 
 
-def put_related(content, targets, heading: str = K.RELATED_HEADING, footer: str = K.FOOTER_PREFIX) -> Column:
+def put_related(content, targets, heading: str = K.RELATED_HEADING, footer: str = K.FOOTER_PREFIX,
+                keep_footer: bool = False) -> Column:
     """Replace the related-pages section, else insert it before the footer,
-    else append it."""
+    else append it.
+
+    A section that is replaced reaches to the next heading or the end of the
+    page, which takes a footer below it along; ``keep_footer`` stops there.
+    """
     c = _col(content)
     block = related_block(targets, heading)
-    section = rf"\n{heading}\n[\s\S]*?(?=\n##|\z)"
     foot = "\n" + footer
+    stop = rf"\n##|{foot}|\z" if keep_footer else r"\n##|\z"
+    section = rf"\n{heading}\n[\s\S]*?(?={stop})"
     return (
         F.when(F.size(_col(targets)) == 0, c)
         .when(c.rlike(section), F.regexp_replace(c, C(section), quoted(block)))

@@ -61,16 +61,16 @@ def relative_to(path, root) -> Column:
 def _escapes(rel: Column) -> Column:
     """True when `..` steps leave the folder the path starts in."""
     steps = F.filter(F.split(rel, "/"), lambda s: (s != "") & (s != "."))
-    depth = F.aggregate(
+    lowest = F.aggregate(
         steps,
         F.struct(C(0).alias("d"), C(0).alias("low")),
         lambda acc, s: F.struct(
             (acc["d"] + F.when(s == "..", -1).otherwise(1)).alias("d"),
             F.least(acc["low"], acc["d"] + F.when(s == "..", -1).otherwise(1)).alias("low"),
         ),
-        lambda acc: acc["d"],
+        lambda acc: acc["low"],
     )
-    return depth < 0
+    return lowest < 0
 
 
 def source_category(rel_path, external: str = K.EXTERNAL_BUCKET) -> Column:

@@ -95,7 +95,7 @@ def cooldown_seconds(limit: int = K.STREAK_LIMIT, rules: dict = K.COOLDOWN) -> C
     return out
 
 
-def failure_streaks(calls: DataFrame, piece_seconds: int = 86400, initial: DataFrame | None = None) -> DataFrame:
+def failure_streaks(calls: DataFrame, piece_seconds: int = 3600, initial: DataFrame | None = None) -> DataFrame:
     """Each call with its running 429 and 5xx streaks and the resulting rest.
 
     A success resets both streaks, other errors leave them. calls: provider,

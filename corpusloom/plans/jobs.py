@@ -36,7 +36,7 @@ def crosslink_pages(pages: DataFrame, k: int = K.MAX_LINKS, min_score: float = K
         F.transform(F.sort_array(F.collect_list(F.struct("rank", "target"))), lambda s: s["target"]).alias("_targets"))
     j = pages.join(per, "note_name", "left")
     child = F.contains(M.front_block("content"), C("parent:"))
-    text = F.when(F.col("_targets").isNull() | child, F.col("content")).otherwise(M.put_related("content", "_targets"))
+    text = F.when(F.col("_targets").isNull() | child, F.col("content")).otherwise(M.put_related("content", "_targets", keep_footer=True))
     return j.withColumn("_new", text).withColumn("changed", F.col("_new") != F.col("content")).withColumn(
         "content", F.col("_new")).select(*pages.columns, "changed")
 
