@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import markdown as M
+from ..plans.joins import attach
+from ..session import settle
 from .links import remove_links
 
 
@@ -49,10 +51,9 @@ def cascade_plan(sources: DataFrame, deleted: DataFrame) -> DataFrame:
 def cascade_delete(pages: DataFrame, deleted: DataFrame, squeeze_all: bool = True) -> tuple[DataFrame, DataFrame]:
     """(plan, pages afterwards): pages without sources go, the others lose the
     deleted sources and the links to removed pages."""
-    plan = cascade_plan(page_sources(pages), deleted)
-    kept = pages.join(plan.filter("action = 'delete'").select("note_name"), "note_name", "left_anti")
-    fixed = kept.join(plan.filter("action = 'update'").select("note_name", "remaining"), "note_name", "left")
-    fixed = fixed.withColumn(
+    plan = settle(cascade_plan(page_sources(pages), deleted))
+    marked = attach(pages, plan.filter("action <> 'keep'"), "note_name")
+    fixed = marked.filter("action IS NULL OR action <> 'delete'").withColumn(
         "content",
         F.when(F.col("remaining").isNotNull(), M.rewrite_list("content", "sources", "remaining", "'"))
         .otherwise(F.col("content")),

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -15,6 +14,7 @@ from ..functions import markdown as M
 from ..functions import paths as P
 from ..plans import blocks
 from ..plans.components import components
+from ..plans.joins import attach
 from ..plans.ranking import top_k
 from .links import rewrite_links
 
@@ -22,8 +22,22 @@ PAIR_SCHEMA = ("page_key string, title_a string, title_b string, first_a string,
                "n_a bigint, n_b bigint, similarity double, reverse double")
 
 
-def ratio(a: str, b: str) -> float:
-    return SequenceMatcher(None, a.lower(), b.lower()).ratio()
+def common_lengths(a: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Longest common subsequence of one text (at most 64 letters) with each
+    row of ``table``; letters are codes from 1, rows are padded with 0.
+
+    Bit-parallel over the letters of ``a``, vectorised over the rows.
+    """
+    mask = np.zeros(max(int(table.max(initial=0)), int(a.max(initial=0))) + 1, dtype=np.uint64)
+    for i, c in enumerate(a):
+        mask[c] |= np.uint64(1) << np.uint64(i)
+    mask[0] = 0
+    v = np.full(len(table), ~np.uint64(0))
+    for p in range(table.shape[1]):
+        u = v & mask[table[:, p]]
+        v = (v + u) | (v - u)
+    low = ~np.uint64(0) if len(a) == 64 else (np.uint64(1) << np.uint64(len(a))) - np.uint64(1)
+    return np.bitwise_count(~v & low).astype(np.int64)
 
 
 def title_groups(pages: DataFrame) -> DataFrame:
@@ -38,8 +52,12 @@ def title_groups(pages: DataFrame) -> DataFrame:
 
 
 def _cell_pairs(threshold: float):
-    """Passing title pairs of a cell; bounds on length and letter counts rule
-    out most pairs before the exact ratio is taken."""
+    """Passing title pairs of a cell.
+
+    The ratio counts letters of a common subsequence, so lengths and the
+    longest common subsequence bound it and rule out nearly all pairs before
+    the exact ratio is taken.
+    """
 
     def pairs(t: pa.Table) -> pa.RecordBatch | None:
         d = t.to_pydict()
@@ -48,25 +66,25 @@ def _cell_pairs(threshold: float):
         lo, hi = d["_lo"][0], d["_hi"][0]
         low = [d["title"][i].lower() for i in order]
         size = np.array([len(s) for s in low])
-        letters = {c: i for i, c in enumerate(sorted(set("".join(low))))}
-        bag = np.zeros((len(low), len(letters)), dtype=np.int32)
+        letters = {c: i for i, c in enumerate(sorted(set("".join(low))), 1)}
+        table = np.zeros((len(low), int(size.max())), dtype=np.int32)
         for i, s in enumerate(low):
-            for c, n in Counter(s).items():
-                bag[i, letters[c]] = n
+            table[i, : len(s)] = [letters[c] for c in s]
         out = []
         for i in range(len(low) - 1):
             rest = np.arange(i + 1, len(low))
             if lo != hi:
                 rest = rest[block[rest] != block[i]]
-            total = size[i] + size[rest]
-            rest = rest[2 * np.minimum(size[i], size[rest]) >= threshold * total - 1e-9]
-            if len(rest) == 0:
-                continue
-            common = np.minimum(bag[i], bag[rest]).sum(axis=1)
-            rest = rest[2 * common >= threshold * (size[i] + size[rest]) - 1e-9]
+            rest = rest[2 * np.minimum(size[i], size[rest]) >= threshold * (size[i] + size[rest]) - 1e-9]
+            if len(rest) and size[i] <= 64:
+                common = common_lengths(table[i, : size[i]], table[rest, : size[rest].max()])
+                rest = rest[2 * common >= threshold * (size[i] + size[rest]) - 1e-9]
             for j in rest:
                 a, b = order[i], order[j]
-                sim = SequenceMatcher(None, low[i], low[j]).ratio()
+                one = SequenceMatcher(None, low[i], low[j])
+                if one.quick_ratio() < threshold - 1e-9:
+                    continue
+                sim = one.ratio()
                 rev = SequenceMatcher(None, low[j], low[i]).ratio() if d["first"][b] < d["last"][a] else None
                 if sim >= threshold or (rev is not None and rev >= threshold):
                     out.append((d["page_key"][a], d["title"][a], d["title"][b], d["first"][a], d["first"][b],
@@ -145,7 +163,7 @@ def merge_duplicates(pages: DataFrame, dup_map: DataFrame, note_names: int = 500
     count = gone.groupBy("canonical").agg(F.count("*").alias("_count"))
     add = count.join(listed, "canonical").join(union_of("sources"), "canonical", "left").join(
         union_of("tags"), "canonical", "left").withColumnRenamed("canonical", "page_path")
-    kept = pages.join(gone.select("page_path"), "page_path", "left_anti").join(add, "page_path", "left")
+    kept = attach(attach(pages, gone.select("page_path"), "page_path", "left_anti"), add, "page_path")
     text = F.col("content")
     for c in ("sources", "tags"):
         has = (F.coalesce(F.size("_" + c), F.lit(0)) > 0) & F.contains(M.front_block("content"), F.lit(c + ":"))

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import markdown as M
 from ..functions import paths as P
-from ..plans.ranking import latest, top_k
+from ..plans.joins import attach
+from ..plans.ranking import top_k
+from ..session import settle
 
 PIECES = r"(?=\[\[)|(?<=\]\])"
 LINK = r"^\[\[([^\]|]+)(\|[^\]]+)?\]\]$"
@@ -59,10 +61,13 @@ def no_outlinks(pages: DataFrame, links: DataFrame, exempt: str = "MOC_") -> Dat
 def lint(pages: DataFrame, match_on: str = "stem", orphan_max: int = 1, max_chars: int | None = None) -> DataFrame:
     """type, severity, note_name, n, related of all findings.
 
-    Of pages with the same stem the last path counts, for all checks.
+    Of pages with the same stem the last path counts, for all checks. Texts
+    are scanned once and never shuffled; the checks read the link table.
     """
-    one = latest(pages.select("note_name", "path", "content"), ["note_name"], [F.col("path").desc()])
-    links = extract_links(one, max_chars=max_chars)
+    one = pages.groupBy("note_name").agg(F.max("path").alias("path"))
+    found = extract_links(pages.withColumn("_who", F.struct("note_name", "path")), "_who", max_chars)
+    found = found.select(F.col("src.note_name").alias("note_name"), F.col("src.path").alias("path"), "pos", "target")
+    links = settle(found.join(one, ["note_name", "path"], "left_semi").select(F.col("note_name").alias("src"), "pos", "target"))
     head = lambda kind, sev: [F.lit(kind).alias("type"), F.lit(sev).alias("severity"), "note_name"]
     none = F.array().cast("array<string>").alias("related")
     return (
@@ -108,7 +113,7 @@ def rewrite_links(pages: DataFrame, rename_map: DataFrame) -> DataFrame:
     text = F.when(
         F.col("_map").isNotNull(), F.array_join(F.transform(_pieces("content"), swap), "")
     ).otherwise(F.col("content"))
-    return _swap_content(pages.join(per_page, "note_name", "left"), text, pages.columns)
+    return _swap_content(attach(pages, per_page, "note_name"), text, pages.columns)
 
 
 def remove_links(pages: DataFrame, removed: DataFrame, squeeze_all: bool = True) -> DataFrame:
@@ -129,7 +134,7 @@ def remove_links(pages: DataFrame, removed: DataFrame, squeeze_all: bool = True)
     text = F.when(has, F.array_join(F.transform(_pieces("content"), cut), "")).otherwise(F.col("content"))
     squeezed = F.regexp_replace(text, r"\n{3,}", "\n\n")
     text = squeezed if squeeze_all else F.when(has, squeezed).otherwise(text)
-    return _swap_content(pages.join(per_page, "note_name", "left"), text, pages.columns)
+    return _swap_content(attach(pages, per_page, "note_name"), text, pages.columns)
 
 
 def _swap_content(df: DataFrame, text: Column, columns: list[str]) -> DataFrame:

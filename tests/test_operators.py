@@ -96,6 +96,21 @@ def test_duplicate_titles_stand_for_all_page_pairs(spark, block):
     assert got == brute_pairs(pages, 0.7)
 
 
+def test_common_lengths():
+    r = random.Random(9)
+    for _ in range(50):
+        a = [r.randint(1, 4) for _ in range(r.choice([1, 5, 63, 64]))]
+        b = [r.randint(1, 4) for _ in range(r.randint(1, 70))]
+        row = [0] * (len(b) + 1)
+        for x in a:
+            prev = 0
+            for j, y in enumerate(b, 1):
+                prev, row[j] = row[j], prev + 1 if x == y else max(row[j], row[j - 1])
+        table = np.zeros((2, 80), dtype=np.int32)
+        table[0, : len(b)] = b
+        assert list(duplicates.common_lengths(np.array(a), table)) == [row[-1], 0]
+
+
 def test_duplicate_map_joins_chains(spark):
     pages = random_pages(6, 30)
     df = spark.createDataFrame(pages, "page_path string, page_key string, title string")
