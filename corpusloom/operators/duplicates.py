@@ -20,6 +20,7 @@ from .links import rewrite_links
 
 PAIR_SCHEMA = ("page_key string, title_a string, title_b string, first_a string, first_b string, "
                "n_a bigint, n_b bigint, similarity double, reverse double")
+PAIR_NAMES = [c.strip().split(" ")[0] for c in PAIR_SCHEMA.split(",")]
 
 
 def common_lengths(a: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -59,41 +60,50 @@ def _cell_pairs(threshold: float):
     the exact ratio is taken.
     """
 
-    def pairs(t: pa.Table) -> pa.RecordBatch | None:
-        d = t.to_pydict()
-        order = np.argsort(np.array(d["first"], dtype=object))
-        block = np.array(d["_block"])[order]
-        lo, hi = d["_lo"][0], d["_hi"][0]
-        low = [d["title"][i].lower() for i in order]
+    def near(title, first, last, block, split):
+        """(i, j, ratio, ratio the other way) of the pairs of one cell."""
+        low = [s.lower() for s in title]
         size = np.array([len(s) for s in low])
-        letters = {c: i for i, c in enumerate(sorted(set("".join(low))), 1)}
-        table = np.zeros((len(low), int(size.max())), dtype=np.int32)
-        for i, s in enumerate(low):
-            table[i, : len(s)] = [letters[c] for c in s]
-        out = []
-        for i in range(len(low) - 1):
-            rest = np.arange(i + 1, len(low))
-            if lo != hi:
-                rest = rest[block[rest] != block[i]]
-            rest = rest[2 * np.minimum(size[i], size[rest]) >= threshold * (size[i] + size[rest]) - 1e-9]
-            if len(rest) and size[i] <= 64:
-                common = common_lengths(table[i, : size[i]], table[rest, : size[rest].max()])
-                rest = rest[2 * common >= threshold * (size[i] + size[rest]) - 1e-9]
-            for j in rest:
-                a, b = order[i], order[j]
-                one = SequenceMatcher(None, low[i], low[j])
-                if one.quick_ratio() < threshold - 1e-9:
-                    continue
-                sim = one.ratio()
-                rev = SequenceMatcher(None, low[j], low[i]).ratio() if d["first"][b] < d["last"][a] else None
+        many = len(low) > 16
+        if many:
+            letters = {c: i for i, c in enumerate(sorted(set("".join(low))), 1)}
+            table = np.zeros((len(low), int(size.max())), dtype=np.int32)
+            for i, s in enumerate(low):
+                table[i, : len(s)] = [letters[c] for c in s]
+        match = SequenceMatcher(None)
+        for j in range(1, len(low)):
+            rest = np.arange(j)
+            if split:
+                rest = rest[block[:j] != block[j]]
+            rest = rest[2 * np.minimum(size[j], size[rest]) >= threshold * (size[j] + size[rest]) - 1e-9]
+            if many and len(rest) and size[j] <= 64:
+                common = common_lengths(table[j, : size[j]], table[rest, : size[rest].max()])
+                rest = rest[2 * common >= threshold * (size[j] + size[rest]) - 1e-9]
+            if len(rest):
+                match.set_seq2(low[j])
+            for i in rest.tolist():
+                match.set_seq1(low[i])
+                sim = match.ratio()
+                rev = SequenceMatcher(None, low[j], low[i]).ratio() if first[j] < last[i] else None
                 if sim >= threshold or (rev is not None and rev >= threshold):
-                    out.append((d["page_key"][a], d["title"][a], d["title"][b], d["first"][a], d["first"][b],
-                                d["n"][a], d["n"][b], sim, rev))
+                    yield i, j, sim, rev
+
+    def pairs(t: pa.Table) -> pa.RecordBatch | None:
+        names = ["page_key", "_lo", "_hi", "first"]
+        d = t.sort_by([(c, "ascending") for c in names]).to_pydict()
+        cell = list(zip(d["page_key"], d["_lo"], d["_hi"]))
+        cuts = [0, *[i for i in range(1, len(cell)) if cell[i] != cell[i - 1]], len(cell)]
+        out = []
+        for lo, hi in zip(cuts, cuts[1:]):
+            part = {c: d[c][lo:hi] for c in ("title", "first", "last", "n")}
+            split = cell[lo][1] != cell[lo][2]
+            for i, j, sim, rev in near(part["title"], part["first"], part["last"], np.array(d["_block"][lo:hi]), split):
+                out.append((cell[lo][0], part["title"][i], part["title"][j], part["first"][i], part["first"][j],
+                            part["n"][i], part["n"][j], sim, rev))
         if not out:
             return None
-        names = [c.strip().split(" ")[0] for c in PAIR_SCHEMA.split(",")]
         types = [pa.string()] * 5 + [pa.int64()] * 2 + [pa.float64()] * 2
-        return pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(zip(*out), types)], names)
+        return pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(zip(*out), types)], PAIR_NAMES)
 
     return pairs
 
@@ -123,7 +133,7 @@ def duplicate_titles(pages: DataFrame, threshold: float = K.TITLE_SIMILARITY, bl
         pick(F.col("n"), F.col("n0")).alias("n_a"), pick(F.col("n0"), F.col("n")).alias("n_b"),
         F.lit(1.0).alias("similarity"), back.alias("reverse"))
     sized = other.join(blocks.group_sizes(other, ["page_key"], block_rows), "page_key")
-    fuzzy = blocks.run_cells(blocks.into_cells(sized, "first"), ["page_key"], _cell_pairs(threshold), PAIR_SCHEMA)
+    fuzzy = blocks.run_cells(blocks.into_cells(sized, "first"), ["page_key"], _cell_pairs(threshold), PAIR_SCHEMA, pack_rows=4096)
     return same.unionByName(blanks).unionByName(fuzzy)
 
 

@@ -18,11 +18,16 @@ def _scorer(k: int, min_score: float):
     """Top-k members of a cell for each of its query rows, by score and name.
 
     Rows with ``role`` 2 are query and member at once, 0 only query, 1 only
-    member.
+    member. Scores are those of the whole profiles, so small cells may be
+    handed over together; a profile that is in several counts once.
     """
 
     def score_cell(t: pa.Table) -> pa.RecordBatch | None:
         role = t.column("role").to_numpy()
+        if len(role) and role[0] == 2:
+            _, first = np.unique(t.column("pid").to_numpy(), return_index=True)
+            t = t.take(pa.array(np.sort(first)))
+            role = t.column("role").to_numpy()
         left, right = np.flatnonzero(role != 1), np.flatnonzero(role != 0)
         if len(left) == 0 or len(right) == 0:
             return None
@@ -191,7 +196,7 @@ def related_docs(
         .select("*", F.lit(2).alias("role"), F.lit(0).alias("_lo"), F.lit(0).alias("_hi"))
     )
     scored = settle(
-        blocks.run_cells(cool, ["meet"], _scorer(k, min_score), SCORED).dropDuplicates(["pid", "other_pid"]))
+        blocks.run_cells(cool, ["meet"], _scorer(k, min_score), SCORED, pack_rows=128).dropDuplicates(["pid", "other_pid"]))
     hot = sizes.filter("_blocks > 1").select("meet")
     if not hot.isEmpty():
         scored = scored.unionByName(

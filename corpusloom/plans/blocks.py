@@ -48,43 +48,61 @@ def task_count(df: DataFrame) -> int:
 
 
 def run_cells(
-    rows: DataFrame, key: list[str], fn: Callable[[pa.Table], pa.RecordBatch | None], schema: str
+    rows: DataFrame, key: list[str], fn: Callable[[pa.Table], pa.RecordBatch | None], schema: str, pack_rows: int = 0
 ) -> DataFrame:
     """Apply ``fn`` to the rows of each cell, streaming cell by cell.
 
-    Memory per task is one Arrow batch plus one cell.
+    ``pack_rows`` lets one call take several whole cells of up to that many
+    rows together, for a function that tells them apart by their key or may
+    compare across them. Memory per task is one Arrow batch plus one cell.
     """
     cell = [*key, "_lo", "_hi"]
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.Table] = []
+        whole: list[pa.Table] = []  # complete cells that wait for a call
+        current: list[pa.Table] = []  # the cell that may go on in the next batch
         last = None
+
+        def rows_in(tables):
+            return sum(x.num_rows for x in tables)
+
+        def call(tables):
+            out = fn(pa.concat_tables(tables)) if tables else None
+            return [] if out is None else [out]
+
         for batch in batches:
-            if batch.num_rows == 0:
+            n = batch.num_rows
+            if n == 0:
                 continue
             t = pa.Table.from_batches([batch])
-            change = np.zeros(t.num_rows, dtype=bool)
+            change = np.zeros(n, dtype=bool)
             for c in cell:
                 col = t.column(c).combine_chunks()
-                if t.num_rows > 1:
+                if n > 1:
                     change[1:] |= pc.not_equal(col[1:], col[:-1]).to_numpy(zero_copy_only=False)
-            first = tuple(t.column(c)[0].as_py() for c in cell)
-            change[0] = last is not None and first != last
-            cuts = np.flatnonzero(change)
-            at = 0
-            for cut in cuts:
-                if cut > at:
-                    held.append(t.slice(at, cut - at))
-                out = fn(pa.concat_tables(held))
-                if out is not None:
-                    yield out
-                held, at = [], int(cut)
-            held.append(t.slice(at))
-            last = tuple(t.column(c)[t.num_rows - 1].as_py() for c in cell)
-        if held:
-            out = fn(pa.concat_tables(held))
-            if out is not None:
-                yield out
+            change[0] = last is None or tuple(t.column(c)[0].as_py() for c in cell) != last
+            last = tuple(t.column(c)[n - 1].as_py() for c in cell)
+            starts = np.flatnonzero(change)
+            if len(starts) == 0:
+                current.append(t)
+                continue
+            if starts[0] > 0:
+                current.append(t.slice(0, int(starts[0])))
+            if rows_in(whole) + rows_in(current) > pack_rows:
+                yield from call(whole)
+                whole = []
+            whole += current
+            begin, waiting = int(starts[0]), rows_in(whole)
+            for s, e in zip(starts[:-1].tolist(), starts[1:].tolist()):
+                if waiting + (s - begin) and waiting + (e - begin) > pack_rows:
+                    yield from call([*whole, t.slice(begin, s - begin)])
+                    whole, waiting, begin = [], 0, s
+            whole.append(t.slice(begin, int(starts[-1]) - begin))
+            current = [t.slice(int(starts[-1]))]
+        if rows_in(whole) + rows_in(current) > pack_rows:
+            yield from call(whole)
+            whole = []
+        yield from call([*whole, *current])
 
     spread = rows.repartition(task_count(rows), *cell).sortWithinPartitions(*cell)
     return spread.mapInArrow(step, schema)
