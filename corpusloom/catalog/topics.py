@@ -4,7 +4,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vectors as V
-from ..operators import classify, duplicates, topics
+from ..operators import classify, duplicates, incremental, topics
+from ..plans.ranking import global_rank
+from ..session import settle
 from ..sources import corpus as S
 from .registry import NOTES, WEB, query
 
@@ -123,9 +125,7 @@ def topic_centroid_move(spark, sf):
 def vector_upsert(spark, sf):
     """One vector per document: the table is stored, then stored again."""
     v = vecs(spark, sf).select("vec_id", "embedding")
-    from ..operators.incremental import replace_rows
-
-    out = replace_rows(v, v, ["vec_id"])
+    out = incremental.replace_rows(v, v, ["vec_id"])
     n = out.agg(F.count("*")).scalar()
     return out.select("vec_id", n.alias("total"), F.size("embedding").cast("bigint").alias("dims"))
 
@@ -144,9 +144,7 @@ rk AS (SELECT doc_id, topic_id, got / total AS score, row_number() OVER (PARTITI
 def topic_words(spark, sf):
     """(docs, topic_keywords): a topic per category, its words weighted by how
     many of its documents carry them."""
-    from ..plans.ranking import global_rank
-
-    n = S.notes(spark, sf).select("doc_id", "category", C("all").alias("level1"), F.col("tags").alias("keywords"))
+    n = settle(S.notes(spark, sf).select("doc_id", "category", C("all").alias("level1"), F.col("tags").alias("keywords")))
     tid = global_rank(n.select("category").distinct(), ["category"], "topic_id")
     words = n.select("category", F.explode("keywords").alias("keyword")).join(tid, "category")
     tk = words.groupBy("topic_id", "keyword").agg(F.count("*").alias("weight")).withColumn("level1", C("all"))
@@ -169,13 +167,10 @@ def topic_keyword_assign(spark, sf):
 SELECT topic_id, keyword, weight FROM n""")
 def keyword_upsert(spark, sf):
     """The last weight set for (topic, keyword) holds."""
-    from ..operators.incremental import upsert_latest
-    from ..plans.ranking import global_rank
-
-    n = S.notes(spark, sf).select("doc_id", "category", "tags")
+    n = settle(S.notes(spark, sf).select("doc_id", "category", "tags"))
     tid = global_rank(n.select("category").distinct(), ["category"], "topic_id")
     sets = n.join(tid, "category").select("topic_id", F.explode("tags").alias("keyword"), F.col("doc_id").alias("weight"))
-    return upsert_latest(sets.limit(0), sets, ["topic_id", "keyword"], [F.col("weight").desc()])
+    return incremental.upsert_latest(sets.limit(0), sets, ["topic_id", "keyword"], [F.col("weight").desc()])
 
 
 @query("topic_insert", """WITH known AS (SELECT DISTINCT source AS name, lang AS level1 FROM documents JOIN labels USING (doc_id) WHERE toxic = 1)
@@ -196,8 +191,6 @@ m AS (SELECT a.topic_id, a.doc_id, 1.0::DOUBLE AS score FROM a JOIN labels USING
 
 
 def membership(spark, sf):
-    from ..plans.ranking import global_rank
-
     d = S.table(spark, sf, "documents")
     tid = global_rank(d.select("lang").distinct(), ["lang"], "topic_id")
     a = d.join(tid, "lang").select("topic_id", "doc_id", F.col("n_chars").cast("double").alias("score"))

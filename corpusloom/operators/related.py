@@ -173,12 +173,10 @@ def related_docs(
         F.sort_array(F.array_distinct(F.coalesce("tags", F.array().cast("array<string>")))).alias("tags"),
         F.coalesce(T.nonblank("category"), F.lit(K.DEFAULT_CATEGORY)).alias("category"),
         F.sort_array(F.array_distinct(words)).alias("words"),
-    ).withColumn(
-        "pid",
-        F.md5(F.concat_ws(
-            "\x01", F.array_join("tags", "\x02"), "category", F.array_join(F.col("words").cast("array<string>"), "\x02")
-        ).cast("binary")),
     )
+    # 128 bits from two independently seeded hashes name a profile
+    half = lambda seed: F.hex(F.xxhash64(F.lit(seed), "tags", "category", "words"))
+    base = base.withColumn("pid", F.concat_ws("-", half("a"), half("b")))
     base = settle(base)  # text is tokenised once; what follows reads hashes and ids
     names = settle(top_k(base.select("pid", "note_name"), ["pid"], [F.col("note_name").asc()], k + 1, "nth"))
     heads = names.filter("nth = 1").select("pid", "note_name")

@@ -67,7 +67,7 @@ def run_cells(
             return sum(x.num_rows for x in tables)
 
         def call(tables):
-            out = fn(pa.concat_tables(tables)) if tables else None
+            out = fn(pa.concat_tables(tables)) if rows_in(tables) else None
             return [] if out is None else [out]
 
         for batch in batches:
