@@ -464,3 +464,33 @@ def note_sink(spark, sf):
     return back.groupBy("category").agg(F.count("*").alias("n"), F.sum(F.length("content")).alias("n_chars"))
 
 
+
+
+@query("has_content", """WITH t AS (SELECT conv_id, string_agg(text, '' ORDER BY turn) FILTER (role = 'user') AS text,
+  count(*) FILTER (role <> 'user') AS s FROM conversations GROUP BY 1)
+SELECT conv_id, coalesce(trim(text, ' ' || chr(10)) <> '', false) OR s > 0 AS content FROM t""")
+def has_content(spark, sf):
+    """User text as text, other turns as sections; blank text is no content."""
+    c = S.table(spark, sf, "conversations")
+    user = F.col("role") == "user"
+    # whether any part has text is all that matters, so nothing is concatenated
+    t = c.groupBy("conv_id").agg(
+        F.max(F.when(user & (T.strip("text") != ""), "x").otherwise("")).alias("text"), F.count_if(~user).alias("s"), C(0).alias("i"))
+    return t.select("conv_id", X.has_content("text", "i", "s").alias("content"))
+
+
+@query("md_sections_sql", rf"""WITH {MARKDOWN},
+s AS (SELECT note_name, unnest(p) AS s, unnest(range(len(p))) AS i FROM (
+  SELECT note_name, list_filter(string_split(regexp_replace(content, '(?m)^(#{{1,6}}\s+[^\n]+)$', chr(1) || '\1', 'g'), chr(1)), lambda x: x <> '') AS p FROM md)),
+r AS (SELECT note_name, i, length(regexp_extract(s, '^(#{{1,6}})\s+[^\n]+', 1)) AS level,
+    {clean_sql("regexp_replace(s, '^#{1,6}\\s+[^\\n]+', '')")} AS text FROM s)
+SELECT note_name, CAST(count(*) AS BIGINT) AS n, CAST(sum(level) AS BIGINT) AS levels, CAST(sum(length(text)) AS BIGINT) AS n_chars
+FROM r WHERE text <> '' GROUP BY 1""")
+def md_sections_by_sql(spark, sf):
+    """The section splitter as a table function of Spark SQL."""
+    from ..functions import sql
+
+    sql.register(spark)
+    S.markdown_pages(spark, sf).createOrReplaceTempView("kb_markdown_pages")
+    return spark.sql("""SELECT note_name, count(*) AS n, sum(level) AS levels, sum(length(text)) AS n_chars
+        FROM kb_markdown_pages, LATERAL kb_sections(content) GROUP BY note_name""")

@@ -27,7 +27,7 @@ s AS (SELECT a, b, 3.0 * shared + CASE WHEN same THEN 1.0 ELSE 0.0 END
              + CASE WHEN na = 0 OR nb = 0 THEN 0 ELSE 0.5 * i / (na + nb - i)::DOUBLE END AS score FROM j),
 r AS (SELECT a AS note_name, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS rank,
              b AS other_name, round(score, 6)::DOUBLE AS score FROM s WHERE score >= 2)
-SELECT note_name, rank, other_name, score FROM r WHERE rank <= 5"""
+SELECT note_name, CAST(rank AS INTEGER) AS rank, other_name, score FROM r WHERE rank <= 5"""
 
 
 @query("related_docs", RELATED)
@@ -197,7 +197,7 @@ def unsupported_register(spark, sf):
 
 # ---- links ----------------------------------------------------------------------------
 
-@query("link_extract", f"WITH {PAGES} SELECT src, pos, target_raw, target FROM links")
+@query("link_extract", f"WITH {PAGES} SELECT src, CAST(pos AS INTEGER) AS pos, target_raw, target FROM links")
 def link_extract(spark, sf):
     return links.extract_links(S.linked_pages(spark, sf))
 
@@ -238,7 +238,7 @@ def lint_report(spark, sf):
     return links.lint(S.linked_pages(spark, sf)).withColumn("related", joined("related"))
 
 
-@query("lint_summary", f"""WITH {LINT} SELECT type, severity, total, rank, note_name, n FROM (
+@query("lint_summary", f"""WITH {LINT} SELECT type, severity, total, CAST(rank AS INTEGER) AS rank, note_name, n FROM (
   SELECT type, severity, count(*) OVER (PARTITION BY type) AS total,
     row_number() OVER (PARTITION BY type ORDER BY note_name) AS rank, note_name, n FROM lint) WHERE rank <= 10""")
 def lint_summary(spark, sf):
@@ -339,6 +339,24 @@ def web_rows(spark, sf):
         F.col("page_path").alias("rel_path"))
 
 
+@query("moc_entries", """WITH p AS (SELECT 'd' || doc_id AS stem, CASE WHEN toxic = 1 THEN '_failed/' ELSE '' END || lang || '/' || source AS category,
+  CASE WHEN quality = 0 THEN 'child' WHEN quality = 1 THEN 'index' ELSE 'page' END AS kind, n_chars
+  FROM documents LEFT JOIN labels USING (doc_id))
+SELECT stem, category, CASE WHEN n_chars >= 1000 THEN 'long' ELSE 'short' END AS tags FROM p
+WHERE NOT starts_with(category, '_failed') AND kind <> 'child' AND n_chars >= 200""")
+def moc_entries(spark, sf):
+    """Toxic documents lie in the failed folder, low quality ones are child
+    pages, high quality ones index pages, tiny ones carry the unsupported tag."""
+    d = S.table(spark, sf, "documents").join(S.table(spark, sf, "labels"), "doc_id", "left")
+    c = F.lit
+    kind = F.when(F.col("quality") == 0, "\nparent: x").when(F.col("quality") == 1, "\nparent: x\ndoc_type: index").otherwise("")
+    tag = F.when(F.col("n_chars") >= 1000, "long").when(F.col("n_chars") >= 200, "short").otherwise("未识别格式")
+    pages = d.select(
+        F.concat_ws("/", F.when(F.col("toxic") == 1, "_failed"), "lang", "source", F.concat(c("d"), "doc_id", c(".md"))).alias("rel_path"),
+        F.concat(c("---\ntags: ["), tag, c("]"), kind, c("\n---\n")).alias("content"))
+    return moc.entries(pages).select("stem", "category", joined("tags").alias("tags"))
+
+
 @query("subtree_counts", f"""WITH {WEB}, f AS (SELECT string_split(regexp_replace(page_path, '/?[^/]*$', ''), '/') AS p FROM web),
 x AS (SELECT array_to_string(list_slice(p, 1, i), '/') AS prefix, i AS depth FROM (SELECT p, unnest(range(1, len(p) + 1)) AS i FROM f))
 SELECT prefix, CAST(depth AS INTEGER) AS depth, count(*) AS n FROM x GROUP BY ALL""")

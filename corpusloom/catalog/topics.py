@@ -287,3 +287,40 @@ def tree_classify(spark, sf):
         "doc_id", src.alias("title"), "text", F.when(src == "src1", "b").otherwise("a").alias("answer2"),
         F.when(src == "src2", "z").otherwise("?").alias("answer3"))
     return classify.classify_by_tree(d, TREE, RULES, TYPES).select("doc_id", "path")
+
+
+@query("classify_dynamic", f"""WITH {RULE_SQL}, {EMB}, l AS (SELECT doc_id, CASE WHEN greatest(english, french, german) = 0 THEN '其他'
+  WHEN english >= greatest(french, german) THEN 'english' WHEN french >= german THEN 'french' ELSE 'german' END AS l1 FROM r),
+sc AS (SELECT l.doc_id, topic_id, list_dot_product(v, cen) / {NORM.format('v')} / {NORM.format('cen')} AS score
+  FROM l JOIN e ON vec_id = doc_id, c WHERE l1 = 'english'),
+b AS (SELECT doc_id, topic_id, score FROM sc QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, topic_id) = 1)
+SELECT l.doc_id, CASE WHEN score >= 0.2 THEN 'english/t' || topic_id WHEN l1 = 'french' AND e.vec_id IS NULL AND contains(lower(text), 'eau') THEN 'french/eau' ELSE l1 END AS path,
+  CASE WHEN score >= 0.3 THEN 'match' WHEN score >= 0.2 THEN 'validate'
+       WHEN l1 = 'french' AND e.vec_id IS NULL AND contains(lower(text), 'eau') THEN 'match' ELSE 'new' END AS decision
+FROM l JOIN documents USING (doc_id) LEFT JOIN b USING (doc_id) LEFT JOIN e ON e.vec_id = l.doc_id""")
+def classify_dynamic(spark, sf):
+    """Documents with a vector go to the label topics of the first domain,
+    French ones without a vector to a keyword topic."""
+    from ..plans import jobs
+
+    v = vecs(spark, sf).select(F.col("vec_id").alias("doc_id"), "embedding")
+    d = S.spread(S.table(spark, sf, "documents")).join(v, "doc_id", "left").select(
+        "doc_id", F.col("source").alias("title"), "text", "embedding",
+        F.when(F.contains(F.lower("text"), C("eau")), F.array(C("eau"))).otherwise(F.array().cast("array<string>")).alias("keywords"))
+    none = C(None).cast("string")
+    known = centroids(spark, sf).select(
+        "topic_id", C("english").alias("level1"), F.concat(C("t"), F.col("topic_id").cast("string")).alias("level2"), none.alias("level3"), "centroid")
+    eau = known.groupBy().agg(F.max("topic_id").alias("m")).select(
+        (F.col("m") + 1).alias("topic_id"), C("french").alias("level1"), C("eau").alias("level2"), none.alias("level3"),
+        F.array().cast("array<double>").alias("centroid"))
+    words = eau.select("topic_id", "level1", C("eau").alias("keyword"), C(1.0).alias("weight"))
+    out = jobs.classify_dynamic(d, RULES, known.unionByName(eau), words, TYPES, 0.30, 0.20)
+    return out.select("doc_id", "path", "decision")
+
+
+@query("topic_listing", f"""WITH {TOPIC_WORDS}
+SELECT topic_id, keyword, weight, CAST(row_number() OVER (PARTITION BY topic_id ORDER BY weight DESC, keyword) AS INTEGER) AS rank FROM tk""")
+def topic_listing(spark, sf):
+    """Keywords of each topic by falling weight."""
+    _, tk = topic_words(spark, sf)
+    return topics.keyword_listing(tk)

@@ -72,7 +72,7 @@ def part_files(rows: DataFrame, max_entries: int = K.MOC_MAX_ENTRIES, base: str
     """file, part, n of each index page."""
     name = F.when(F.col("parts") == 1, f"{base}.md").otherwise(
         F.concat(C(base + "_"), F.col("part").cast("string"), C(".md")))
-    return paged(rows, max_entries).groupBy(name.alias("file"), "part").agg(F.count("*").alias("n"))
+    return paged(rows.select("rel_path"), max_entries).groupBy(name.alias("file"), "part").agg(F.count("*").alias("n"))
 
 
 def stale_files(existing: DataFrame, current: DataFrame, base: str = "MOC") -> DataFrame:

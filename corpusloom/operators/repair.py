@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import markdown as M
 from ..functions import paths as P
+from ..plans.joins import attach
 from ..plans.ranking import latest
 
 
@@ -54,7 +55,7 @@ def apply_repair(pages: DataFrame, plan: DataFrame) -> DataFrame:
     todo = plan.filter("action <> 'skip'").select(
         "rel_path", F.col("old_category").alias("_old"), F.col("category").alias("_cat"),
         F.col("fix_category").alias("_fix"), F.col("fix_dir").alias("_move"))
-    j = pages.join(todo, "rel_path", "left")
+    j = attach(pages, todo, "rel_path")
     old = F.concat(F.lit("category: "), "_old")
     at = F.instr(F.col("content"), old)
     fixed = F.concat(

@@ -9,6 +9,7 @@ from .. import constants as K
 from ..functions import markdown as M
 from ..functions import text as T
 from ..functions.paths import strip
+from ..plans.joins import attach
 
 C = F.lit
 
@@ -161,7 +162,7 @@ def image_context(images: DataFrame, doc: str, label: str = "图片", limit: int
 
 def with_image_context(texts: DataFrame, context: DataFrame, doc: str, text: str) -> DataFrame:
     block = F.concat(F.col(text), C(f"\n\n{K.IMAGE_CONTEXT_LABEL}\n"), "context")
-    return texts.join(context.filter("context <> ''"), doc, "left").withColumn(
+    return attach(texts, context.filter("context <> ''"), doc).withColumn(
         text, F.coalesce(block, F.col(text))).drop("context")
 
 

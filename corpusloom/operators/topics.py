@@ -11,7 +11,7 @@ from .. import constants as K
 from ..functions import vectors as V
 from ..plans import blocks
 from ..plans.components import components
-from ..plans.ranking import latest, top_k
+from ..plans.ranking import group_rank, latest, top_k
 
 # Topics up to this many vector cells are sent to every task as one matrix
 # (64 MB of doubles); more are met in cells.
@@ -253,6 +253,13 @@ def oversized(topics: DataFrame, size: int = K.TOPIC_SPLIT_SIZE) -> DataFrame:
     return topics.filter((F.col("status") == "active") & (F.col("doc_count") >= size))
 
 
+def keyword_listing(keywords: DataFrame) -> DataFrame:
+    """topic_id, keyword, weight, rank by falling weight."""
+    down = keywords.withColumn("_down", -F.col("weight"))
+    return group_rank(down, ["topic_id"], ["_down", "keyword"], "rank").select(
+        "topic_id", "keyword", "weight", F.col("rank").cast("int").alias("rank"))
+
+
 def topic_listing(topics: DataFrame) -> DataFrame:
     """Active topics by level1 and falling size."""
     return topics.filter("status = 'active'").orderBy("level1", F.col("doc_count").desc(), "topic_id")

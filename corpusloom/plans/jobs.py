@@ -13,6 +13,7 @@ from ..operators import classify, enrich, incremental, links, moc, related, repa
 from ..session import settle
 from ..sources import files as files_source
 from ..sources.tables import StateTable, number_clashes
+from .joins import attach
 
 C = F.lit
 
@@ -34,7 +35,7 @@ def crosslink_pages(pages: DataFrame, k: int = K.MAX_LINKS, min_score: float = K
     # at most k links per page
     per = best.join(target, "other_name").groupBy("note_name").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("rank", "target"))), lambda s: s["target"]).alias("_targets"))
-    j = pages.join(per, "note_name", "left")
+    j = attach(pages, per, "note_name")
     child = F.contains(M.front_block("content"), C("parent:"))
     text = F.when(F.col("_targets").isNull() | child, F.col("content")).otherwise(M.put_related("content", "_targets", keep_footer=True))
     return j.withColumn("_new", text).withColumn("changed", F.col("_new") != F.col("content")).withColumn(
@@ -100,7 +101,7 @@ class Vault:
             todo = todo.join(hit, "path", "left_anti")
         raw = files_source.read_contents(self.spark, source).select("path", "ext", "content")
         known = F.col("ext").isin(list(parsers))
-        wanted = raw.join(todo.select("path"), "path", "left_semi")
+        wanted = attach(raw, todo.select("path"), "path", "left_semi")
         parsed = settle(
             files_source.parse_files(wanted.filter(known), parsers)
             .unionByName(wanted.filter(~known & F.col("ext").isin(K.IMAGE_EXTS)).select(
