@@ -56,11 +56,13 @@ def vecs(spark, sf):
 
 def centroids(spark, sf):
     c = topics.build_centroids(vecs(spark, sf), ["label"])
-    return c.select(F.col("label").cast("bigint").alias("topic_id"), C("all").alias("level1"), "centroid", "doc_count")
+    level = F.when(F.size("centroid") > 0, "all")
+    return c.select(F.col("label").cast("bigint").alias("topic_id"), level.alias("level1"), "centroid", "doc_count")
 
 
 def leveled(spark, sf):
-    return vecs(spark, sf).select(F.col("vec_id").alias("doc_id"), C("all").alias("level1"), "embedding")
+    level = F.when(F.size("embedding") > 0, "all")
+    return vecs(spark, sf).select(F.col("vec_id").alias("doc_id"), level.alias("level1"), "embedding")
 
 
 @query("topic_centroids", f"WITH {EMB} SELECT CAST(topic_id AS BIGINT) AS topic_id, CAST(i - 1 AS INTEGER) AS pos, round(cen[i], 6) AS x, doc_count FROM (SELECT *, unnest(range(1, len(cen) + 1)) AS i FROM c)")
@@ -310,10 +312,10 @@ def classify_dynamic(spark, sf):
     none = C(None).cast("string")
     known = centroids(spark, sf).select(
         "topic_id", C("english").alias("level1"), F.concat(C("t"), F.col("topic_id").cast("string")).alias("level2"), none.alias("level3"), "centroid")
-    eau = known.groupBy().agg(F.max("topic_id").alias("m")).select(
-        (F.col("m") + 1).alias("topic_id"), C("french").alias("level1"), C("eau").alias("level2"), none.alias("level3"),
-        F.array().cast("array<double>").alias("centroid"))
-    words = eau.select("topic_id", "level1", C("eau").alias("keyword"), C(1.0).alias("weight"))
+    words = d.select(F.explode("keywords").alias("keyword")).distinct().select(
+        (F.length("keyword") + 1000).cast("bigint").alias("topic_id"), C("french").alias("level1"), "keyword", C(1.0).alias("weight"))
+    eau = words.select("topic_id", "level1", F.col("keyword").alias("level2"), none.alias("level3"),
+                       F.array().cast("array<double>").alias("centroid"))
     out = jobs.classify_dynamic(d, RULES, known.unionByName(eau), words, TYPES, 0.30, 0.20)
     return out.select("doc_id", "path", "decision")
 

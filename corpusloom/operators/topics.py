@@ -208,8 +208,9 @@ def add_topics(topics: DataFrame, proposed: DataFrame) -> DataFrame:
 def merge_pairs(topics: DataFrame, threshold: float = K.TOPIC_MERGE, within_level1: bool = False,
                 block_rows: int = 2048) -> DataFrame:
     """a_id, b_id, similarity of topic pairs with cosine >= threshold, a < b."""
-    t = topics.filter("centroid IS NOT NULL").select(
-        "topic_id", (F.col("level1") if within_level1 else F.lit("")).alias("grp"), V.as_double("centroid").alias("centroid"))
+    # one group of all topics is keyed by an empty string taken from the id
+    grp = F.col("level1") if within_level1 else F.left(F.col("topic_id").cast("string"), F.lit(0))
+    t = topics.filter("centroid IS NOT NULL").select("topic_id", grp.alias("grp"), V.as_double("centroid").alias("centroid"))
 
     def pairs(c: pa.Table):
         block = c.column("_block").to_numpy()
