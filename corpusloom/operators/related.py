@@ -11,7 +11,7 @@ from .. import constants as K
 from ..functions import text as T
 from ..plans import blocks
 from ..plans.ranking import top_k
-from ..session import settle
+from ..session import settle, settle_table
 
 
 def _scorer(k: int, min_score: float):
@@ -177,7 +177,7 @@ def related_docs(
     # 128 bits from two independently seeded hashes name a profile
     half = lambda seed: F.hex(F.xxhash64(F.lit(seed), "tags", "category", "words"))
     base = base.withColumn("pid", F.concat_ws("-", half("a"), half("b")))
-    base = settle(base)  # text is tokenised once; what follows reads hashes and ids
+    base = settle_table(base)  # text is tokenised once; what follows reads hashes and ids
     names = settle(top_k(base.select("pid", "note_name"), ["pid"], [F.col("note_name").asc()], k + 1, "nth"))
     heads = names.filter("nth = 1").select("pid", "note_name")
     profiles = base.join(heads, ["pid", "note_name"]).withColumnRenamed("note_name", "first_name")

@@ -13,8 +13,8 @@ def components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFr
 
     Each round takes the smallest label over the edges for a node and for the
     node's current root, then replaces each label by its label, so long chains
-    shrink geometrically. Rounds are checkpointed; only a count comes back to
-    the driver.
+    shrink geometrically. Rounds are checkpointed; only
+    whether labels changed comes back to the driver.
     """
     one = edges.select(F.col(a).alias("src"), F.col(b).alias("dst")).filter("src <> dst")
     both = settle(one.unionByName(one.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())

@@ -10,7 +10,7 @@ from ..functions import markdown as M
 from ..functions import paths as P
 from ..functions import text as T
 from ..operators import classify, enrich, incremental, links, moc, related, repair, sections, topics
-from ..session import settle
+from ..session import settle, settle_table
 from ..sources import files as files_source
 from ..sources.tables import StateTable, number_clashes
 from .joins import attach
@@ -102,7 +102,7 @@ class Vault:
         raw = files_source.read_contents(self.spark, source).select("path", "ext", "content")
         known = F.col("ext").isin(list(parsers))
         wanted = attach(raw, todo.select("path"), "path", "left_semi")
-        parsed = settle(
+        parsed = settle_table(
             files_source.parse_files(wanted.filter(known), parsers)
             .unionByName(wanted.filter(~known & F.col("ext").isin(K.IMAGE_EXTS)).select(
                 "path", "ext", C("").alias("text"), C(None).cast("string").alias("error")))
@@ -135,7 +135,7 @@ class Vault:
                 F.col("category").alias("dir"), F.concat(C(date + "-"), P.safe_name("rel_path")).alias("base"),
                 F.col("path").alias("source_path"), "category", "tags", "summary", page.alias("content")),
             "dir", "base", ["source_path"])
-        new = settle(named.select(
+        new = settle_table(named.select(
             F.col("file").alias("rel_path"), P.stem("file").alias("note_name"), "source_path", "category", "tags", "summary", "content"))
 
         self._record(inv, todo, new, failed, date, made_at)

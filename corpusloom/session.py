@@ -24,8 +24,6 @@ def build_session(app: str = "corpusloom", master: str | None = None, **conf: st
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
-        # checkpoint files go when nothing refers to them any more
-        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         # stream state on local disk instead of the heap
         "spark.sql.streaming.stateStore.providerClass":
             "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -57,6 +55,21 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: cuts the lineage and survives lost executors."""
+    """Reliable checkpoint: cuts the lineage and survives lost executors.
+
+    For narrow rows that are read whole.
+    """
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def settle_table(df: DataFrame) -> DataFrame:
+    """The rows as a Parquet table in the shared folder.
+
+    For wide rows that are read more than once: later reads prune columns and
+    the planner knows the size.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, "step")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
