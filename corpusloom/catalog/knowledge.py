@@ -156,21 +156,22 @@ last AS (SELECT user_id, status, event_id FROM lg
   QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1)"""
 
 
-def newest():
-    return [F.col("ts").desc(), F.col("event_id").desc()]
+def current_status(spark, sf):
+    """The log of successes merged with the log of everything else."""
+    log = status_log(spark, sf)
+    newest = [F.col("ts").desc(), F.col("event_id").desc()]
+    return incremental.upsert_latest(log.filter("status = 'success'"), log.filter("status <> 'success'"), ["user_id"], newest)
 
 
 @query("status_latest", f"WITH {STATUS} SELECT user_id, status, event_id FROM last")
 def status_latest(spark, sf):
-    log = status_log(spark, sf)
-    return incremental.upsert_latest(log.limit(0), log, ["user_id"], newest()).select("user_id", "status", "event_id")
+    return current_status(spark, sf).select("user_id", "status", "event_id")
 
 
 @query("status_summary", f"""WITH {STATUS}, k AS (SELECT unnest(['success', 'failed', 'updated', 'unchanged']) AS status)
 SELECT k.status, count(last.user_id) AS n FROM k LEFT JOIN last USING (status) GROUP BY 1""")
 def status_summary(spark, sf):
-    log = status_log(spark, sf)
-    return incremental.status_summary(incremental.upsert_latest(log.limit(0), log, ["user_id"], newest()))
+    return incremental.status_summary(current_status(spark, sf))
 
 
 @query("dedup_index_add", """WITH d AS (SELECT md5(text) AS md5, 'd' || doc_id || '.md' AS filename,

@@ -168,11 +168,14 @@ def topic_keyword_assign(spark, sf):
 @query("keyword_upsert", f"""WITH {TOPIC_WORDS}, n AS (SELECT topic_id, keyword, max(doc_id) AS weight FROM w JOIN tid USING (category) GROUP BY ALL)
 SELECT topic_id, keyword, weight FROM n""")
 def keyword_upsert(spark, sf):
-    """The last weight set for (topic, keyword) holds."""
+    """Words of labelled documents are stored, the others are set; for a
+    (topic, keyword) the last document's weight holds."""
     n = settle(S.notes(spark, sf).select("doc_id", "category", "tags"))
     tid = global_rank(n.select("category").distinct(), ["category"], "topic_id")
-    sets = n.join(tid, "category").select("topic_id", F.explode("tags").alias("keyword"), F.col("doc_id").alias("weight"))
-    return incremental.upsert_latest(sets.limit(0), sets, ["topic_id", "keyword"], [F.col("weight").desc()])
+    sets = n.join(tid, "category").select("doc_id", "topic_id", F.explode("tags").alias("keyword"), F.col("doc_id").alias("weight"))
+    lab = S.table(spark, sf, "labels").select("doc_id")
+    have, add = sets.join(lab, "doc_id", "left_semi").drop("doc_id"), sets.join(lab, "doc_id", "left_anti").drop("doc_id")
+    return incremental.upsert_latest(have, add, ["topic_id", "keyword"], [F.col("weight").desc()])
 
 
 @query("topic_insert", """WITH known AS (SELECT DISTINCT source AS name, lang AS level1 FROM documents JOIN labels USING (doc_id) WHERE toxic = 1)

@@ -14,13 +14,17 @@ from ..plans.ranking import global_rank
 C = F.lit
 
 
-def entries(pages: DataFrame, max_chars: int | None = None, skip_tag: str = K.UNSUPPORTED_TAG) -> DataFrame:
+def entries(pages: DataFrame, max_chars: int | None = None, skip_tag: str = K.UNSUPPORTED_TAG,
+            front_only: bool = False) -> DataFrame:
     """Pages that belong in the index: category, stem, tags, rel_path.
 
     Child pages (``parent:`` without ``doc_type: index``), excluded folders,
-    index pages and pages with the unsupported tag are left out.
+    index pages and pages with the unsupported tag are left out. The marks are
+    looked for in the whole page, its first ``max_chars`` characters, or its
+    front matter only.
     """
     head = F.col("content") if max_chars is None else F.substring("content", 1, max_chars)
+    head = M.front_block("content") if front_only else head
     tags = M.line_list(head, "tags")
     return pages.filter(
         ~P.excluded("rel_path", K.MOC_EXCLUDE_DIRS)

@@ -139,8 +139,10 @@ class Vault:
             F.col("file").alias("rel_path"), P.stem("file").alias("note_name"), "source_path", "category", "tags", "summary", "content"))
 
         self._record(inv, todo, new, failed, date, made_at)
-        pages = incremental.replace_rows(self.pages.read(), new, ["source_path"])
-        pages = self.pages.write(crosslink_pages(pages, pattern=pattern).drop("changed"))
+        pages = self.pages.read()
+        if not new.isEmpty():  # nothing new leaves the stored pages as they are
+            pages = incremental.replace_rows(pages, new, ["source_path"])
+            pages = self.pages.write(crosslink_pages(pages, pattern=pattern).drop("changed"))
         return {"new": new, "failed": failed, "changes": changes, "moc": self.moc(made_at), "pages": pages}
 
     def _record(self, inv, todo, new, failed, date, made_at) -> None:
@@ -164,7 +166,7 @@ class Vault:
 
     def moc(self, made_at: str) -> DataFrame:
         """Lines of the knowledge tree over all pages."""
-        return moc.moc_lines(moc.entries(self.pages.read()), made_at)
+        return moc.moc_lines(moc.entries(self.pages.read(), front_only=True), made_at)
 
     def failed_moc(self, made_at: str) -> DataFrame:
         rows = self.status.read().filter("status = 'failed'").select(
