@@ -51,15 +51,17 @@ def classify_dynamic(docs: DataFrame, rules: dict, known: DataFrame, words: Data
     topic_id, level1, level2, level3, centroid; words: topic keywords. A
     ``validate`` decision is left to whoever confirms it.
     """
-    d = docs.withColumn("level1", classify.rule_domain("title", "text", rules))
+    # texts are read once; what follows needs the rules' results only
+    d = settle_table(docs.select(
+        "doc_id", classify.rule_domain("title", "text", rules).alias("level1"),
+        classify.doc_type_tags("title", "text", type_words).alias("type_tags"), "embedding", "keywords"))
     vec = d.filter("embedding IS NOT NULL")
     by_vec = topics.assign_topics(vec, known, match, validate).select("doc_id", "topic_id", "decision")
     by_word = topics.keyword_topics(d.filter("embedding IS NULL"), words).select(
         "doc_id", "topic_id", C("match").alias("decision"))
     got = by_vec.unionByName(by_word)
     name = known.select("topic_id", "level2", "level3")
-    out = d.select("doc_id", "level1", classify.doc_type_tags("title", "text", type_words).alias("type_tags")).join(
-        got, "doc_id", "left").join(name, "topic_id", "left")
+    out = d.select("doc_id", "level1", "type_tags").join(got, "doc_id", "left").join(name, "topic_id", "left")
     taken = F.col("decision").isin("match", "validate")
     path = F.concat_ws("/", "level1", F.when(taken, F.col("level2")), F.when(taken, F.col("level3")))
     return out.select("doc_id", path.alias("path"), F.coalesce("decision", C("new")).alias("decision"), "type_tags")
