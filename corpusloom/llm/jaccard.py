@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from ..plans.components import components
 from ..plans.joins import attach
+from ..plans.ranking import top_k
 from ..session import settle, settle_table
 from . import words as W
 
@@ -309,3 +310,25 @@ def _finish(all_docs, nodes, shared, sets, kept, num, den, id_col) -> DataFrame:
             F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.coalesce("links", F.lit(0))).otherwise(F.lit(0)).cast("bigint").alias("n_links"),
         )
     )
+
+
+def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` without those that link to a smaller id.
+
+    One document of each component stays, with all its columns: the smallest
+    id, and of rows that repeat it the one with the smallest text. Rows of null
+    id stay.
+    """
+    found = jaccard_join(docs, id_col, text_col, **options)
+    by_id = settle(
+        found.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id"))
+        .agg(F.min("component_id").alias("root"), F.count("*").alias("rows")).filter("root <> id or rows > 1")
+    )
+    name = f"_{id_col}_linked"
+    gone = by_id.filter("root <> id").select(F.col("id").alias(name))
+    again = by_id.filter("root = id").select(F.col("id").alias(name))
+    rest = attach(docs.withColumn(name, F.col(id_col).cast("bigint")), gone, name, "left_anti")
+    if again.isEmpty():
+        return rest.drop(name)
+    once = top_k(attach(rest, again, name, "left_semi"), [name], [F.col(text_col)], 1, f"{name}_rank").drop(f"{name}_rank")
+    return attach(rest, again, name, "left_anti").unionByName(once).drop(name)
