@@ -13,6 +13,13 @@ def held_out(id_col: str) -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
+def class_sizes(labels: DataFrame, label: str, id_col: str = "doc_id") -> dict[int, int]:
+    """Labelled rows of each class that may be learned from, at least 1."""
+    rows = labels.filter(F.col(label).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col))
+    n = {r[0]: r[1] for r in rows.groupBy(F.col(label).cast("int")).agg(F.count("*")).collect()}
+    return {c: max(1, n.get(c, 0)) for c in (0, 1)}
+
+
 def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, label, text) of at most ``per_class`` labelled rows of each class.
 

@@ -18,13 +18,15 @@ from pyspark.sql import functions as F
 
 from ..session import settle_table
 from . import words as W
-from .fit import held_out, sample
+from .fit import class_sizes, held_out, sample
 
 #: A sentence ends at its mark or after this many words.
 SENTENCE = 64
 #: Labelled documents of a class that are fitted, and features that are kept.
 PER_CLASS, FEATURES = 5000, 2000
 BEGINNINGS = (4, 5, 6)
+#: Share of a feature's log odds among documents that its weight starts from and is drawn to.
+PRIOR = 0.5
 
 
 def word_features(vocabulary: pa.Array) -> list[pa.Array]:
@@ -110,10 +112,11 @@ def _hits(names: list[str]):
 class NoisyOr:
     """Sentence weights; a document's score is one minus the product of misses."""
 
-    def __init__(self, names: list[str]):
-        self.names, self.w, self.bias = names, np.zeros(len(names)), -6.0
+    def __init__(self, names: list[str], prior: np.ndarray | None = None):
+        self.names, self.prior = names, np.zeros(len(names)) if prior is None else np.maximum(0, prior)
+        self.w, self.bias = self.prior.copy(), -6.0
 
-    def fit(self, label, sentences_of, at, feature, steps: int = 400, rate: float = 0.15, decay: float = 2e-4):
+    def fit(self, label, sentences_of, at, feature, weight=None, steps: int = 400, rate: float = 0.05, decay: float = 3e-5):
         """Adam over all documents; sentences without any feature count by the bias."""
         docs = len(label)
         if not docs:
@@ -125,7 +128,7 @@ class NoisyOr:
         own, feat = key // wide, np.concatenate([*feature, np.zeros(0, np.int64)]).astype(np.int64)
         blank = sentences_of - np.bincount(own, minlength=docs)
         y = label.astype(float)
-        weight = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, docs - y.sum()))  # both classes count alike
+        weight = np.full(docs, 1 / docs) if weight is None else weight / weight.sum()
         m, v = np.zeros(len(self.w) + 1), np.zeros(len(self.w) + 1)
         for step in range(1, steps + 1):
             z = self.bias + np.bincount(sent, self.w[feat], len(key))
@@ -134,17 +137,18 @@ class NoisyOr:
             score = np.maximum(-np.expm1(miss), 1e-12)
             pull = weight * (score - y) / score
             dz = pull[own] * p
-            grad = np.append(np.bincount(feat, dz[sent], len(self.w)) + decay * self.w, dz.sum() + (pull * blank).sum() * base)
+            grad = np.append(np.bincount(feat, dz[sent], len(self.w)) + decay * (self.w - self.prior), dz.sum() + (pull * blank).sum() * base)
             m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
             move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
             self.w = np.maximum(0, self.w - move[:-1])  # a feature never speaks for a sentence
-            self.bias = float(np.clip(self.bias - move[-1], -12, 0))
+            self.bias = float(np.clip(self.bias - move[-1], -8, 0))
         return self
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text",
           per_class: int = PER_CLASS) -> NoisyOr:
     rows = settle_table(sample(docs, labels, label, per_class, id_col, text_col))
+    share = class_sizes(labels, label, id_col)
     totals = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     ones, zeros = totals.get(1, 0) + 1.0, totals.get(0, 0) + 1.0
     counted = (
@@ -155,11 +159,15 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str
     a, b = F.col("ones") / ones, F.col("zeros") / zeros
     far = (a - b) / F.sqrt((F.col("ones") + 0.5) / ones**2 + (F.col("zeros") + 0.5) / zeros**2)
     chosen = counted.filter("ones > 2").withColumn("far", far).filter("far > 2").orderBy(F.desc("far"), "feature").limit(FEATURES)
-    names = sorted(r["feature"] for r in chosen.select("feature").collect())
+    told = {r["feature"]: PRIOR * r["odds"] for r in chosen.select("feature", F.log(
+        ((F.col("ones") + 0.5) / ones) / ((F.col("zeros") + 0.5) / zeros)).alias("odds")).collect()}
+    names = sorted(told)
     got = rows.mapInArrow(_hits(names), "id string, label int, sentences long, at array<long>, feature array<long>").toArrow()
     got = got.take(pc.sort_indices(got, [("id", "ascending"), ("label", "ascending")]))
     lists = lambda c: [np.asarray(x.values, dtype=np.int64) for x in got.column(c)]
-    return NoisyOr(names).fit(got.column("label").to_numpy(), got.column("sentences").to_numpy(), lists("at"), lists("feature"))
+    label = got.column("label").to_numpy()
+    return NoisyOr(names, np.array([told[n] for n in names])).fit(label, got.column("sentences").to_numpy(), lists("at"), lists("feature"),
+                              np.where(label == 1, share[1] / ones, share[0] / zeros))
 
 
 def _judge(model: NoisyOr, text: pa.Array) -> tuple[np.ndarray, pa.Array]:
