@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from .. import constants as K
 from ..functions import markdown as M
 from ..functions import paths as P
 from ..functions import text as T
@@ -90,10 +91,8 @@ SP = "' ' || chr(9) || chr(10) || chr(13)"
 
 
 def clean_sql(c):
-    for pat, rep in [
-        (r"```[\s\S]*?```", ""), (r"`([^`]+)`", r"\1"), (r"!\[.*?\]\(.*?\)", ""), (r"\[([^\]]*)\]\(.*?\)", r"\1"),
-        (r"#+\s*", ""), (r"\*\*([^*]+)\*\*", r"\1"), (r"\*([^*]+)\*", r"\1"), (r">\s*", ""), (r"(?m)^[-*]\s*", ""),
-    ]:
+    for pat, rep in K.MARKDOWN_PASSES:
+        rep = rep.replace("$", "\\")
         c = f"regexp_replace({c}, '{pat}', '{rep}', 'g')"
     return f"trim({c}, {SP})"
 
@@ -296,7 +295,7 @@ def overview_input(spark, sf):
     return o.select("conv_id", "part", md5("text").alias("text_md5"))
 
 
-@query("outline_input", """SELECT conv_id, turn // 50 AS part, md5(string_agg(role || CASE WHEN text <> '' THEN ': ' || substr(text, 1, 100) ELSE '' END, chr(10) ORDER BY turn)) AS text_md5
+@query("outline_input", """SELECT conv_id, turn // 50 AS part, md5(string_agg(role || CASE WHEN text <> '' THEN ': ' || text ELSE '' END, chr(10) ORDER BY turn)) AS text_md5
 FROM conversations GROUP BY ALL""")
 def outline_input(spark, sf):
     o = X.outline_parts(S.table(spark, sf, "conversations"), "conv_id", "turn", "role", "text")
@@ -347,7 +346,7 @@ def ocr_gate(spark, sf):
 
 @query("image_context", """WITH i AS (SELECT conv_id, turn, CASE WHEN role = 'user' THEN trim(text, ' ' || chr(10))
     WHEN turn < 3 THEN 'seen ' || turn ELSE '' END AS d FROM conversations),
-c AS (SELECT conv_id, string_agg('[图片' || (turn + 1) || '] ' || d, chr(10) || chr(10) ORDER BY turn) FILTER (d <> '' AND turn < 3) AS ctx FROM i GROUP BY 1)
+c AS (SELECT conv_id, string_agg('[图片' || (turn + 1) || '] ' || d, chr(10) || chr(10) ORDER BY turn) FILTER (d <> '') AS ctx FROM i GROUP BY 1)
 SELECT i.conv_id, i.turn, md5(CASE WHEN ctx IS NULL THEN t.text ELSE t.text || chr(10) || chr(10) || '[文档图片]' || chr(10) || ctx END) AS text_md5, md5(d) AS description_md5
 FROM i JOIN conversations t ON t.conv_id = i.conv_id AND t.turn = i.turn LEFT JOIN c ON c.conv_id = i.conv_id""")
 def image_context(spark, sf):
@@ -356,7 +355,7 @@ def image_context(spark, sf):
     c = S.table(spark, sf, "conversations")
     img = c.withColumn("pos", F.col("turn")).withColumn("ocr", F.when(F.col("role") == "user", F.col("text")).otherwise(""))
     d = X.describe_images(img, F.concat(C("seen "), F.col("turn").cast("string")), limit=3)
-    out = X.with_image_context(d, X.image_context(d, "conv_id", limit=3), "conv_id", "text")
+    out = X.with_image_context(d, X.image_context(d, "conv_id"), "conv_id", "text")
     return out.select("conv_id", "turn", md5("text").alias("text_md5"), md5("description").alias("description_md5"))
 
 
@@ -408,7 +407,7 @@ def enhanced_context(spark, sf):
 @query("response_parse", """SELECT conv_id, turn,
   CASE WHEN length(text) < 100 THEN '短文本' WHEN role = 'user' THEN '未知' ELSE 'turn' END AS doc_type,
   CASE WHEN length(text) >= 100 AND role <> 'user' THEN role ELSE '' END AS entities,
-  CASE WHEN length(text) < 100 OR role = 'user' THEN substr(text, 1, 50) ELSE 'h' || turn END AS hint FROM conversations""")
+  CASE WHEN length(text) < 100 OR role = 'user' THEN text ELSE 'h' || turn END AS hint FROM conversations""")
 def response_parse(spark, sf):
     """Answers: fenced JSON from assistants, plain text from users."""
     c = S.table(spark, sf, "conversations")

@@ -239,6 +239,35 @@ def lint_report(spark, sf):
     return links.lint(S.linked_pages(spark, sf)).withColumn("related", joined("related"))
 
 
+PATHS = """pp AS (SELECT doc_id, lang || '/' || source || '/n' || doc_id // 5 AS page, 'n' || doc_id // 5 AS stem,
+  CASE WHEN doc_id % 3 = 0 THEN ['n' || doc_id // 7, lang || '/' || source || '/n' || doc_id // 5 + 1]
+       WHEN doc_id % 3 = 1 THEN ['gone' || doc_id] ELSE [] END AS l FROM documents),
+names AS (SELECT page AS target, page AS to_page FROM pp UNION
+  SELECT stem, max(page) FROM pp WHERE stem NOT IN (SELECT page FROM pp) GROUP BY stem),
+pl AS (SELECT page AS src, unnest(l) AS target FROM pp),
+res AS (SELECT src, target, to_page FROM pl LEFT JOIN names USING (target)),
+ni AS (SELECT page, count(to_page) AS n FROM (SELECT DISTINCT page FROM pp) LEFT JOIN res ON to_page = page GROUP BY page)"""
+
+
+@query("lint_paths", f"""WITH {PATHS} SELECT 'orphan' AS type, page AS note_name, n, '' AS related FROM ni WHERE n <= 1
+UNION ALL SELECT 'broken-link', src, count(*), array_to_string(list_sort(list(DISTINCT target)), ',') FROM res WHERE to_page IS NULL GROUP BY src
+UNION ALL SELECT 'no-outlinks', page, 0, '' FROM (SELECT DISTINCT page FROM pp) WHERE page NOT IN (SELECT src FROM pl)""")
+def lint_paths(spark, sf):
+    """Pages of five documents, links by path and by stem; folders share stems."""
+    d = S.table(spark, sf, "documents")
+    num = lambda c: c.cast("bigint").cast("string")
+    folder = F.concat_ws("/", "lang", "source")
+    five = F.floor(F.col("doc_id") / 5)
+    link = lambda c: F.concat(F.lit("[["), c, F.lit("]]"))
+    text = F.when(F.col("doc_id") % 3 == 0, F.concat(
+        link(F.concat(F.lit("n"), num(F.floor(F.col("doc_id") / 7)))), link(F.concat(folder, F.lit("/n"), num(five + 1))))
+    ).when(F.col("doc_id") % 3 == 1, link(F.concat(F.lit("gone"), num(F.col("doc_id"))))).otherwise("")
+    rows = d.select(F.concat(folder, F.lit("/n"), num(five), F.lit(".md")).alias("path"), F.concat(F.lit("n"), num(five)).alias("note_name"), text.alias("t"))
+    pages = rows.groupBy("path", "note_name").agg(F.array_join(F.collect_list("t"), " ").alias("content"))
+    out = links.lint(pages, match_on="either", shown=None)
+    return out.select("type", "note_name", "n", joined("related").alias("related"))
+
+
 @query("lint_summary", f"""WITH {LINT} SELECT type, severity, total, CAST(rank AS INTEGER) AS rank, note_name, n FROM (
   SELECT type, severity, count(*) OVER (PARTITION BY type) AS total,
     row_number() OVER (PARTITION BY type ORDER BY note_name) AS rank, note_name, n FROM lint) WHERE rank <= 10""")
@@ -397,8 +426,8 @@ x AS (
   UNION ALL SELECT part, '1', 0, chr(10) || '## 根目录 (' || count(*) || ' 篇)' || chr(10) FROM r WHERE category = '' GROUP BY part
   UNION ALL SELECT part, '2' || array_to_string(p, chr(1)), 0,
     chr(10) || repeat('#', len(p) + 1) || ' ' || p[-1] || ' (' || n || ' 篇)' || chr(10) FROM h
-  UNION ALL SELECT part, CASE WHEN category = '' THEN '1' ELSE '2' || replace(category, '/', chr(1)) END || chr(1), rn,
-    '- [[' || link || chr(10) FROM r WHERE len(string_split(category, '/')) <= 5
+  UNION ALL SELECT part, CASE WHEN category = '' THEN '1' ELSE '2' || array_to_string(list_slice(string_split(category, '/'), 1, 5), chr(1)) END || chr(1), rn,
+    '- [[' || link || chr(10) FROM r
   UNION ALL SELECT part, '3', 0, {foot} FROM one)
 SELECT part, CAST(row_number() OVER (PARTITION BY part ORDER BY k, rn) AS INTEGER) AS ord, line FROM x"""
 
@@ -413,6 +442,23 @@ def moc_lines(spark, sf):
     return moc.moc_lines(moc_rows(spark, sf), "2024-01-01 00:00:00")
 
 
+DEEP = "lang || '/' || source || '/a' || doc_id % 2 || '/b' || doc_id % 3 || '/c' || doc_id % 5 || '/d' || doc_id % 7"
+
+
+@query("moc_deep", "WITH " + lines_sql(
+    f"f AS (SELECT {DEEP} AS category, 'd' || doc_id AS stem, {DEEP} || '/d' || doc_id || '.md' AS rel_path FROM documents)", "# 知识树", "",
+    "stem || ']]'", "chr(10) || '---' || chr(10) || '**总计：' || total || ' 篇笔记**' || chr(10)", "篇笔记"))
+def moc_deep(spark, sf):
+    """A tree of six levels: the deepest notes stand under the fifth."""
+    d = S.table(spark, sf, "documents")
+    part = lambda name, n: F.concat(F.lit(name), (F.col("doc_id") % n).cast("string"))
+    category = F.concat_ws("/", "lang", "source", part("a", 2), part("b", 3), part("c", 5), part("d", 7))
+    stem = F.concat(F.lit("d"), F.col("doc_id").cast("string"))
+    rows = d.select(category.alias("category"), stem.alias("stem"), F.array().cast("array<string>").alias("tags"),
+                    F.concat(category, F.lit("/"), stem, F.lit(".md")).alias("rel_path"))
+    return moc.moc_lines(rows, "2024-01-01 00:00:00")
+
+
 @query("unsupported_moc", "WITH " + lines_sql(
     WEB + r""", f AS (SELECT regexp_replace(page_path, '/?[^/]*$', '') AS category, page_path AS rel_path,
       regexp_extract(path, '[^/.](\.[^./]+)$', 1) AS ext,

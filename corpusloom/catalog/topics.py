@@ -88,6 +88,21 @@ def topic_candidates(spark, sf):
     return t.withColumn("score", F.round("score", 6))
 
 
+@query("topic_candidates_mixed", f"""WITH {EMB}, bo AS (SELECT vec_id AS doc_id, v, len(v) AS d FROM e
+  UNION ALL SELECT vec_id + 1000000, list_slice(v, 1, 8), 8 FROM e WHERE vec_id % 3 = 0),
+tops AS (SELECT CAST(topic_id AS BIGINT) AS topic_id, cen FROM c UNION ALL SELECT CAST(topic_id AS BIGINT) + 100, list_slice(cen, 1, 8) FROM c),
+sc AS (SELECT doc_id, topic_id, list_dot_product(v, cen) / {NORM.format('v')} / {NORM.format('cen')} AS score FROM bo JOIN tops ON len(cen) = d)
+SELECT doc_id, topic_id, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, topic_id) AS INTEGER) AS rank
+FROM sc QUALIFY rank <= 3""")
+def topic_candidates_mixed(spark, sf):
+    """Vectors and topics of two dimensions: each meets its own."""
+    v, t = leveled(spark, sf), centroids(spark, sf)
+    short = v.filter("doc_id % 3 = 0").select((F.col("doc_id") + 1000000).alias("doc_id"), "level1", F.slice("embedding", 1, 8).alias("embedding"))
+    few = t.select((F.col("topic_id") + 100).alias("topic_id"), "level1", F.slice("centroid", 1, 8).alias("centroid"))
+    out = topics.topic_candidates(v.unionByName(short), t.select("topic_id", "level1", "centroid").unionByName(few), 3)
+    return out.withColumn("score", F.round("score", 6))
+
+
 @query("topic_assign", f"""WITH {SCORES} SELECT doc_id, CASE WHEN score >= 0.2 THEN CAST(topic_id AS BIGINT) END AS topic_id, round(score, 6) AS score,
   CASE WHEN score >= 0.3 THEN 'match' WHEN score >= 0.2 THEN 'validate' ELSE 'new' END AS decision FROM rk WHERE rank = 1""")
 def topic_assign(spark, sf):

@@ -149,14 +149,13 @@ def duplicate_map(pages: DataFrame, threshold: float = K.TITLE_SIMILARITY) -> Da
     return keyed.join(where.filter("_many OR _linked").drop("_many", "_linked"), ["page_key", "title"]).select("page_path", "canonical")
 
 
-def merge_duplicates(pages: DataFrame, dup_map: DataFrame, note_names: int = 500) -> tuple[DataFrame, DataFrame]:
+def merge_duplicates(pages: DataFrame, dup_map: DataFrame, note_names: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(pages afterwards, rename map old -> new).
 
     pages: page_path, content, … The canonical page gets the union of the
     sources and tags and a note naming the merged pages; the others go, and
-    links to their paths point to the canonical one. The rename map always
-    holds every merged page; the note of a page with more than ``note_names``
-    of them ends with their number.
+    links to their paths point to the canonical one. The note lists every
+    merged page; with ``note_names`` it lists that many and their number.
     """
     gone = dup_map.filter("page_path <> canonical")
     member = dup_map.join(pages.select("page_path", "content"), "page_path").select(
@@ -166,10 +165,11 @@ def merge_duplicates(pages: DataFrame, dup_map: DataFrame, note_names: int = 500
         return member.select("canonical", F.explode(c).alias("v")).distinct().groupBy("canonical").agg(
             F.sort_array(F.collect_list("v")).alias("_" + c))
 
-    names = top_k(gone.select("canonical", P.basename("page_path").alias("v"), "page_path"),
-                  ["canonical"], [F.col("page_path").asc()], note_names)
+    names = gone.select("canonical", P.basename("page_path").alias("v"), "page_path")
+    if note_names is not None:
+        names = top_k(names, ["canonical"], [F.col("page_path").asc()], note_names)
     listed = names.groupBy("canonical").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("rank", "v"))), lambda s: s["v"]).alias("_names"))
+        F.transform(F.sort_array(F.collect_list(F.struct("page_path", "v"))), lambda s: s["v"]).alias("_names"))
     count = gone.groupBy("canonical").agg(F.count("*").alias("_count"))
     add = count.join(listed, "canonical").join(union_of("sources"), "canonical", "left").join(
         union_of("tags"), "canonical", "left").withColumnRenamed("canonical", "page_path")
@@ -178,7 +178,7 @@ def merge_duplicates(pages: DataFrame, dup_map: DataFrame, note_names: int = 500
     for c in ("sources", "tags"):
         has = (F.coalesce(F.size("_" + c), F.lit(0)) > 0) & F.contains(M.front_block("content"), F.lit(c + ":"))
         text = F.when(has, M.rewrite_list(text, c, "_" + c, '"')).otherwise(text)
-    more = F.when(F.col("_count") > note_names, F.concat(F.lit(" … "), F.col("_count").cast("string"))).otherwise("")
+    more = F.when(F.col("_count") > F.size("_names"), F.concat(F.lit(" … "), F.col("_count").cast("string"))).otherwise("")
     note = F.concat(F.lit("\n" + K.MERGED_FROM_PREFIX), F.array_join("_names", ", "), more, F.lit("\n"))
     end = F.locate("---\n", F.col("_text"), 5)
     with_note = F.when(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import markdown as M
 from ..functions import paths as P
 from ..plans.joins import attach
-from ..plans.ranking import top_k
+from ..plans.ranking import group_rank, top_k
 from ..session import settle
 
 PIECES = r"(?=\[\[)|(?<=\]\])"
@@ -23,66 +23,93 @@ def extract_links(pages: DataFrame, name: str = "note_name", max_chars: int | No
     )
 
 
-def _names(pages: DataFrame, match_on: str) -> DataFrame:
-    """Names a link may use: page stem, path without extension, or both."""
-    stem, path = pages.select(F.col("note_name").alias("target")), pages.select(P.without_suffix("path").alias("target"))
-    names = {"stem": stem, "path": path, "either": stem.union(path)}[match_on]
-    return names.distinct()
+def _page_id(match_on: str) -> Column:
+    """What identifies a page: its stem, or its path without extension."""
+    return F.col("note_name") if match_on == "stem" else P.without_suffix("path")
 
 
-def broken_links(pages: DataFrame, links: DataFrame, match_on: str = "stem", shown: int = 5) -> DataFrame:
-    """note_name, n_broken (repeats count), the first distinct broken targets."""
-    dead = links.filter("target <> ''").join(_names(pages, match_on), "target", "left_anti")
-    return dead.groupBy(F.col("src").alias("note_name")).agg(
-        F.count("*").alias("n_broken"),
-        F.slice(F.sort_array(F.collect_set("target")), 1, shown).alias("targets"),
-    )
+def resolve_links(pages: DataFrame, links: DataFrame, match_on: str = "stem") -> DataFrame:
+    """links with ``to``: the page a link means, NULL for none.
+
+    match_on: ``stem``, ``path`` (without extension), or ``either``, where a
+    path goes before a stem and of pages with one stem the last path counts.
+    """
+    path = P.without_suffix("path")
+    name = {"stem": [(F.col("note_name"), 0)], "path": [(path, 1)], "either": [(path, 1), (F.col("note_name"), 0)]}[match_on]
+    told = F.array(*[F.struct(P.normalize_link(n).alias("target"), F.lit(p).alias("first"), _page_id(match_on).alias("to")) for n, p in name])
+    names = pages.select(F.explode(told).alias("n")).groupBy("n.target").agg(F.max(F.struct("n.first", "n.to")).alias("n"))
+    return links.join(names.select("target", "n.to"), "target", "left").select(*links.columns, "to")
+
+
+def broken_links(pages: DataFrame, links: DataFrame, match_on: str = "stem", shown: int | None = 5) -> DataFrame:
+    """note_name, n_broken (repeats count), the first distinct broken targets
+    (``shown`` None: all)."""
+    return _broken(resolve_links(pages, links.filter("target <> ''"), match_on), shown)
+
+
+def _broken(resolved: DataFrame, shown: int | None) -> DataFrame:
+    targets = F.sort_array(F.collect_set("target"))
+    return resolved.filter("to IS NULL AND target <> ''").groupBy(F.col("src").alias("note_name")).agg(
+        F.count("*").alias("n_broken"), (targets if shown is None else F.slice(targets, 1, shown)).alias("targets"))
 
 
-def inlink_counts(pages: DataFrame, links: DataFrame) -> DataFrame:
-    n = links.groupBy(F.col("target").alias("note_name")).agg(F.count("*").alias("n_in"))
-    return pages.select("note_name").join(n, "note_name", "left").fillna(0, ["n_in"])
+def inlink_counts(pages: DataFrame, links: DataFrame, match_on: str = "stem") -> DataFrame:
+    """note_name (the path without extension unless matched on stems), n_in."""
+    return _inlinks(pages.select(_page_id(match_on).alias("note_name")), resolve_links(pages, links, match_on))
 
 
-def orphans(pages: DataFrame, links: DataFrame, orphan_max: int = 1, exempt: str = "MOC_") -> DataFrame:
+def _inlinks(ids: DataFrame, resolved: DataFrame) -> DataFrame:
+    n = resolved.filter("to IS NOT NULL").groupBy(F.col("to").alias("note_name")).agg(F.count("*").alias("n_in"))
+    return ids.join(n, "note_name", "left").fillna(0, ["n_in"])
+
+
+def _exempt(exempt: str) -> Column:
+    return F.startswith(P.basename("note_name"), F.lit(exempt))
+
+
+def orphans(pages: DataFrame, links: DataFrame, orphan_max: int = 1, exempt: str = "MOC_", match_on: str = "stem") -> DataFrame:
     """Pages with at most ``orphan_max`` links to them; index pages exempt."""
-    return inlink_counts(pages, links).filter(
-        (F.col("n_in") <= orphan_max) & ~F.startswith("note_name", F.lit(exempt))
-    )
+    return inlink_counts(pages, links, match_on).filter((F.col("n_in") <= orphan_max) & ~_exempt(exempt))
 
 
 def no_outlinks(pages: DataFrame, links: DataFrame, exempt: str = "MOC_") -> DataFrame:
     has = links.filter("target <> ''").select(F.col("src").alias("note_name")).distinct()
-    return pages.select("note_name").filter(~F.startswith("note_name", F.lit(exempt))).join(
-        has, "note_name", "left_anti"
-    )
+    return pages.select("note_name").filter(~_exempt(exempt)).join(has, "note_name", "left_anti")
 
 
-def lint(pages: DataFrame, match_on: str = "stem", orphan_max: int = 1, max_chars: int | None = None) -> DataFrame:
+def lint(pages: DataFrame, match_on: str = "stem", orphan_max: int = 1, max_chars: int | None = None,
+         shown: int | None = 5) -> DataFrame:
     """type, severity, note_name, n, related of all findings.
 
-    Of pages with the same stem the last path counts, for all checks. Texts
-    are scanned once and never shuffled; the checks read the link table.
+    Matched on stems, of pages with the same stem the last path counts, for
+    all checks; else every path is a page and note_name its path without
+    extension. Texts are scanned once and never shuffled; each link is resolved
+    once, and all checks read that table.
     """
-    one = pages.groupBy("note_name").agg(F.max("path").alias("path"))
-    found = extract_links(pages.withColumn("_who", F.struct("note_name", "path")), "_who", max_chars)
-    found = found.select(F.col("src.note_name").alias("note_name"), F.col("src.path").alias("path"), "pos", "target")
-    links = settle(found.join(one, ["note_name", "path"], "left_semi").select(F.col("note_name").alias("src"), "pos", "target"))
+    one = pages.groupBy(_page_id(match_on).alias("page")).agg(F.max(F.struct("path", "note_name")).alias("p")).select(
+        "page", "p.path", "p.note_name")
+    found = extract_links(pages.withColumn("_who", F.struct("path")), "_who", max_chars)
+    found = found.select(F.col("src.path").alias("path"), "pos", "target").join(one.select("page", "path"), "path")
+    links = settle(resolve_links(one, found.select(F.col("page").alias("src"), "pos", "target"), match_on))
+    ids = one.select(F.col("page").alias("note_name"))
     head = lambda kind, sev: [F.lit(kind).alias("type"), F.lit(sev).alias("severity"), "note_name"]
     none = F.array().cast("array<string>").alias("related")
+    lonely = _inlinks(ids, links).filter((F.col("n_in") <= orphan_max) & ~_exempt("MOC_"))
     return (
-        orphans(one, links, orphan_max).select(*head("orphan", "warning"), F.col("n_in").alias("n"), none)
-        .unionByName(broken_links(one, links, match_on).select(
+        lonely.select(*head("orphan", "warning"), F.col("n_in").alias("n"), none)
+        .unionByName(_broken(links, shown).select(
             *head("broken-link", "warning"), F.col("n_broken").alias("n"), F.col("targets").alias("related")))
-        .unionByName(no_outlinks(one, links).select(
+        .unionByName(no_outlinks(ids, links).select(
             *head("no-outlinks", "info"), F.lit(0).cast("bigint").alias("n"), none))
     )
 
 
-def lint_summary(findings: DataFrame, shown: int = 10) -> DataFrame:
-    """Total per type with its first findings."""
+def lint_summary(findings: DataFrame, shown: int | None = 10) -> DataFrame:
+    """Total per type with its first findings (``shown`` None: all)."""
     total = findings.groupBy("type", "severity").agg(F.count("*").alias("total"))
-    first = top_k(findings.select("type", "note_name", "n"), ["type"], [F.col("note_name").asc()], shown)
+    rows = findings.select("type", "note_name", "n")
+    first = group_rank(rows, ["type"], ["note_name"], "rank") if shown is None else top_k(
+        rows, ["type"], [F.col("note_name").asc()], shown)
     return first.join(total, "type")
 
 

@@ -62,8 +62,10 @@ def subtree_counts(rows: DataFrame) -> DataFrame:
 
 
 def paged(rows: DataFrame, max_entries: int = K.MOC_MAX_ENTRIES) -> DataFrame:
-    """Adds rn, part, parts and total in walk order of rel_path (unique)."""
-    ranked = global_rank(rows.withColumn("_walk", P.walk_order("rel_path")), ["_walk"]).drop("_walk")
+    """Adds rn, part, parts and total in walk order of rel_path."""
+    # a path may be listed more than once
+    ties = [c for c in ("stem", "category", "ext") if c in rows.columns]
+    ranked = global_rank(rows.withColumn("_walk", P.walk_order("rel_path")), ["_walk", *ties]).drop("_walk")
     total = ranked.agg(F.count("*")).scalar()
     return ranked.withColumn("total", total).select(
         "*",
@@ -93,13 +95,14 @@ def stale_files(existing: DataFrame, current: DataFrame, base: str = "MOC") -> D
 
 
 def _lines(rows: DataFrame, link: Column, head: list[tuple[str, Column, Column | None]], foot: Column,
-           max_entries: int, depth: int) -> DataFrame:
+           max_entries: int, depth: int | None) -> DataFrame:
     """part, ord, line. Parts hold at most max_entries notes, so the windows
-    and groups per part are bounded."""
+    and groups per part are bounded. Notes in folders below ``depth`` stand
+    under their deepest heading."""
     r = paged(rows, max_entries).withColumn("_link", link)
-    deep = F.size(F.split("category", "/"))
-    path = F.concat(C("2"), F.replace(F.col("category"), C("/"), C("\x01")))
-    notes = r.filter((F.col("category") == "") | (deep <= depth)).select(
+    folders = F.split("category", "/")
+    path = F.concat(C("2"), F.array_join(folders if depth is None else F.slice(folders, 1, depth), "\x01"))
+    notes = r.select(
         "part", "rn",
         F.when(F.col("category") == "", C("1\x01")).otherwise(F.concat(path, C("\x01"))).alias("k"),
         F.concat(C("- [["), "_link", C("\n")).alias("line"),
@@ -136,11 +139,11 @@ def _num(c: str) -> Column:
 
 
 def moc_lines(rows: DataFrame, made_at: str, max_entries: int = K.MOC_MAX_ENTRIES,
-              max_tags: int = K.MOC_MAX_TAGS, max_depth: int = K.MOC_MAX_DEPTH) -> DataFrame:
+              max_tags: int = K.MOC_MAX_TAGS, max_depth: int | None = K.MOC_MAX_DEPTH) -> DataFrame:
     """Lines of the knowledge-tree pages from index entries.
 
-    Headings count whole subtrees of their part; folders below ``max_depth``
-    are counted but not listed.
+    Headings count whole subtrees of their part; notes in folders below
+    ``max_depth`` are listed under their deepest heading (None: no limit).
     """
     shown = T.tag_display("tags", max_tags)
     link = F.concat(F.col("stem"), C("]]"), F.when(F.size("tags") > 0, F.concat(C(" "), shown)).otherwise(""))
@@ -155,7 +158,7 @@ def moc_lines(rows: DataFrame, made_at: str, max_entries: int = K.MOC_MAX_ENTRIE
 
 
 def unsupported_lines(rows: DataFrame, made_at: str, max_entries: int = K.MOC_MAX_ENTRIES,
-                      max_depth: int = K.MOC_MAX_DEPTH, footer: str = K.FOOTER_PREFIX) -> DataFrame:
+                      max_depth: int | None = K.MOC_MAX_DEPTH, footer: str = K.FOOTER_PREFIX) -> DataFrame:
     """Lines of the unsupported-file pages; rows: category, stem, ext, rel_path."""
     link = F.concat("stem", F.coalesce("ext", C("")), C("]]"))
     part_line = F.concat(C("\n> 第 "), _num("part"), C("/"), _num("parts"), C(" 部分 | 总计 "), _num("total"), C(" 个文件\n"))
@@ -200,11 +203,12 @@ def failed_entries(pages: DataFrame) -> DataFrame:
     )
 
 
-def failed_lines(rows: DataFrame, made_at: str, shown: int = 80, footer: str = K.FOOTER_PREFIX) -> DataFrame:
-    """ord, line of the failed-file page; rows: stem, source, reason."""
-    r = global_rank(rows, ["stem"])
+def failed_lines(rows: DataFrame, made_at: str, shown: int | None = 80, footer: str = K.FOOTER_PREFIX) -> DataFrame:
+    """ord, line of the failed-file page; rows: stem, source, reason, and path
+    if stems repeat. ``shown``: characters of a reason (None: all)."""
+    r = global_rank(rows, [c for c in ("stem", "path", "source", "reason") if c in rows.columns])
     total = r.agg(F.count("*").alias("n")).filter("n > 0")
-    short = F.when(F.length("reason") > shown, F.concat(F.substring("reason", 1, shown), C("..."))).otherwise(F.col("reason"))
+    short = F.col("reason") if shown is None else F.when(F.length("reason") > shown, F.concat(F.substring("reason", 1, shown), C("..."))).otherwise(F.col("reason"))
     body = r.select(
         F.col("rn").alias("ord"),
         F.concat(

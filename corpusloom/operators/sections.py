@@ -59,9 +59,10 @@ def overview_parts(rows: DataFrame, doc: str, pos: str, summary: str, per_part:
 
 
 def outline_parts(rows: DataFrame, doc: str, pos: str, title: str, summary: str, per_part: int = 50,
-                  shown: int = 100, max_chars: int | None = None) -> DataFrame:
-    """As overview_parts with lines ``title: start of the summary``."""
-    t, s = T.nonblank(title), T.nonblank(F.substring(summary, 1, shown))
+                  shown: int | None = None, max_chars: int | None = None) -> DataFrame:
+    """As overview_parts with lines ``title: summary`` (its first ``shown``
+    characters, all by default)."""
+    t, s = T.nonblank(title), T.nonblank(F.col(summary) if shown is None else F.substring(summary, 1, shown))
     line = F.when(s.isNotNull(), F.concat(t, C(": "), s)).otherwise(t)
     out = rows.groupBy(doc, F.floor(F.col(pos) / per_part).alias("part")).agg(ordered_text(pos, line, "\n").alias("text"))
     if max_chars is not None:
@@ -153,11 +154,13 @@ def describe_images(images: DataFrame, recognised: Column | None = None, limit:
     return images.withColumn("description", F.coalesce(given, rec, C("")))
 
 
-def image_context(images: DataFrame, doc: str, label: str = "图片", limit: int = K.MAX_IMAGES) -> DataFrame:
-    """doc, context: ``[label i] text`` of the first ``limit`` images with text."""
+def image_context(images: DataFrame, doc: str, label: str = K.IMAGE_LABEL, limit: int | None = None) -> DataFrame:
+    """doc, context: ``[label i] text`` of the images with text, of the first
+    ``limit`` of a document only if that is given."""
     text = F.when(F.col("description") != "", F.concat(
         C("[" + label), (F.col("pos") + 1).cast("string"), C("] "), "description"))
-    return images.filter(F.col("pos") < limit).groupBy(doc).agg(ordered_text("pos", text, "\n\n").alias("context"))
+    picked = images if limit is None else images.filter(F.col("pos") < limit)
+    return picked.groupBy(doc).agg(ordered_text("pos", text, "\n\n").alias("context"))
 
 
 def with_image_context(texts: DataFrame, context: DataFrame, doc: str, text: str) -> DataFrame:
@@ -175,12 +178,12 @@ def enhanced_context(hint, points, entities, concepts, text) -> Column:
         return F.when(F.size(c) > 0, F.concat(C(label), F.array_join(items, sep)))
 
     parts = F.array_compact(F.array(
-        F.concat(C("文档核心概述: "), T.nonblank(hint)),
-        listed(points, "关键论点:\n", "\n", "- "),
-        listed(entities, "涉及实体: ", ", "),
-        listed(concepts, "涉及概念: ", ", "),
+        F.concat(C(K.OVERVIEW_LABEL), T.nonblank(hint)),
+        listed(points, K.POINTS_LABEL + "\n", "\n", "- "),
+        listed(entities, K.ENTITIES_LABEL, ", "),
+        listed(concepts, K.CONCEPTS_LABEL, ", "),
     ))
-    head = F.concat(C("【结构分析结果】\n"), F.array_join(parts, "\n\n"), C("\n\n【文档原文】\n"), F.col(text))
+    head = F.concat(C(K.ANALYSIS_LABEL + "\n"), F.array_join(parts, "\n\n"), C(f"\n\n{K.ORIGINAL_TEXT_LABEL}\n"), F.col(text))
     return F.when(F.size(parts) > 0, head).otherwise(F.col(text))
 
 
@@ -219,9 +222,10 @@ def strip_fence(raw) -> Column:
     return F.when(F.startswith(r, C("```")), F.array_join(inner, "\n")).otherwise(r)
 
 
-def parse_structure(raw, text, short: int = 100, hint: int = 50) -> Column:
+def parse_structure(raw, text, short: int = 100, hint: int | None = None) -> Column:
     """struct of a structure answer with defaults for what is missing; answers
-    that are not JSON give empty lists and the start of the text as hint."""
+    that are not JSON give empty lists and the text (its first ``hint``
+    characters) as hint."""
     t = F.col(text) if isinstance(text, str) else text
     p = F.from_json(strip_fence(raw), STRUCTURE)
     good = F.startswith(strip(strip_fence(raw)), C("{")) & F.get_json_object(strip_fence(raw), "$").isNotNull()
@@ -230,6 +234,6 @@ def parse_structure(raw, text, short: int = 100, hint: int = 50) -> Column:
     lists = [F.when(~is_short & good, F.coalesce(p[c], none)).otherwise(none).alias(c)
              for c in ("entities", "concepts", "key_points")]
     kind = F.when(is_short, K.SHORT_TEXT_TYPE).when(good, F.coalesce(p["doc_type"], C(K.UNKNOWN_TYPE))).otherwise(K.UNKNOWN_TYPE)
-    start = F.substring(t, 1, hint)
+    start = t if hint is None else F.substring(t, 1, hint)
     line = F.when(is_short, start).when(good, F.coalesce(p["summary_hint"], C(""))).otherwise(start)
     return F.struct(*lists, kind.alias("doc_type"), line.alias("summary_hint"))

@@ -87,36 +87,39 @@ def _out(lists):
 def topic_candidates(vecs: DataFrame, topics: DataFrame, k: int = K.TOPIC_TOP_K, dim: int | None = None,
                      max_shared: int = MAX_SHARED_CELLS, block_rows: int = 4096) -> DataFrame:
     """doc_id, topic_id, score, rank: the k nearest active topics of the same
-    level1 by cosine.
+    level1 and dimension by cosine.
 
-    vecs: doc_id, level1, embedding; topics: topic_id, level1, centroid.
-    Vectors whose dimension differs from the topics' are skipped. The size of
-    the topics is checked first: few are shared with all tasks and vectors
-    stay where they are; many are cut into blocks that meet blocks of vectors.
+    vecs: doc_id, level1, embedding; topics: topic_id, level1, centroid; with
+    ``dim`` only those of that dimension. The size of the topics is checked
+    first: few are shared with all tasks and vectors stay where they are; many
+    are cut into blocks that meet blocks of vectors.
     """
-    shape = topics.agg(F.count("*").alias("n"), F.max(F.size("centroid")).alias("d")).first()
-    d = dim or shape["d"] or 0
-    vecs = vecs.filter(F.size("embedding") == d).select("doc_id", "level1", V.as_double("embedding").alias("embedding"))
-    topics = topics.filter(F.size("centroid") == d).select("topic_id", "level1", V.as_double("centroid").alias("centroid"))
-    if shape["n"] * max(d, 1) <= max_shared:
-        rows = topics.collect()  # at most max_shared numbers
+    def sized(df, ident, vec):
+        n = F.size(vec)
+        fit = df.filter((n > 0) if dim is None else (n == dim))
+        return fit.select(ident, "level1", n.alias("dim"), V.as_double(vec).alias(vec))
+
+    vecs, topics = sized(vecs, "doc_id", "embedding"), sized(topics, "topic_id", "centroid")
+    cells = topics.agg(F.coalesce(F.sum("dim"), F.lit(0)).alias("n")).first()["n"]
+    if cells <= max_shared:
+        rows = topics.toArrow()  # at most max_shared numbers
         by_level: dict = {}
-        for r in rows:
-            by_level.setdefault(r["level1"], []).append(r)
+        for i, key in enumerate(zip(rows.column("level1").to_pylist(), rows.column("dim").to_pylist())):
+            by_level.setdefault(key, []).append(i)
         mats = vecs.sparkSession.sparkContext.broadcast({
-            lv: (np.array([r["topic_id"] for r in rs], dtype=np.int64),
-                 _unit_rows(pa.array([list(r["centroid"]) for r in rs], pa.list_(pa.float64()))))
-            for lv, rs in by_level.items()})
+            key: (rows.column("topic_id").take(pa.array(at)).to_numpy(), _unit_rows(rows.column("centroid").take(pa.array(at))))
+            for key, at in by_level.items()})
 
         def near(batches):
             for b in batches:
                 lists = [[], [], []]
                 level = b.column("level1").to_numpy(zero_copy_only=False)
-                for lv in set(level):
-                    if lv not in mats.value:
+                dims = b.column("dim").to_numpy()
+                for key in set(zip(level.tolist(), dims.tolist())):
+                    if key not in mats.value:
                         continue
-                    at = pa.array(np.flatnonzero(level == lv))
-                    tids, mat = mats.value[lv]
+                    at = pa.array(np.flatnonzero((level == key[0]) & (dims == key[1])))
+                    tids, mat = mats.value[key]
                     _best(b.column("doc_id").take(at), _unit_rows(b.column("embedding").take(at)), tids, mat, k, lists)
                 out = _out(lists)
                 if out is not None:
@@ -124,15 +127,16 @@ def topic_candidates(vecs: DataFrame, topics: DataFrame, k: int = K.TOPIC_TOP_K,
 
         cand = vecs.mapInArrow(near, CAND)
     else:
-        n_lo = vecs.groupBy("level1").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("_nlo"))
-        n_hi = topics.groupBy("level1").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("_nhi"))
-        size = n_lo.join(n_hi, "level1")
+        keys = ["level1", "dim"]
+        n_lo = vecs.groupBy(*keys).agg(F.ceil(F.count("*") / block_rows).cast("int").alias("_nlo"))
+        n_hi = topics.groupBy(*keys).agg(F.ceil(F.count("*") / block_rows).cast("int").alias("_nhi"))
+        size = n_lo.join(n_hi, keys)
         cut = lambda ident, n: F.pmod(F.xxhash64(ident), F.col(n)).cast("int")
-        left = vecs.join(size, "level1").select(
-            "level1", F.lit(0).alias("side"), F.col("doc_id").alias("id"), F.col("embedding").alias("v"),
+        left = vecs.join(size, keys).select(
+            *keys, F.lit(0).alias("side"), F.col("doc_id").alias("id"), F.col("embedding").alias("v"),
             cut("doc_id", "_nlo").alias("_lo"), F.explode(F.sequence(F.lit(0), F.col("_nhi") - 1)).alias("_hi"))
-        right = topics.join(size, "level1").select(
-            "level1", F.lit(1).alias("side"), F.col("topic_id").alias("id"), F.col("centroid").alias("v"),
+        right = topics.join(size, keys).select(
+            *keys, F.lit(1).alias("side"), F.col("topic_id").alias("id"), F.col("centroid").alias("v"),
             F.explode(F.sequence(F.lit(0), F.col("_nlo") - 1)).alias("_lo"), cut("topic_id", "_nhi").alias("_hi"))
 
         def near_cell(t: pa.Table):
@@ -144,7 +148,7 @@ def topic_candidates(vecs: DataFrame, topics: DataFrame, k: int = K.TOPIC_TOP_K,
             _best(a.column("id").combine_chunks(), _unit_rows(a.column("v")), b.column("id").to_numpy(), _unit_rows(b.column("v")), k, lists)
             return _out(lists)
 
-        cand = blocks.run_cells(left.unionByName(right), ["level1"], near_cell, CAND)
+        cand = blocks.run_cells(left.unionByName(right), keys, near_cell, CAND)
     return top_k(cand, ["doc_id"], [F.col("score").desc(), F.col("topic_id").asc()], k)
 
 

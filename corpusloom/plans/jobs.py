@@ -27,21 +27,37 @@ def crosslink_pages(pages: DataFrame, k: int = K.MAX_LINKS, min_score: float = K
                     pattern: str = K.CJK_KEYWORD) -> DataFrame:
     """Pages with their related-pages section written, and ``changed``.
 
-    pages: note_name, rel_path, content, tags, category, summary. Child pages
+    pages: note_name, rel_path, content, tags, category, summary. Pages are
+    told apart by rel_path, since folders may share a stem. Child pages
     (``parent:``) are left as they are.
     """
-    best = related.related_docs(pages, k, min_score, pattern)
-    target = pages.select(F.col("note_name").alias("other_name"), P.without_suffix("rel_path").alias("target"))
+    best = related.related_docs(pages.withColumn("note_name", F.col("rel_path")), k, min_score, pattern)
     # at most k links per page
-    per = best.join(target, "other_name").groupBy("note_name").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("rank", "target"))), lambda s: s["target"]).alias("_targets"))
-    j = attach(pages, per, "note_name")
+    per = best.groupBy(F.col("note_name").alias("rel_path")).agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("rank", "other_name"))),
+                    lambda s: P.without_suffix(s["other_name"])).alias("_targets"))
+    j = attach(pages, per, "rel_path")
     child = F.contains(M.front_block("content"), C("parent:"))
     text = F.when(F.col("_targets").isNull() | child, F.col("content")).otherwise(M.put_related("content", "_targets", keep_footer=True))
     return j.withColumn("_new", text).withColumn("changed", F.col("_new") != F.col("content")).withColumn(
         "content", F.col("_new")).select(*pages.columns, "changed")
 
 
+def ranked_tags(answers: DataFrame, limit: int = 8) -> DataFrame:
+    """path, _t, _e2: the tags of all parts of a text, those that most parts
+    name first, then by part and place; the error of any part.
+
+    answers: path, part, answer (comma-separated), error.
+    """
+    each = answers.select("path", "part", F.posexplode(F.split("answer", ",")).alias("at", "tag"))
+    each = each.select("path", "part", "at", T.strip("tag").alias("tag"))
+    told = each.groupBy("path", "tag").agg(F.count_distinct("part").alias("n"), F.min(F.struct("part", "at")).alias("first"))
+    row = F.struct((-F.col("n")).alias("n"), "first", "tag")
+    listed = told.groupBy("path").agg(F.transform(F.sort_array(F.collect_list(row)), lambda r: r["tag"]).alias("all"))
+    failed = answers.groupBy("path").agg(F.max("error").alias("_e2"))
+    return failed.join(listed, "path", "left").select("path", T.clean_tags("all", limit).alias("_t"), "_e2")
+
+
 def classify_dynamic(docs: DataFrame, rules: dict, known: DataFrame, words: DataFrame, type_words: list[str],
                      match: float = K.TOPIC_MATCH, validate: float = K.TOPIC_VALIDATE) -> DataFrame:
     """doc_id, path, decision, type_tags: rules pick the first level, then the
@@ -122,13 +138,12 @@ class Vault:
         sums, tags = ask("summary", summarise), ask("tags", tag)
         summary = sums.groupBy("path").agg(sections.ordered_text("part", F.col("answer"), "\n").alias("summary"),
                                            F.max("error").alias("_e1"))
-        tagged = tags.groupBy("path").agg(sections.ordered_text("part", F.col("answer"), ",").alias("_t"), F.max("error").alias("_e2"))
-        notes = md.join(summary, "path").join(tagged, "path").join(todo.select("path", "rel_path", "category", "name"), "path")
+        notes = md.join(summary, "path").join(ranked_tags(tags), "path").join(todo.select("path", "rel_path", "category", "name"), "path")
         failed = settle(bad.select("path", "error").unionByName(
             notes.filter("_e1 IS NOT NULL OR _e2 IS NOT NULL").select("path", F.coalesce("_e1", "_e2").alias("error"))))
         notes = notes.filter("_e1 IS NULL AND _e2 IS NULL")
         short = F.length("plain") < K.REQUEST_LIMITS["tags"][0]
-        notes = notes.withColumn("tags", F.when(short, F.array().cast("array<string>")).otherwise(T.clean_tags(F.split("_t", ","))))
+        notes = notes.withColumn("tags", F.when(short, F.array().cast("array<string>")).otherwise(F.col("_t")))
         titles = F.transform(F.coalesce("secs", F.array()), lambda s: s["title"])
         outline = T.outline_lines(C(""), titles)
         page = M.render_page("name", C(date), "category", "tags", F.concat(C("source/"), "rel_path"), "summary", outline, C(made_at))
@@ -140,11 +155,12 @@ class Vault:
         new = settle_table(named.select(
             F.col("file").alias("rel_path"), P.stem("file").alias("note_name"), "source_path", "category", "tags", "summary", "content"))
 
-        self._record(inv, todo, new, failed, date, made_at)
+        # pages go first: if the run ends before the state is written, the next one does these files again
         pages = self.pages.read()
         if not new.isEmpty():  # nothing new leaves the stored pages as they are
             pages = incremental.replace_rows(pages, new, ["source_path"])
             pages = self.pages.write(crosslink_pages(pages, pattern=pattern).drop("changed"))
+        self._record(inv, todo, new, failed, date, made_at)
         return {"new": new, "failed": failed, "changes": changes, "moc": self.moc(made_at), "pages": pages}
 
     def _record(self, inv, todo, new, failed, date, made_at) -> None:
@@ -172,7 +188,7 @@ class Vault:
 
     def failed_moc(self, made_at: str) -> DataFrame:
         rows = self.status.read().filter("status = 'failed'").select(
-            P.stem(M.failure_name("path", C(made_at))).alias("stem"), P.basename("path").alias("source"),
+            P.stem(M.failure_name("path", C(made_at))).alias("stem"), "path", P.basename("path").alias("source"),
             F.coalesce("error", C("")).alias("reason"))
         return moc.failed_lines(rows, made_at)
 
@@ -191,7 +207,31 @@ class Vault:
         return self.ingest(source, made_at, only="image", **kw)
 
     def lint(self, **kw) -> DataFrame:
-        return links.lint(self.pages.read().withColumnRenamed("rel_path", "path"), **kw)
+        """Findings; links name pages by path or stem."""
+        return links.lint(self.pages.read().withColumnRenamed("rel_path", "path"), **{"match_on": "either", **kw})
+
+    def drop_sources(self, deleted: DataFrame) -> DataFrame:
+        """The cascade on the stored pages: those made from deleted files go,
+        links to them go, and status, cache and index forget the files.
+
+        deleted: path. Returns the pages that are left.
+        """
+        gone = deleted.select(F.col("path").alias("source_path")).distinct()
+        pages = self.pages.read()
+        lost = settle(pages.join(gone, "source_path", "left_semi").select("rel_path", "note_name"))
+        left = attach(pages, lost.select("rel_path"), "rel_path", "left_anti")
+        # links are paths without extension, or stems that no page left has
+        stems = lost.select("note_name").join(left.select("note_name"), "note_name", "left_anti")
+        dead = lost.select(P.without_suffix("rel_path").alias("note_name")).unionByName(stems)
+        named = left.withColumn("_stem", F.col("note_name")).withColumn("note_name", F.col("rel_path"))
+        cut = links.remove_links(named, dead, squeeze_all=False)
+        out = self.pages.write(cut.withColumn("note_name", F.col("_stem")).select(*pages.columns))
+        files = gone.withColumnRenamed("source_path", "path")
+        self.status.write(self.status.read().join(files, "path", "left_anti"))
+        self.cache.write(self.cache.read().join(files, "path", "left_anti"))
+        notes = lost.select(F.col("rel_path").alias("note_path"))
+        self.index.write(self.index.read().join(notes, "note_path", "left_anti").select("md5", "filename", "category", "note_path"))
+        return out
 
     def repair(self, source: str, made_at: str, pattern: str = K.CJK_KEYWORD) -> dict[str, DataFrame]:
         """Bring categories and folders in line with the sources, rewrite old

@@ -12,6 +12,8 @@ from pyspark.sql.types import StringType
 
 from .. import constants as K
 from ..functions import paths as P
+from ..plans.ranking import global_rank
+from ..session import scratch_path
 
 C = F.lit
 
@@ -26,14 +28,63 @@ def _decoded(path) -> Column:
     return F.url_decode(F.replace(_plain(path), C("+"), C("%2B")))
 
 
+def _hidden(spark: SparkSession, root: str) -> tuple[list[str], list]:
+    """(folders, file states) below root whose name starts with ``_`` or ``.``.
+
+    Spark's readers pass over such names. Only names are listed here, level by
+    level.
+    """
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    every = lambda pattern: fs.globStatus(jvm.org.apache.hadoop.fs.Path(pattern)) or []
+    folders, files, level = [], [], _escaped(root.rstrip("/"))
+    while True:
+        for s in every(level + "/{_,.}*"):
+            if s.isDirectory():
+                folders.append(s.getPath().toString())
+            else:
+                files.append(s)
+        level += "/*"
+        if not any(s.isDirectory() for s in every(level)):
+            return folders, files
+
+
+def _escaped(path: str) -> str:
+    return "".join("\\" + c if c in "\\[]{}*?" else c for c in path)
+
+
+def _binary(spark: SparkSession, root: str) -> DataFrame:
+    """path, length, modificationTime, content of all files below root.
+
+    Files that Spark's readers pass over for their name are copied to the
+    shared folder under plain names first.
+    """
+    folders, files = _hidden(spark, root)
+    read = lambda paths: spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths)
+    raw = read([_escaped(root), *map(_escaped, folders)]).select("path", "length", "modificationTime", "content")
+    if not files:
+        return raw
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    place, rows = scratch_path(spark, "files"), []
+    for i, s in enumerate(files):
+        to = jvm.org.apache.hadoop.fs.Path(f"{place}/f{i}")
+        jvm.org.apache.hadoop.fs.FileUtil.copy(s.getPath().getFileSystem(conf), s.getPath(), to.getFileSystem(conf), to, False, conf)
+        rows.append((f"f{i}", s.getPath().toString(), s.getModificationTime()))
+    names = spark.createDataFrame(rows, "copy string, own string, ms long")
+    copies = read(place).withColumn("copy", P.basename("path")).join(F.broadcast(names), "copy").select(
+        F.col("own").alias("path"), "length", F.timestamp_millis("ms").alias("modificationTime"), "content")
+    return raw.unionByName(copies)
+
+
 def inventory(spark: SparkSession, root: str, hashes: bool = True) -> DataFrame:
     """path, rel_path, name, ext, kind, size, modified (md5, sha256) of files.
 
     kind: parseable, image, unsupported, or hidden (dot-files no parser
-    takes). Without hashes the contents are not read. Folders and files that
-    start with ``_`` or ``.`` are not listed by Spark; name them as root.
+    takes). Without hashes the contents are not read. Files and folders that
+    start with ``_`` or ``.`` are listed like others.
     """
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    raw = _binary(spark, root)
     ext = P.suffix("path")
     kind = (
         F.when(ext.isin(K.PARSEABLE_EXTS), "parseable").when(ext.isin(K.IMAGE_EXTS), "image")
@@ -46,10 +97,21 @@ def inventory(spark: SparkSession, root: str, hashes: bool = True) -> DataFrame:
     return raw.withColumn("path", _plain("path")).select(*cols)
 
 
+def sorted_inventory(files: DataFrame) -> DataFrame:
+    """Adds ``rn``: the place of a file in a sorted walk of the folders."""
+    return global_rank(files.withColumn("_walk", P.walk_order("rel_path")), ["_walk"]).drop("_walk")
+
+
 def vault_pages(spark: SparkSession, root: str, exclude: list[str] = K.MOC_EXCLUDE_DIRS) -> DataFrame:
-    """rel_path, path, note_name, content of all Markdown pages below root."""
+    """rel_path, path, note_name, content of all Markdown pages below root.
+
+    exclude: folders left out; each consumer has its own set in ``constants``.
+    Dot folders are left out always.
+    """
+    folders = [f for f in _hidden(spark, root)[0] if "/." not in f[len(root):]]
     raw = (
-        spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(root, wholetext=True)
+        spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md")
+        .text([_escaped(root), *map(_escaped, folders)], wholetext=True)
         .select(_decoded("_metadata.file_path").alias("path"), F.col("value").alias("content"))
     )
     pages = raw.withColumn("rel_path", P.relative_to("path", C(root)))
@@ -145,6 +207,5 @@ def parse_files(files: DataFrame, parsers: dict[str, Parser] = PARSERS) -> DataF
 
 def read_contents(spark: SparkSession, root: str) -> DataFrame:
     """path, rel_path, ext, content of all files below root."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    raw = raw.withColumn("path", _plain("path"))
+    raw = _binary(spark, root).withColumn("path", _plain("path"))
     return raw.select("path", P.relative_to("path", C(root)).alias("rel_path"), P.suffix("path").alias("ext"), "content")

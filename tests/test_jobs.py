@@ -170,3 +170,94 @@ def test_ingest_stream_is_incremental(spark, tmp_path):
     spark.createDataFrame([("g", "m1", 1), ("h", "new", 2)], "path string, md5 string, n long").coalesce(1).write.mode("append").parquet(path)
     run()
     assert log.rows().count() == 8 and log.rows().filter("md5 = 'new'").count() == 1
+
+
+# ---- what the jobs must not lose ----------------------------------------------------------
+
+def test_names_with_underscore_or_dot_are_files(spark, tmp_path):
+    root = tmp_path / "s r[c]"
+    for name in ("_plan.md", "_drafts/x.md", "a/_b/_c/y.md", ".note.md", ".h/z.csv", "a/n.md"):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(f"text of {name}")
+    got = {r["rel_path"]: r for r in files.inventory(spark, str(root)).collect()}
+    assert set(got) == {"_plan.md", "_drafts/x.md", "a/_b/_c/y.md", ".note.md", ".h/z.csv", "a/n.md"}
+    assert {r["kind"] for r in got.values()} == {"parseable"} and got["_plan.md"]["size"] == len("text of _plan.md")
+    text = {r["rel_path"]: bytes(r["content"]).decode() for r in files.read_contents(spark, str(root)).collect()}
+    assert text == {k: f"text of {k}" for k in got}
+    assert {r["rel_path"] for r in files.vault_pages(spark, str(root)).collect()} == {"_drafts/x.md", "a/_b/_c/y.md", "a/n.md"}
+    order = [r["rel_path"] for r in files.sorted_inventory(files.inventory(spark, str(root), hashes=False)).orderBy("rn").collect()]
+    assert order == sorted(order, key=lambda p: p.replace("/", "\x01"))
+
+
+def test_crosslink_tells_equal_stems_apart(spark):
+    rows = [("a", "x/a.md", "A", ["t", "u"], "x", ""), ("a", "y/a.md", "B", ["v", "w"], "y", ""), ("c", "x/c.md", "C", ["t", "u"], "x", ""), ("d", "y/d.md", "D", ["v", "w"], "y", "")]
+    df = spark.createDataFrame(rows, "note_name string, rel_path string, content string, tags array<string>, category string, summary string")
+    got = {r["rel_path"]: r["content"] for r in crosslink_pages(df).collect()}
+    assert "[[x/c]]" in got["x/a.md"] and "[[y/d]]" not in got["x/a.md"]
+    assert "[[y/d]]" in got["y/a.md"] and "[[x/c]]" not in got["y/a.md"]
+    assert "[[x/a]]" in got["x/c.md"] and "[[y/a]]" in got["y/d.md"]
+
+
+def test_lint_of_cross_linked_vault_finds_nothing(spark, source, tmp_path):
+    v = Vault(spark, str(tmp_path / "vault"))
+    v.ingest(source, "2024-05-01 10:00:00", pattern=WORDS)
+    linked = v.pages.read().filter("content LIKE '%## 相关文档%'")
+    names = {r["rel_path"][:-3] for r in linked.collect()}
+    found = v.lint(orphan_max=0, shown=None).collect()
+    assert len(names) >= 2 and not names & {r["note_name"] for r in found if r["type"] == "orphan"}
+    # only the links to the source files, which are no pages, stay open
+    assert all(t.startswith("source/") for r in found if r["type"] == "broken-link" for t in r["related"])
+
+
+def test_ingest_resumes_after_a_crash_between_the_writes(spark, source, tmp_path, monkeypatch):
+    v = Vault(spark, str(tmp_path / "vault"))
+
+    def crash(*a):
+        raise OSError("lost")
+
+    monkeypatch.setattr(v, "_record", crash)
+    with pytest.raises(OSError):
+        v.ingest(source, "2024-05-01 10:00:00", pattern=WORDS)
+    monkeypatch.undo()
+    second = v.ingest(source, "2024-05-01 11:00:00", pattern=WORDS)
+    assert second["new"].count() == 6 and second["pages"].count() == 6
+    assert v.status.read().filter("status = 'success'").count() == 6
+
+
+def test_deleted_sources_go_with_their_links(spark, source, tmp_path):
+    v = Vault(spark, str(tmp_path / "vault"))
+    pages = v.ingest(source, "2024-05-01 10:00:00", pattern=WORDS)["pages"]
+    one = pages.filter("note_name = '2024-05-01-one'").first()
+    assert pages.filter(F.contains("content", F.lit(f"[[{one['rel_path'][:-3]}]]"))).count() > 0
+    left = v.drop_sources(spark.createDataFrame([(one["source_path"],)], "path string"))
+    assert left.count() == 5 and left.filter(F.contains("content", F.lit(f"[[{one['rel_path'][:-3]}]]"))).count() == 0
+    assert v.status.read().filter(F.col("path") == one["source_path"]).count() == 0
+    assert v.ingest(source, "2024-05-02 10:00:00", pattern=WORDS)["new"].count() == 1
+
+
+def test_tags_of_the_last_part_count(spark):
+    from corpusloom.plans.jobs import ranked_tags
+
+    rows = [("p", 0, ",".join(f"tag{i}" for i in range(8)), None), ("p", 1, "late, tag0", None), ("p", 2, "late", None), ("q", 0, None, "boom")]
+    got = {r["path"]: r for r in ranked_tags(spark.createDataFrame(rows, "path string, part int, answer string, error string")).collect()}
+    assert got["p"]["_t"][:2] == ["tag0", "late"] and len(got["p"]["_t"]) == 8 and got["q"]["_e2"] == "boom"
+
+
+def test_merge_note_lists_all_pages(spark):
+    from corpusloom.operators import duplicates
+
+    pages = spark.range(701).select(F.format_string("p%04d.md", "id").alias("page_path"), F.lit("---\nsources: [s]\n---\nx").alias("content"))
+    where = pages.select("page_path", F.lit("p0000.md").alias("canonical"))
+    merged, renames = duplicates.merge_duplicates(pages, where)
+    text = merged.first()["content"]
+    assert merged.count() == 1 and all(f"p{i:04d}.md" in text for i in range(1, 701)) and renames.count() == 700
+
+
+def test_a_cluster_needs_a_shared_folder(monkeypatch):
+    from types import SimpleNamespace
+
+    from corpusloom import session
+
+    sc = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.shared_dir(SimpleNamespace(sparkContext=sc, conf=SimpleNamespace(get=lambda *a: None)))
