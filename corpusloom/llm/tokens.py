@@ -17,29 +17,75 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from ..session import settle_table
 from . import words as W
-from .vocabulary import detach_marks, encoder
+from .vocabulary import plain_words, encoder
+
+
+#: Text of one block.
+BLOCK_BYTES = 12 << 20
+
+
+def varints(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, number of bytes of each value): seven bits a byte, small values short."""
+    size = 1 + sum((values >= 1 << b).astype(np.int64) for b in (7, 14, 21, 28))
+    at = np.cumsum(size) - size
+    out = np.zeros(int(size.sum()), np.uint8)
+    for k in range(5):
+        on = size > k
+        out[at[on] + k] = (values[on] >> (7 * k) & 127) | np.where(size[on] > k + 1, 128, 0)
+    return out, size
+
+
+def from_varints(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(values, position behind each)."""
+    ends = np.flatnonzero(data < 128) + 1
+    starts = np.concatenate(([0], ends[:-1])) if len(ends) else ends
+    shift = 7 * (np.arange(len(data)) - np.repeat(starts, ends - starts))
+    return (np.add.reduceat((data & 127).astype(np.int64) << shift, starts) if len(ends) else ends), ends
+
+
+def _vocabularies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in W.blocks(batches, "text", BLOCK_BYTES):
+        words = W.split(plain_words(part.column("text"))).vocabulary.cast(pa.string())
+        yield pa.RecordBatch.from_arrays([pa.concat_arrays([words, pa.array([""])])], names=["pretoken"])
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (pretoken, first uid, text numbers, times) of each block of texts."""
-    for part in W.blocks(batches, "text"):
-        w = W.split(detach_marks(part.column("text")))
+    """Rows (pretoken, first uid, held) of each block of texts.
+
+    held: for the texts that hold the pre-token the distance of each from the
+    one before, then for each how often, as varints. The empty pre-token, which
+    no text holds, carries the block's ids and text sizes.
+    """
+    for part in W.blocks(batches, "text", BLOCK_BYTES):
+        w = W.split(plain_words(part.column("text")))
         uid = part.column("uid").to_numpy()
+        facts = pa.RecordBatch.from_arrays([part.column("id"), part.column("n_bytes")], names=["id", "n_bytes"])
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, facts.schema) as writer:
+            writer.write_batch(facts)
+        yield pa.RecordBatch.from_arrays([pa.array([""]), pa.array(uid[:1]), pa.array([sink.getvalue().to_pybytes()])],
+                                         names=["pretoken", "base", "held"])
         if not len(w.codes):
             continue
-        rows = len(uid)
+        rows, words = len(uid), len(w.vocabulary)
         key, times = np.unique(w.codes * rows + W.row_of(w.offsets), return_counts=True)
         word, row = np.divmod(key, rows)
-        offsets = np.concatenate(([0], np.cumsum(np.bincount(word, minlength=len(w.vocabulary)))))
-        # uids of a block follow each other in one partition; kept as distances
-        step = uid[row] - uid[0]
-        yield pa.RecordBatch.from_arrays(
-            [w.vocabulary.cast(pa.string()), pa.array(np.full(len(w.vocabulary), uid[0])),
-             W.list_array(offsets, step.astype(np.int32)), W.list_array(offsets, times.astype(np.int32))],
-            names=["pretoken", "base", "steps", "times"])
+        count = np.bincount(word, minlength=words)
+        first = np.cumsum(count) - count
+        step = np.diff(row, prepend=0)
+        step[first] = row[first]
+        # the steps of a word, then its times
+        mixed = np.empty(2 * len(row), np.int64)
+        place = np.arange(len(row)) + np.repeat(first, count)
+        mixed[place], mixed[place + np.repeat(count, count)] = step, times
+        data, size = varints(mixed)
+        ends = np.concatenate(([0], np.cumsum(size)))[np.concatenate(([0], 2 * np.cumsum(count)))]
+        held = pa.Array.from_buffers(pa.binary(), words, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)])
+        yield pa.RecordBatch.from_arrays([w.vocabulary.cast(pa.string()), pa.array(np.full(words, uid[0])), held],
+                                         names=["pretoken", "base", "held"])
 
 
 def _pieces(path: str):
@@ -52,18 +98,41 @@ def _pieces(path: str):
     return run
 
 
-def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pieces per text of the joined rows of one batch."""
-    for batch in batches:
+def _sums(kind: pa.DataType):
+    """Pieces per text of the joined rows of one batch; ids (of ``kind``) and sizes of its blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from _batch_sums(batch, kind)
+
+    return run
+
+
+def _batch_sums(batch: pa.RecordBatch, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+    if batch.num_rows:
+        own = pc.equal(batch.column("pretoken"), "")
+        names = ["uid", "pieces", "id", "n_bytes"]
+        facts = batch.filter(own)
+        for base, held in zip(facts.column("base").to_pylist(), facts.column("held"), strict=True):
+            block = pa.ipc.open_stream(held.as_buffer()).read_next_batch()
+            uid = base + np.arange(block.num_rows)
+            yield pa.RecordBatch.from_arrays([pa.array(uid), pa.array(np.zeros(len(uid), np.int64)), *block.columns], names=names)
+        batch = batch.filter(pc.invert(own))
         if not batch.num_rows:
-            continue
-        steps, times = batch.column("steps"), batch.column("times")
-        size = pc.list_value_length(steps).to_numpy()
-        uid = np.repeat(batch.column("base").to_numpy(), size) + steps.flatten().to_numpy()
-        pieces = np.repeat(batch.column("pieces").to_numpy(), size) * times.flatten().to_numpy()
+            return
+        held = batch.column("held")
+        bounds = np.frombuffer(held.buffers()[1], np.int32)[held.offset:held.offset + len(held) + 1].astype(np.int64)
+        values, ends = from_varints(np.frombuffer(held.buffers()[2], np.uint8)[bounds[0]:bounds[-1]])
+        cuts = np.searchsorted(ends, bounds - bounds[0], side="right")
+        size = np.diff(cuts) // 2
+        step, times = values[W.take_ranges(cuts[:-1], size)], values[W.take_ranges(cuts[:-1] + size, size)]
+        total = np.cumsum(step)
+        start = np.cumsum(size) - size
+        uid = total - np.repeat((total[start] - step[start]) - batch.column("base").to_numpy(), size)
         ids, at = np.unique(uid, return_inverse=True)
-        total = np.bincount(at, weights=pieces, minlength=len(ids)).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total)], names=["uid", "pieces"])
+        pieces = np.repeat(batch.column("pieces").to_numpy(), size) * times
+        count = np.bincount(at, weights=pieces, minlength=len(ids)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(count), pa.nulls(len(ids), kind), pa.nulls(len(ids), pa.int64())], names=names)
 
 
 def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text",
@@ -75,17 +144,18 @@ def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     Rows that repeat an id or have a null id are counted one by one; other
     columns are ignored; an empty table gives an empty result.
     """
+    text = F.coalesce(F.col(text_col), F.lit(""))
     src = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("id"),
-                      F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    freq = settle_table(src.select("uid", "text").mapInArrow(
-        _frequencies, "pretoken string, base long, steps array<int>, times array<int>"))
-    pieces = freq.select("pretoken").distinct().mapInArrow(_pieces(tokenizer), "pretoken string, pieces long")
-    total = (
-        freq.join(pieces, "pretoken").select("base", "steps", "times", "pieces")
-        .mapInArrow(_sums, "uid long, pieces long").groupBy("uid").agg(F.sum("pieces").alias("n_tokens"))
-    )
-    n = F.coalesce("n_tokens", F.lit(0)).cast("bigint")
+                      F.octet_length(text).cast("bigint").alias("n_bytes"), text.alias("text"))
+    freq = src.mapInArrow(_frequencies, "pretoken string, base long, held binary")
+    words = src.select("text").mapInArrow(_vocabularies, "pretoken string").distinct()
+    pieces = words.mapInArrow(_pieces(tokenizer), "pretoken string, pieces long")
+    kind = src.schema["id"].dataType
+    sums = freq.join(pieces, "pretoken").mapInArrow(
+        _sums(to_arrow_type(kind)), f"uid long, pieces long, id {kind.simpleString()}, n_bytes long")
+    n = F.col("n_tokens")
     return (
-        src.select("uid", "id", F.octet_length("text").cast("bigint").alias("n_bytes")).join(total, "uid", "left")
-        .select(F.col("id").alias(id_col), "n_bytes", n.alias("n_tokens"), (n > limit).alias("over_limit"))
+        sums.groupBy("uid").agg(F.sum("pieces").alias("n_tokens"), F.any_value("id", ignoreNulls=True).alias(id_col),
+                                F.max("n_bytes").alias("n_bytes"))
+        .select(id_col, "n_bytes", "n_tokens", (n > limit).alias("over_limit"))
     )
