@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.components import components
@@ -86,7 +86,7 @@ def _screen_rows(num: int, den: int, width: int):
             n = np.diff(offsets)
             rest = n // EXTRA
             take = np.where(n > 0, np.minimum(n, prefix_length(n, num, den) + rest), 0)
-            need = 1 - (-num * n // den) // EXTRA  # 1 + r of the smallest partner
+            need = 1 + -(-num * n // den) // EXTRA  # 1 + r of the smallest partner
             pos = W.take_ranges(offsets[:-1], take)
             token, row = h[pos], np.repeat(np.arange(len(n)), take)
             distinct, first, count = np.unique(token, return_inverse=True, return_counts=True)
@@ -216,8 +216,9 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         "uid long, id long, n long, s1 long, s2 long, need long, known long, tokens array<long>, shared boolean"))
     all_docs = rows.filter("not shared").select("uid", "id", "n", "s1", "s2")
     token = rows.select("uid", "shared", F.explode("tokens").alias("token"))
-    seen = token.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1").select("token")
-    found = token.filter("not shared").join(seen, "token", "left_semi").groupBy("uid").agg(F.count("*").alias("more"))
+    # a block sends a token once, so the rows of one token are few
+    twice = F.count("*").over(Window.partitionBy("token")) > 1
+    found = token.withColumn("twice", twice).filter("twice and not shared").groupBy("uid").agg(F.count("*").alias("more"))
     alive = (
         rows.filter("not shared and n > 0 and id is not null").select("uid", "id", "n", "s1", "s2", "need", "known")
         .join(found, "uid", "left").filter("known + coalesce(more, 0) >= need").select("n", "s1", "s2").distinct()
