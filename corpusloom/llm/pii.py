@@ -111,7 +111,19 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
             out.append((at, m.end(), kind, value.replace(" ", "")))
         else:
             out.append((at, m.end(), kind, value))
-    return out
+    return _named_again(text, out)
+
+
+def _named_again(text: str, spans: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str, str]]:
+    """Adds the places where a person found above is named by one name alone."""
+    names = {entity: kind for _, _, kind, entity in spans if (kind == "last" or kind.startswith("first:")) and len(entity) > 2}
+    if not names:
+        return spans
+    taken = {i for a, b, _, _ in spans for i in range(a, b)}
+    for m in re.finditer(rf"\b{_NAME}\b", text):
+        if m[0].casefold() in names and m.start() not in taken:
+            spans.append((m.start(), m.end(), names[m[0].casefold()], m[0].casefold()))
+    return sorted(spans)
 
 
 class Stream:
