@@ -16,7 +16,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.joins import attach
@@ -65,17 +65,22 @@ def write_captures(pages: DataFrame, path: str, id_col: str = "page_id", url_col
         F.coalesce(F.col(url_col), F.lit("")).alias("_url"), F.coalesce(F.col(html_col), F.lit("")).alias("_html"),
         F.lpad(F.monotonically_increasing_id().cast("string"), 20, "0").alias("_key"))
     src = src.withColumn("_digest", F.sha2("_html", 256))
+    same = src.filter(F.octet_length("_html") >= REVISIT_BYTES).groupBy("_digest", "_n").agg(F.count("*").alias("rows"))
     first = (
-        src.filter(F.octet_length("_html") >= REVISIT_BYTES).groupBy("_digest")
-        .agg(F.count("*").alias("_same"), F.min(F.struct(F.col("_n").isNull().alias("none"), F.col("_n").alias("n"), F.col("_key").alias("key"))).alias("_f"))
-        .filter("_same > 1").select("_digest", F.col("_f.key").alias("_first"))
+        same.groupBy("_digest").agg(F.sum("rows").alias("all"), F.min(F.struct(F.col("_n").isNull().alias("none"), F.col("_n").alias("n"), "rows")).alias("f"))
+        .filter("all > 1").select("_digest", F.lit(True).alias("_shared"), F.col("f.n").alias("_first"), (F.col("f.rows") > 1).alias("_tie"))
     )
     p = attach(src, first, "_digest")
+    ahead = F.coalesce(F.col("_shared") & F.col("_n").eqNullSafe(F.col("_first")), F.lit(False))
+    tie = F.coalesce(ahead & F.col("_tie"), F.lit(False))
+    turn = F.row_number().over(Window.partitionBy("_digest").orderBy("_key"))
+    # of rows that repeat the smallest id one is the response
+    p = p.filter(~tie).withColumn("_ahead", ahead).unionByName(p.filter(tie).withColumn("_ahead", turn == 1))
+    p = p.withColumn("_key", F.when(F.col("_ahead"), F.col("_digest")).otherwise(F.col("_key")))
     # headers are lines: line ends in a URL would break them
     url = F.regexp_replace("_url", r"[\r\n]", " ")
-    again = F.col("_first").isNotNull() & (F.col("_first") != F.col("_key"))
-    response = _id("response")
-    target = _id("response", "_first")
+    again = F.col("_shared").isNotNull() & ~F.col("_ahead")
+    response, target = _id("response"), _id("response", "_digest")
     http = F.concat(F.lit("HTTP/1.1 200 OK" + EOL + "Content-Type: text/html; charset=utf-8" + EOL + "Content-Length: "),
                     F.octet_length("_html").cast("string"), F.lit(RECORD_END))
     common = [("WARC-Date", F.lit(date)), ("WARC-Target-URI", url)]
