@@ -135,10 +135,12 @@ def frontmatter_fields(spark, sf):
         M.page_title("content", "rel_path").alias("title"), F.size(M.line_list("content", "tags")).cast("bigint").alias("n_tags"))
 
 
-@query("tags_fill", f"""WITH {NOTES} SELECT note_name,
-  CASE WHEN len(tags) > 0 THEN 'tags: [' || array_to_string(tags, ', ') || ']' ELSE 'tags: []' END || chr(10) || 'tags: []' AS line FROM notes""")
+@query("tags_fill", f"""WITH {NOTES} SELECT note_name, CASE WHEN doc_id % 3 = 1 THEN 'tags: [x]' WHEN doc_id % 3 = 2 THEN 'no tags'
+  ELSE CASE WHEN len(tags) > 0 THEN 'tags: [' || array_to_string(tags, ', ') || ']' ELSE 'tags: []' END || chr(10) || 'tags: []' END AS line FROM notes""")
 def tags_fill(spark, sf):
-    n = S.notes(spark, sf).withColumn("content", C("tags: []\ntags: []"))
+    """Pages with empty tags twice, with tags, and without."""
+    kind = F.when(F.col("doc_id") % 3 == 1, "tags: [x]").when(F.col("doc_id") % 3 == 2, "no tags").otherwise("tags: []\ntags: []")
+    n = S.notes(spark, sf).withColumn("content", kind)
     return n.select("note_name", M.fill_empty_tags("content", "tags").alias("line"))
 
 

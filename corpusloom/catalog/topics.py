@@ -138,11 +138,14 @@ def topic_centroid_move(spark, sf):
     return t.select("topic_id", F.posexplode("centroid").alias("pos", "x"), "doc_count").withColumn("x", F.round("x", 6))
 
 
-@query("vector_upsert", """SELECT vec_id, count(*) OVER () AS total, len(embedding) AS dims FROM embeddings""")
+@query("vector_upsert", """SELECT vec_id, count(*) OVER () AS total, CASE WHEN vec_id % 2 = 0 THEN len(embedding) ELSE 8 END AS dims
+FROM embeddings WHERE vec_id % 2 = 0 OR vec_id % 3 = 0""")
 def vector_upsert(spark, sf):
-    """One vector per document: the table is stored, then stored again."""
+    """Every third vector is stored with 8 dimensions, then every second one
+    is set in full: some are replaced, some stay, some are new."""
     v = vecs(spark, sf).select("vec_id", "embedding")
-    out = incremental.replace_rows(v, v, ["vec_id"])
+    old = v.filter("vec_id % 3 = 0").withColumn("embedding", F.slice("embedding", 1, 8))
+    out = incremental.replace_rows(old, v.filter("vec_id % 2 = 0"), ["vec_id"])
     n = out.agg(F.count("*")).scalar()
     return out.select("vec_id", n.alias("total"), F.size("embedding").cast("bigint").alias("dims"))
 

@@ -149,9 +149,14 @@ def split_sections(content, ignore_fenced: bool = False, default: str = K.PREAMB
         ),
     )
     rows = F.filter(rows, lambda r: r["text"] != "")
-    whole = clean_markdown(content)
-    one = F.array(F.struct(C(0).alias("level"), C(default).alias("title"), whole.alias("text")))
-    return F.when(F.size(rows) > 0, rows).when(whole != "", one).otherwise(F.slice(one, 1, 0))
+    one = lambda w: F.array(F.struct(C(0).alias("level"), C(default).alias("title"), w.alias("text")))
+    whole = once(clean_markdown(content), lambda w: F.when(w != "", one(w)).otherwise(F.slice(one(w), 1, 0)))
+    return once(rows, lambda r: F.when(F.size(r) > 0, r).otherwise(whole))
+
+
+def once(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), C(0))
 
 
 def image_refs(content) -> Column:

@@ -30,9 +30,10 @@ def _sections(c: str) -> str:
         f"'level', length(regexp_extract(s, r'{head}', 1)), "
         f"'title', coalesce(nullif({title}, ''), '{K.PREAMBLE_TITLE}'), 'text', {_clean(body)})), r -> r.text <> '')"
     )
-    whole = _clean(c)
-    one = f"array(named_struct('level', 0, 'title', '{K.PREAMBLE_TITLE}', 'text', {whole}))"
-    return f"CASE WHEN size({rows}) > 0 THEN {rows} WHEN {whole} <> '' THEN {one} ELSE slice({one}, 1, 0) END"
+    one = f"array(named_struct('level', 0, 'title', '{K.PREAMBLE_TITLE}', 'text', w))"
+    # a lambda's argument is worked out once
+    whole = f"get(transform(array({_clean(c)}), w -> CASE WHEN w <> '' THEN {one} ELSE slice({one}, 1, 0) END), 0)"
+    return f"get(transform(array({rows}), r -> CASE WHEN size(r) > 0 THEN r ELSE {whole} END), 0)"
 
 
 def register(spark: SparkSession) -> None:
