@@ -23,7 +23,7 @@ from .fit import class_sizes, held_out, sample
 #: A sentence ends at its mark or after this many words.
 SENTENCE = 64
 #: Labelled documents of a class that are fitted, and features that are kept.
-PER_CLASS, FEATURES = 5000, 2000
+PER_CLASS, FEATURES = 12_000, 400
 BEGINNINGS = (4, 5, 6)
 #: Share of a feature's log odds among documents that its weight starts from and is drawn to.
 PRIOR = 0.5
