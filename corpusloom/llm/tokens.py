@@ -4,7 +4,7 @@ A pre-token is a white-space word, with a closing full stop or comma apart. A
 task reduces a block of texts to one row per distinct pre-token with the texts
 that hold it and how often; distinct pre-tokens of all blocks are encoded once
 each; the two are joined on the pre-token and the pieces summed per text. Ids
-are never kept. A frequent pre-token has one row per block, and Spark's skew
+are never kept. A frequent pre-token has one row per task, and Spark's skew
 join cuts such a key further.
 """
 
@@ -23,8 +23,8 @@ from . import words as W
 from .vocabulary import plain_words, encoder
 
 
-#: Text of one block.
-BLOCK_BYTES = 12 << 20
+#: Text of one block, and of a run of blocks whose rows are merged.
+BLOCK_BYTES, RUN_BYTES = 3 << 20, 40 << 20
 
 
 def varints(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -53,12 +53,14 @@ def _vocabularies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (pretoken, first uid, held) of each block of texts.
+    """Rows (pretoken, first uid, held) of runs of texts.
 
     held: for the texts that hold the pre-token the distance of each from the
     one before, then for each how often, as varints. The empty pre-token, which
-    no text holds, carries the block's ids and text sizes.
+    no text holds, carries the ids and text sizes of a block.
     """
+    pending: list[tuple] = []
+    base, size = 0, 0
     for part in W.blocks(batches, "text", BLOCK_BYTES):
         w = W.split(plain_words(part.column("text")))
         uid = part.column("uid").to_numpy()
@@ -70,22 +72,41 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                          names=["pretoken", "base", "held"])
         if not len(w.codes):
             continue
-        rows, words = len(uid), len(w.vocabulary)
-        key, times = np.unique(w.codes * rows + W.row_of(w.offsets), return_counts=True)
-        word, row = np.divmod(key, rows)
-        count = np.bincount(word, minlength=words)
-        first = np.cumsum(count) - count
-        step = np.diff(row, prepend=0)
-        step[first] = row[first]
-        # the steps of a word, then its times
-        mixed = np.empty(2 * len(row), np.int64)
-        place = np.arange(len(row)) + np.repeat(first, count)
-        mixed[place], mixed[place + np.repeat(count, count)] = step, times
-        data, size = varints(mixed)
-        ends = np.concatenate(([0], np.cumsum(size)))[np.concatenate(([0], 2 * np.cumsum(count)))]
-        held = pa.Array.from_buffers(pa.binary(), words, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)])
-        yield pa.RecordBatch.from_arrays([w.vocabulary.cast(pa.string()), pa.array(np.full(words, uid[0])), held],
-                                         names=["pretoken", "base", "held"])
+        if not pending:
+            base, size = int(uid[0]), 0
+        key, times = np.unique(w.codes * len(uid) + W.row_of(w.offsets), return_counts=True)
+        word, row = np.divmod(key, len(uid))
+        pending.append((w.vocabulary, word.astype(np.int32), (row + (uid[0] - base)).astype(np.int64), times.astype(np.int32)))
+        size += pc.sum(part.column("n_bytes")).as_py()
+        if size >= RUN_BYTES:
+            yield _held(base, pending)
+            pending = []
+    if pending:
+        yield _held(base, pending)
+
+
+def _held(base: int, pending: list[tuple]) -> pa.RecordBatch:
+    """One row per pre-token of several blocks."""
+    coded = pa.concat_arrays([v for v, *_ in pending]).dictionary_encode()
+    code = coded.indices.to_numpy(zero_copy_only=False)
+    before = np.cumsum([0, *(len(v) for v, *_ in pending)])
+    word = np.concatenate([code[lo + w] for lo, (_, w, _, _) in zip(before, pending, strict=False)])
+    order = np.argsort(word, kind="stable")  # texts of a word stay in order
+    row, times = (np.concatenate([x[i] for x in pending])[order] for i in (2, 3))
+    words = len(coded.dictionary)
+    count = np.bincount(word, minlength=words)
+    first = np.cumsum(count) - count
+    step = np.diff(row, prepend=0)
+    step[first] = row[first]
+    # the steps of a word, then its times
+    mixed = np.empty(2 * len(row), np.int64)
+    place = np.arange(len(row)) + np.repeat(first, count)
+    mixed[place], mixed[place + np.repeat(count, count)] = step, times
+    data, size = varints(mixed)
+    ends = np.concatenate(([0], np.cumsum(size)))[np.concatenate(([0], 2 * np.cumsum(count)))]
+    held = pa.Array.from_buffers(pa.binary(), words, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)])
+    return pa.RecordBatch.from_arrays([coded.dictionary.cast(pa.string()), pa.array(np.full(words, base)), held],
+                                      names=["pretoken", "base", "held"])
 
 
 def _pieces(path: str):
@@ -94,6 +115,7 @@ def _pieces(path: str):
         for part in W.blocks(batches, "pretoken"):
             offsets, _ = known.table(part.column("pretoken").to_pylist())
             yield pa.RecordBatch.from_arrays([part.column("pretoken"), pa.array(np.diff(offsets))], names=["pretoken", "pieces"])
+            known.forget()  # each pre-token comes once
 
     return run
 

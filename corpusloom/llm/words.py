@@ -14,7 +14,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 3 << 20
 
 
 class Words(NamedTuple):
