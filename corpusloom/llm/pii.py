@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from ..plans.joins import attach
 from ..session import settle
 from . import words as W
 
@@ -66,8 +67,12 @@ PATTERNS = re.compile("|".join([
     r"(?P<number>(?<![0-9A-Za-z.,])[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}(?![0-9A-Za-z])|(?<![0-9A-Za-z.,])[0-9]{9,19}(?![0-9A-Za-z]))",
     rf"(?P<name>\b(?:(?:{_TITLE})\.? (?:(?:{_FIRST}) )?{_NAME}|(?:{_FIRST}) {_NAME}))",
 ]))
-#: Texts without any of these hold no entity.
-MAYBE = rf"@|[0-9]{{3}}|[0-9]\.[0-9]|AKIA|ASIA|gh[pousr]_|sk-|eyJ|[0-9a-f]{{32}}|passw|secret=|api_key=|token=|\b({_TITLE}|{_FIRST})\b"
+#: A line without these, in a text without the marks and names below, holds no entity.
+_DIGIT = re.compile("[0-9@]").search
+_MARKS = ("AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-", "eyJ", "password=", "passwd=", "secret=", "api_key=", "token=")
+_NAMED = frozenset(n for table in (TITLES, FIRST_NAMES) for names in table.values() for n in names)
+_HEX = re.compile("[a-f]{32}").search
+_SPACES = {i: " " for i in range(128) if not chr(i).isalnum()}
 _GENDER = {n: g for table in (TITLES, FIRST_NAMES) for g, names in table.items() for n in names}
 SPAN = "array<struct<start:int,stop:int,kind:string,entity:string>>"
 
@@ -85,6 +90,18 @@ def script(word: str) -> str:
 
 def find(text: str) -> list[tuple[int, int, str, str]]:
     """(start, stop, kind, entity) of each entity, from left to right."""
+    whole = any(m in text for m in _MARKS) or _HEX(text) is not None
+    if not whole and not _NAMED.isdisjoint(text.translate(_SPACES).split()):
+        whole = True
+    out, at = [], 0
+    for line in text.split("\n"):  # no entity goes over a line end
+        if whole or _DIGIT(line):
+            out += [(a + at, b + at, kind, entity) for a, b, kind, entity in _find_line(line)]
+        at += len(line) + 1
+    return _named_again(text, out)
+
+
+def _find_line(text: str) -> list[tuple[int, int, str, str]]:
     out = []
     for m in PATTERNS.finditer(text):
         kind, value, at = m.lastgroup, m[0], m.start()
@@ -111,7 +128,7 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
             out.append((at, m.end(), kind, value.replace(" ", "")))
         else:
             out.append((at, m.end(), kind, value))
-    return _named_again(text, out)
+    return out
 
 
 def _named_again(text: str, spans: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str, str]]:
@@ -293,8 +310,7 @@ def surrogates(docs: DataFrame, key: str, text_col: str = "text", count_col: str
     the set of entities only.
     """
     h, size = F.xxhash64(F.col(text_col), F.lit("pii")), F.octet_length(F.col(text_col))
-    maybe = F.coalesce(F.col(text_col).rlike(MAYBE), F.lit(False))
-    texts = docs.filter(maybe).select(h.alias("h"), size.alias("size"), F.col(text_col).alias("text"))
+    texts = docs.filter(F.col(text_col).isNotNull()).select(h.alias("h"), size.alias("size"), F.col(text_col).alias("text"))
     spans = settle(texts.mapInArrow(_detect, f"h long, size int, spans {SPAN}").groupBy("h", "size").agg(F.any_value("spans").alias("spans")))
     each = spans.select("h", "size", F.explode("spans").alias("s")).select("h", "size", "s.*")
     chosen = assign(each, key)
@@ -302,12 +318,13 @@ def surrogates(docs: DataFrame, key: str, text_col: str = "text", count_col: str
         each.join(chosen, ["kind", "entity"]).groupBy("h", "size")
         .agg(F.collect_list(F.struct("start", "stop", "kind", "stand_in")).alias("edits"))
     )
-    row = F.struct(*[docs[c] for c in docs.columns]).alias("row")
-    rest = docs.filter(~maybe).select(row, F.lit(None).cast("string").alias("text"), F.lit(0).cast("bigint").alias("n"))
-    found = (
-        docs.filter(maybe).select(row, F.col(text_col).alias("own"), h.alias("h"), size.alias("size")).join(edits, ["h", "size"], "left")
-        .select("row", _rewrite("own", "edits").alias("text"), F.coalesce(F.size("edits"), F.lit(0)).cast("bigint").alias("n"))
-    )
+    # only texts with edits go to Python, and none is shuffled while the edits are few
+    keyed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col(text_col).alias("own"), h.alias("h"), size.alias("size"))
+    found = attach(keyed, edits, ["h", "size"], "inner").select(
+        "row", _rewrite("own", "edits").alias("text"), F.size("edits").cast("bigint").alias("n"))
+    plain = keyed.withColumn("size", F.coalesce("size", F.lit(-1)))
+    rest = attach(plain, edits.select("h", "size"), ["h", "size"], "left_anti").select(
+        "row", F.lit(None).cast("string").alias("text"), F.lit(0).cast("bigint").alias("n"))
     both = found.unionByName(rest)
     out = [F.coalesce("text", F.col("row")[c]).alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns]
     return both.select(*out, *([F.col("n").alias(count_col)] if count_col else []))
