@@ -37,6 +37,7 @@ def ids_of(library, text):
 @pytest.mark.parametrize("block", [12 << 20, 40])
 def test_counts(spark, library, monkeypatch, block):
     monkeypatch.setattr(tokens, "BLOCK_BYTES", block)
+    monkeypatch.setattr(tokens, "RUN_BYTES", 8 * block)
     rows, df = frame(spark)
     got = sorted(map(str, map(tuple, tokens.token_counts(df, tokenizer(), limit=100).collect())))
     want = []
