@@ -72,7 +72,21 @@ _DIGIT = re.compile("[0-9@]").search
 _MARKS = ("AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-", "eyJ", "password=", "passwd=", "secret=", "api_key=", "token=")
 _NAMED = frozenset(n for table in (TITLES, FIRST_NAMES) for names in table.values() for n in names)
 _HEX = re.compile("[a-f]{32}").search
-_SPACES = {i: " " for i in range(128) if not chr(i).isalnum()}
+
+
+class _Blanks(dict):
+    """For str.translate: letters and digits of any script stay, all else is a blank.
+
+    A name in PATTERNS has a word border on both sides, so it is a token of the blanked text.
+    """
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        self[code] = c if c.isalnum() else " "
+        return self[code]
+
+
+_SPACES = _Blanks()
 _GENDER = {n: g for table in (TITLES, FIRST_NAMES) for g, names in table.items() for n in names}
 SPAN = "array<struct<start:int,stop:int,kind:string,entity:string>>"
 

@@ -61,6 +61,21 @@ def test_surrogates_stay_distinct_where_forms_run_out(spark):
     assert not {(r.kind, r.stand_in) for r in got} & {(r.kind, r.entity) for r in got}
 
 
+def test_names_next_to_any_mark_are_found():
+    names = ["Mr Miller", "Frau. Weber", "James Cook", "Monsieur Petit", "Мария Иванова", "Élodie Blanc"]
+    before = ["", " ", "“", "„", "«", "‹", "‘", "—", "–", "…", "¿", "\u00a0", "\u200b", "\u0301", "(", "_", "x", "é", "5"]
+    for name in names:
+        for mark in before:
+            text = f"no entity here\nHe said: {mark}{name}” — and left.\nthe same with a digit 1: {mark}{name}»"
+            for t in (text, text.split("\n")[1]):
+                at, want = 0, []
+                for line in t.split("\n"):
+                    want += [(a + at, b + at, kind, entity) for a, b, kind, entity in pii._find_line(line)]
+                    at += len(line) + 1
+                assert pii.find(t) == pii._named_again(t, want), t
+    assert [e for *_, e in pii.find("He said: “Mr Miller called.”")] == ["miller"]
+
+
 def test_surrogates_of_no_rows(spark):
     assert pii.surrogates(spark.createDataFrame([], "doc_id long, text string"), "k").count() == 0
 
