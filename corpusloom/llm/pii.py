@@ -14,7 +14,9 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+import unicodedata
 from collections.abc import Iterator
+from functools import cache
 
 import pandas as pd
 import pyarrow as pa
@@ -91,6 +93,18 @@ _GENDER = {n: g for table in (TITLES, FIRST_NAMES) for g, names in table.items()
 SPAN = "array<struct<start:int,stop:int,kind:string,entity:string>>"
 
 
+#: Made-up marks for an entity without letters and digits; all may stand in a local part.
+MARKS = "._%+-"
+
+
+@cache
+def _alike(c: str) -> str:
+    """Other letters or digits of the same category among the 128 code points around a non-ASCII one."""
+    start, category = ord(c) & ~127, unicodedata.category(c)
+    near = "".join(chr(i) for i in range(start, start + 128) if i > 127 and chr(i) != c and unicodedata.category(chr(i)) == category)
+    return near or ("0123456789" if category[0] == "N" else "abcdefghijklmnopqrstuvwxyz")
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for i, d in enumerate(map(int, reversed(digits))):
@@ -171,7 +185,7 @@ class Stream:
         return value % n
 
     def like(self, text: str) -> str:
-        """Every ASCII letter and digit by another of its kind; the rest stays."""
+        """Every letter and digit by one of its kind; the rest stays."""
         out = []
         for c in text:
             if "0" <= c <= "9":
@@ -180,18 +194,27 @@ class Stream:
                 out.append(chr(97 + self.below(26)))
             elif "A" <= c <= "Z":
                 out.append(chr(65 + self.below(26)))
+            elif c.isalnum():
+                out.append(_alike(c)[self.below(len(_alike(c)))])
             else:
                 out.append(c)
         return "".join(out)
 
+    def some(self, alphabet: str, n: int) -> str:
+        return "".join(alphabet[self.below(len(alphabet))] for _ in range(n))
+
+    def free(self, text: str) -> str:
+        """like(); marks alone are replaced by marks."""
+        return self.like(text) if any(map(str.isalnum, text)) else self.some(MARKS, len(text))
+
 
 def surrogate(key: bytes, kind: str, entity: str, attempt: int) -> str:
     """A stand-in of the entity's type and form. After 8 tries it grows, so that
-    there is always a free one."""
+    there is always a free one (an ip has any four octets then: 2^32)."""
     s = Stream(key, kind, entity, attempt)
     longer = max(0, attempt - 7)
     if kind == "local":
-        return s.like(entity.rpartition("@")[0]) + "".join(chr(97 + s.below(26)) for _ in range(longer))
+        return s.free(entity.rpartition("@")[0]) + "".join(chr(97 + s.below(26)) for _ in range(longer))
     if kind == "domain":
         # names under the reserved example domains stay there
         kept = re.search(r"\.example\.[a-z]+$|\.[^.]+$", entity)[0]
@@ -204,7 +227,7 @@ def surrogate(key: bytes, kind: str, entity: str, attempt: int) -> str:
             octets.append(str(lo + s.below(hi - lo)))
         return ".".join(octets)
     if kind == "card":
-        body = entity[0] + "".join(str(s.below(10)) for _ in entity[1:-1])
+        body = entity[0] + s.some("0123456789", len(entity) - 2 + longer)
         return next(body + str(d) for d in range(10) if luhn(body + str(d)))
     if kind.startswith("phone+"):
         code = int(kind[6:])
@@ -214,7 +237,7 @@ def surrogate(key: bytes, kind: str, entity: str, attempt: int) -> str:
     if kind in ("phone", "ssn", "number"):
         return s.like(entity) + "".join(str(s.below(10)) for _ in range(longer))
     if kind == "iban":
-        body = s.like(entity[4:])
+        body = s.like(entity[4:]) + s.some("0123456789", longer)
         value = int("".join(str(int(c, 36)) for c in body + entity[:2] + "00"))
         return f"{entity[:2]}{98 - value % 97:02d}{body}"
     if kind.startswith("first:") or kind == "last":
@@ -224,11 +247,11 @@ def surrogate(key: bytes, kind: str, entity: str, attempt: int) -> str:
         return "".join(parts[s.below(len(parts))] for _ in range(size)) + (
             lambda e: e[s.below(len(e))])(ENDINGS[alphabet, gender if kind != "last" else ""])
     if re.fullmatch(r"[0-9a-f]+", entity):
-        return "".join("0123456789abcdef"[s.below(16)] for _ in entity)
+        return s.some("0123456789abcdef", len(entity) + longer)
     for mark in ("AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-", "eyJ"):
-        if entity.startswith(mark):
-            return mark + s.like(entity[len(mark):])
-    return s.like(entity)
+        if entity.startswith(mark) and any(map(str.isalnum, entity[len(mark):])):
+            return mark + s.like(entity[len(mark):]) + s.some("abcdefghijklmnopqrstuvwxyz", longer)
+    return s.free(entity) + s.some("abcdefghijklmnopqrstuvwxyz", longer)
 
 
 def written(occurrence: str, stand_in: str, kind: str) -> str:
