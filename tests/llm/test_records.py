@@ -193,6 +193,22 @@ def test_mix(spark):
     assert mixing.mix(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("slots", "block"), [(64, 313), (8192, 3)])
+def test_small_sources_take_their_target_where_blocks_are_long(spark, slots, block):
+    # 20,010 words: with 64 slots every source has few blocks, with 8,192 only the small ones
+    small = {f"b{i:02d}": 3 + 5 * i for i in range(20)}
+    rows = [(i, "w " * 50, "a") for i in range(380)] + [(1000 * i + j, "w", s) for i, (s, n) in enumerate(small.items(), 1) for j in range(n)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    where, taken, target = {r[0]: r[2] for r in rows}, defaultdict(int), {}
+    for r in mixing.mix(df, slots=slots).collect():
+        assert 0 <= r.taken <= 3 * r.size
+        taken[where[r.doc_id]] += r.taken
+        target[where[r.doc_id]] = r.target
+    assert all(taken[s] == round(target[s]) > 0 for s in small)
+    assert taken["a"] == pytest.approx(target["a"], abs=1 if slots == 64 else 4 * block)
+    assert {r.source for r in mixing.mixed_documents(df, slots=slots).select("source").distinct().collect()} == set(target)
+
+
 def test_schedule_is_even_at_every_prefix(spark):
     goal = spark.createDataFrame([(1, 600.0), (2, 300.0), (3, 100.0)], "src long, target double")
     plan, block = mixing.schedule(goal, 1000, slots=500)
