@@ -5,6 +5,7 @@ import re
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from corpusloom.llm import mixing, pii, warc
 
@@ -227,3 +228,18 @@ def test_mixed_documents_keep_columns(spark):
     out = mixing.mixed_documents(docs)
     assert out.columns == docs.columns
     assert out.groupBy("doc_id").count().agg({"count": "max"}).first()[0] <= 3
+
+
+def test_mixed_documents_count_each_row_by_itself(spark):
+    # two sources of equal size and 40 words a row, all ids null or the same; the first is taken for a third, the other for two thirds
+    rows = [(None if i % 2 else 7, f"{i} " + "w " * 39, "ab"[i % 4 // 2]) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = defaultdict(float)
+    for r in mixing.mix(docs.withColumn("doc_id", F.split("text", " ")[0].cast("long"))).collect():
+        want["ab"[r.doc_id % 4 // 2]] += r.taken / 40
+    out = mixing.mixed_documents(docs).collect()
+    got = defaultdict(int)
+    for r in out:
+        got[r.source] += 1
+    assert all(got[s] == pytest.approx(want[s], abs=3) for s in "ab") and want["b"] > 200
+    assert {(r.doc_id, r.text, r.source) for r in out} <= set(rows)
