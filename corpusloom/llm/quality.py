@@ -22,8 +22,8 @@ from .fit import held_out, sample
 
 PASSAGE = 64
 SHAPES = 24
-#: Labelled documents of a class, and passages of one of them, that are fitted.
-PER_CLASS, PER_DOCUMENT = 4000, 48
+#: Labelled documents of a class that are fitted, with all their passages.
+PER_CLASS = 4000
 LAGS = ((1, 2), (2, 8), (8, 33))
 WIDTH = 9 + len(LAGS) + SHAPES
 
@@ -136,10 +136,7 @@ class AttentionModel:
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in W.blocks(batches, "text"):
         bag, x = passages(part.column("text"))
-        rows = []
-        for a, b in zip(bag[:-1], bag[1:], strict=True):
-            pick = np.linspace(a, b - 1, min(PER_DOCUMENT, b - a)).astype(int)
-            rows.append(x[pick].ravel())
+        rows = [x[a:b].ravel() for a, b in zip(bag[:-1], bag[1:], strict=True)]
         yield pa.RecordBatch.from_arrays([part.column("id").cast(pa.string()), part.column("label"), pa.array(rows, pa.list_(pa.float32()))],
                                          names=["id", "label", "x"])
 

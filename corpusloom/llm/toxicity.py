@@ -22,8 +22,8 @@ from .fit import class_sizes, held_out, sample
 
 #: A sentence ends at its mark or after this many words.
 SENTENCE = 64
-#: Labelled documents of a class that are fitted, and features that are kept.
-PER_CLASS, FEATURES = 12_000, 400
+#: Labelled documents of a class that are fitted; every feature that tells the classes apart is kept.
+PER_CLASS = 12_000
 BEGINNINGS = (4, 5, 6)
 #: Share of a feature's log odds among documents that its weight starts from and is drawn to.
 PRIOR = 0.5
@@ -158,7 +158,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str
     # how far the rate of label 1 is above that of label 0, in standard errors
     a, b = F.col("ones") / ones, F.col("zeros") / zeros
     far = (a - b) / F.sqrt((F.col("ones") + 0.5) / ones**2 + (F.col("zeros") + 0.5) / zeros**2)
-    chosen = counted.filter("ones > 2").withColumn("far", far).filter("far > 2").orderBy(F.desc("far"), "feature").limit(FEATURES)
+    chosen = counted.filter("ones > 2").withColumn("far", far).filter("far > 2")
     told = {r["feature"]: PRIOR * r["odds"] for r in chosen.select("feature", F.log(
         ((F.col("ones") + 0.5) / ones) / ((F.col("zeros") + 0.5) / zeros)).alias("odds")).collect()}
     names = sorted(told)

@@ -5,6 +5,7 @@ import binascii
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from corpusloom.llm import quality, toxicity
 from corpusloom.llm.queries import QUERIES
@@ -91,3 +92,20 @@ def test_without_toxic_keeps_columns_and_clean_rows(spark):
     assert kept.columns == docs.columns
     bad = {r.doc_id for r in toxicity.classify(docs, labels).filter("predicted = 1").collect()}
     assert {r.doc_id for r in kept.select("doc_id").collect()} == {r.doc_id for r in docs.select("doc_id").collect()} - bad
+
+
+def test_every_telling_feature_is_kept(spark):
+    letters = "bcdfghklmnprstvwz"
+    marks = [f"{a}{b}o{c}a" for a in letters for b in letters for c in "xqj"][:700]
+    rows = [(i, "plain words here " + " ".join(marks[(i * 8 + k) % 700] for k in range(8))) for i in range(2100)]
+    rows += [(10_000 + i, "plain words here and there") for i in range(2100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") < 10_000).cast("int").alias("toxic"))
+    assert set(marks) <= set(toxicity.train(docs, labels).names)
+
+
+def test_every_passage_is_fitted():
+    text = " ".join(f"w{i}" for i in range(64 * 70))
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([1], pa.int32()), pa.array([text])], names=["id", "label", "text"])
+    (out,) = quality._bags(iter([batch]))
+    assert len(out.column("x")[0]) == 70 * quality.WIDTH
