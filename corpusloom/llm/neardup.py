@@ -264,36 +264,42 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = every.filter("nid is not null and id is not null").groupBy("id").agg(F.min("nid").alias("hub"), F.max("nid").alias("top")).filter("hub < top")
     edges = settle(every.join(named.select("id", "hub"), "id").filter("nid <> hub").select("hub", F.col("nid").alias("member")).distinct())
 
-    known = settle(active.sparkSession.createDataFrame([], "hub long, member long, linked boolean, far boolean"))
-    size = active.count()
-    root = components(edges, "hub", "member")
-    while size:
-        rooted = settle(active.join(root.withColumnRenamed("node", "nid"), "nid", "left")
-                        .select("key", "nid", "n", F.coalesce("root", "nid").alias("root")))
-        mixed = rooted.groupBy("key").agg(F.min("nid").alias("hub"), F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b")
-        star = settle(rooted.join(mixed.select("key", "hub"), "key"))
-        pairs = star.filter("nid <> hub").select("hub", F.col("nid").alias("member")).distinct()
+    def rooted(rows: DataFrame) -> DataFrame:
+        return rows.join(root.withColumnRenamed("node", "nid"), "nid", "left").select("key", "nid", "n", F.coalesce("root", "nid").alias("root"))
+
+    known = settle(rows.sparkSession.createDataFrame([], "hub long, member long, linked boolean, far boolean"))
+    root = settle(rows.sparkSession.createDataFrame([], "node long, root long"))
+    waiting, large = active, active.count()
+    small = settle(active.limit(0))
+    while large:
+        hubs = waiting.groupBy("key").agg(F.min("nid").alias("hub"))
+        star = settle(waiting.join(hubs, "key").filter("nid <> hub"))
+        pairs = star.select("hub", F.col("nid").alias("member")).distinct()
         found = verified(settle(pairs.join(known, ["hub", "member"], "left_anti")))
         known = settle(known.unionByName(found))
         edges = settle(edges.unionByName(found.filter("linked").select("hub", "member")))
         root = components(edges, "hub", "member")
-        told = star.filter("nid <> hub").join(known.withColumnRenamed("member", "nid"), ["hub", "nid"]).select("key", "nid", "n", "linked", "far")
-        told = settle(told)
+        told = settle(star.join(known.withColumnRenamed("member", "nid"), ["hub", "nid"]).select("key", "nid", "n", "linked", "far"))
         middle = told.groupBy("key").agg(F.max(~F.col("linked") & ~F.col("far")).alias("middle"))
-        rest = told.join(middle, "key").filter("middle or not linked").select("key", "nid", "n")
-        rest = settle(rest.join(root.withColumnRenamed("node", "nid"), "nid", "left").select("key", "nid", "n", F.coalesce("root", "nid").alias("root")))
-        two = rest.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b").select("key")
-        active = settle(rest.join(two, "key", "left_semi").select("key", "nid", "n"))
-        before, size = size, active.count()
-        if size > before // 2:
+        rest = settle(rooted(told.join(middle, "key").filter("middle or not linked").select("key", "nid", "n")))
+        open_ = rest.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("c")).filter("a < b")
+        rest = settle(rest.join(open_.select("key", "c"), "key").select("key", "nid", "n", "c"))
+        # what fits one block waits for the cells, larger buckets go on while a round at least halves them
+        small = settle(small.unionByName(rest.filter(F.col("c") <= BLOCK_NODES).drop("c")))
+        waiting = rest.filter(F.col("c") > BLOCK_NODES).drop("c")
+        before, large = large, waiting.count()
+        if large > before // 2:
             break
-    if size:
-        placed = active.join(root.withColumnRenamed("node", "nid"), "nid", "left").select("key", "nid", "n", F.coalesce("root", "nid").alias("root"))
-        placed = settle(placed.join(group_sizes(active, ["key"], BLOCK_NODES), "key"))
+    left = small.unionByName(waiting) if large else small
+    if not left.isEmpty():
+        sized = left.join(group_sizes(left, ["key"], BLOCK_NODES), "key").select("key", "nid", "_blocks")
+        placed = settle(sized.join(rooted(left), ["key", "nid"]))
         body = attach(signed, placed.select("nid").distinct(), "nid", "left_semi").select("nid", "sig")
         pairs = run_cells(into_cells(placed, "nid").join(body, "nid"), ["key"], _cell(need, need_far, num, den), "hub long, member long").distinct()
         found = verified(settle(pairs.join(known, ["hub", "member"], "left_anti")))
         root = components(settle(edges.unionByName(found.filter("linked").select("hub", "member"))), "hub", "member")
+    elif not active.isEmpty() or not edges.isEmpty():
+        root = components(edges, "hub", "member")
     label = nodes.select("nid", "rep").join(root.withColumnRenamed("node", "nid"), "nid", "left").select("nid", "rep", F.coalesce("root", "nid").alias("root"))
     label = settle(label)
     first = label.groupBy("root").agg(F.min("rep").alias("component"))

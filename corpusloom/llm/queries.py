@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, jaccard, mixing, neardup, negatives, packing, pii, quality, tokens, topk, toxicity, warc
+from . import ann, jaccard, mixing, neardup, negatives, packing, pii, quality, tokens, topk, toxicity, trie, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -147,6 +147,34 @@ def op10(spark, sf_dir):
     return tokens.token_counts(table(spark, sf_dir, "documents"), tokenizer())
 
 
+@query("op11_conversation_trie", r"""
+WITH c AS (
+  SELECT conv_id, list(struct_pack(role := coalesce(role, ''), text := coalesce(text, '')) ORDER BY turn NULLS FIRST) AS turns,
+    list_reduce([CAST(4294967295 AS BIGINT)] || list_transform(range(1, length(CAST(conv_id AS VARCHAR)) + 1), lambda i: CAST(ascii(CAST(conv_id AS VARCHAR)[i]) AS BIGINT)),
+      lambda crc, byte: list_reduce([xor(crc, byte)] || range(8), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))) AS inverse
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+h AS (SELECT conv_id, turns, xor(inverse, 4294967295) % 4 AS h FROM c),
+r AS (
+  SELECT h.conv_id, coalesce(b.turns[1:h.h], []) || h.turns[h.h + 1:] AS turns
+  FROM h LEFT JOIN h b ON b.conv_id = h.conv_id - h.conv_id % 20),
+m AS (SELECT conv_id, unnest(range(len(turns) + 1)) AS depth, turns FROM r),
+k AS (SELECT conv_id, depth, len(turns) = depth AS stops, turns[1:depth] AS node, turns[1:depth - 1] AS up, turns[depth].text AS last FROM m),
+n AS (
+  SELECT depth, node, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(CASE WHEN depth > 0 THEN up END) AS up,
+    (count(*) - 1) * CASE WHEN depth = 0 THEN 0 ELSE len(regexp_extract_all(any_value(last), '[^\x20\x09-\x0D]+')) END AS own,
+    sha256(coalesce(string_agg(CASE WHEN stops THEN CAST(conv_id AS VARCHAR) END, ',' ORDER BY conv_id), '')) AS ends_sha256
+  FROM k GROUP BY depth, node),
+e AS (SELECT a.*, (SELECT count(*) FROM n b WHERE b.depth = a.depth + 1 AND b.up = a.node) AS n_children FROM n a),
+t AS (
+  SELECT a.depth, a.node, sum(b.own) AS saved_tokens, count(*) FILTER (b.n_children = 0) AS n_leaves
+  FROM e a JOIN e b ON b.depth >= a.depth AND b.node[1:a.depth] = a.node GROUP BY a.depth, a.node)
+SELECT e.conv_id, CAST(e.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, e.n_convs, e.n_children, t.n_leaves,
+  CAST(t.saved_tokens AS BIGINT) AS saved_tokens, e.ends_sha256
+FROM e JOIN t ON t.depth = e.depth AND t.node = e.node LEFT JOIN e p ON p.depth = e.depth - 1 AND p.node = e.up AND e.depth > 0""")
+def op11(spark, sf_dir):
+    return trie.prefix_trie(trie.with_shared_heads(trie.conversations(table(spark, sf_dir, "conversations"))))
+
+
 @query("op12_hard_negatives", """
 WITH v AS (
   SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
