@@ -27,7 +27,6 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -98,15 +97,30 @@ def compare(a: np.ndarray, b: np.ndarray, need: np.ndarray, need_far: np.ndarray
 
 
 def _sign_rows(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in W.blocks(batches, "text"):
+            offsets, h = shingle_sets(part.column("text"), width)
+            s1, s2 = signatures(offsets, h)
+            keys = band_keys(min_hashes(offsets, h))
+            bands = W.list_array(np.arange(0, BANDS * (len(keys) + 1), BANDS), keys.ravel().view(np.int64))
+            yield pa.RecordBatch.from_arrays([part.column("uid"), part.column("id"), pa.array(np.diff(offsets)), pa.array(s1), pa.array(s2), bands],
+                                             names=["uid", "id", "n", "s1", "s2", "bands"])
+
+    return run
+
+
+def _body_rows(width: int):
+    """Signature and full set of each text."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in W.blocks(batches, "text"):
             offsets, h = shingle_sets(part.column("text"), width)
             s1, s2 = signatures(offsets, h)
             sig = min_hashes(offsets, h)
-            body = pa.Array.from_buffers(pa.binary(), len(sig), [None, pa.py_buffer(np.arange(0, 4 * HASHES * (len(sig) + 1), 4 * HASHES, dtype=np.int32)),
-                                                                 pa.py_buffer(sig.tobytes())])
-            yield pa.RecordBatch.from_arrays([part.column("uid"), part.column("id"), pa.array(np.diff(offsets)), pa.array(s1), pa.array(s2), body],
-                                             names=["uid", "id", "n", "s1", "s2", "sig"])
+            cuts = np.arange(0, 4 * HASHES * (len(sig) + 1), 4 * HASHES, dtype=np.int32)
+            body = pa.Array.from_buffers(pa.binary(), len(sig), [None, pa.py_buffer(cuts), pa.py_buffer(sig.tobytes())])
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(np.diff(offsets)), pa.array(s1), pa.array(s2), body, W.list_array(offsets, h.view(np.int64))],
+                                             names=["rep", "n", "s1", "s2", "sig", "tokens"])
 
     return run
 
@@ -115,15 +129,6 @@ def _matrix(sig: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(sig.to_pylist()), np.uint32).reshape(len(sig), HASHES)
 
 
-def _band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for lo in range(0, batch.num_rows, 2000):
-            part = batch.slice(lo, 2000)
-            key = band_keys(_matrix(part.column("sig")))
-            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pc.take(part.column("nid"), pa.array(np.repeat(np.arange(part.num_rows), BANDS))),
-                                              pc.take(part.column("n"), pa.array(np.repeat(np.arange(part.num_rows), BANDS)))], names=["key", "nid", "n"])
-
-
 def _hub_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """Batches of rows and, for each row, the position of its unit's hub row."""
     hub = None
@@ -139,55 +144,46 @@ def _hub_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.
         yield t, at
 
 
-def _compare_rows(need: np.ndarray, need_far: np.ndarray, num: int, den: int):
+def _judge_rows(need: np.ndarray, need_far: np.ndarray, num: int, den: int):
+    """(hub, member, linked, far): signatures in batches, then the full sets of what survives."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, at in _hub_rows(batches):
             rows = np.flatnonzero(at != np.arange(len(at)))
             if not len(rows):
                 continue
-            sig, n = _matrix(t.column("body").combine_chunks()), t.column("n").to_numpy()
+            sig, n = _matrix(t.column("sig").combine_chunks()), t.column("n").to_numpy()
             alive, far = compare(sig[rows], sig[at[rows]], need, need_far)
             small, large = np.minimum(n[rows], n[at[rows]]), np.maximum(n[rows], n[at[rows]])
             alive &= den * small >= num * large
             far |= den * small < (2 * num - den) * large
-            yield pa.RecordBatch.from_arrays([t.column("hub").combine_chunks().take(pa.array(rows)), t.column("member").combine_chunks().take(pa.array(rows)),
-                                              pa.array(alive), pa.array(far)], names=["hub", "member", "alive", "far"])
-
-    return run
-
-
-def _verify_rows(num: int, den: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, at in _hub_rows(batches):
-            body = t.column("body").combine_chunks()
-            flat, cut = body.values.to_numpy(), body.offsets.to_numpy()
-            rows = np.flatnonzero(at != np.arange(len(at)))
+            tokens = t.column("tokens").combine_chunks()
+            flat, cut = tokens.values.to_numpy(), tokens.offsets.to_numpy()
             linked = np.zeros(len(rows), bool)
-            for i, r in enumerate(rows.tolist()):
-                a, b = flat[cut[r]:cut[r + 1]], flat[cut[at[r]]:cut[at[r] + 1]]
-                common = len(np.intersect1d(a, b, assume_unique=True))
-                linked[i] = den * common >= num * (len(a) + len(b) - common)
-            yield pa.RecordBatch.from_arrays([t.column("hub").combine_chunks().take(pa.array(rows)), t.column("member").combine_chunks().take(pa.array(rows)),
-                                              pa.array(linked)], names=["hub", "member", "linked"])
+            for i in np.flatnonzero(alive).tolist():
+                r, h = int(rows[i]), int(at[rows[i]])
+                common = len(np.intersect1d(flat[cut[r]:cut[r + 1]], flat[cut[h]:cut[h + 1]], assume_unique=True))
+                linked[i] = den * common >= num * (n[r] + n[h] - common)
+            take = pa.array(rows)
+            yield pa.RecordBatch.from_arrays([t.column("hub").combine_chunks().take(take), t.column("member").combine_chunks().take(take),
+                                              pa.array(linked), pa.array(far)], names=["hub", "member", "linked", "far"])
 
     return run
 
 
-def _against_hub(pairs: DataFrame, bodies: DataFrame, fn, schema: str) -> DataFrame:
+def _judged(pairs: DataFrame, bodies: DataFrame, fn) -> DataFrame:
     """``fn`` over units of one hub and up to about MEMBERS of its partners.
 
     The hub's row comes first in its unit, so a task holds one hub and a batch.
     """
-    units = pairs.groupBy("hub").agg(F.ceil(F.count("*") / MEMBERS).alias("parts"))
-    placed = settle(pairs.join(units, "hub").select("hub", "member", F.pmod(F.xxhash64("member"), F.col("parts")).alias("part")))
-    ids = placed.select(F.col("hub").alias("nid")).unionByName(placed.select(F.col("member").alias("nid"))).distinct()
-    held = attach(bodies, ids, "nid", "left_semi")
-    member = placed.join(held.withColumnRenamed("nid", "member"), "member").select("hub", "part", "member", "n", "body")
-    hub = (placed.select("hub", "part").distinct().join(held.withColumnRenamed("nid", "hub"), "hub")
-           .select("hub", "part", F.lit(None).cast("long").alias("member"), "n", "body"))
+    units = pairs.groupBy("hub").agg(F.ceil(F.count("*") / MEMBERS).alias("parts")).filter("parts > 1")
+    placed = pairs.join(units, "hub", "left").select("hub", "member", F.coalesce(F.pmod(F.xxhash64("member"), F.col("parts")), F.lit(0)).alias("part"))
+    member = placed.join(bodies.withColumnRenamed("nid", "member"), "member").select("hub", "part", "member", "n", "sig", "tokens")
+    hub = (placed.select("hub", "part").distinct().join(bodies.withColumnRenamed("nid", "hub"), "hub")
+           .select("hub", "part", F.lit(None).cast("long").alias("member"), "n", "sig", "tokens"))
     unit = ["hub", "part"]
     rows = member.unionByName(hub).repartition(task_count(pairs), *unit).sortWithinPartitions(*unit, F.col("member").asc_nulls_first())
-    return rows.mapInArrow(fn, schema)
+    return settle(rows.mapInArrow(fn, "hub long, member long, linked boolean, far boolean"))
 
 
 def _cell(need: np.ndarray, need_far: np.ndarray, num: int, den: int):
@@ -236,28 +232,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     need, need_far = least_matches(num / den, miss), least_matches(max(0.0, 2 * num / den - 1), miss)
     src = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    rows = settle_table(src.mapInArrow(_sign_rows(width), "uid long, id long, n long, s1 long, s2 long, sig binary"))
+    rows = settle_table(src.mapInArrow(_sign_rows(width), "uid long, id long, n long, s1 long, s2 long, bands array<long>"))
     takes = rows.filter("n > 0 and id is not null")
     nodes = settle(takes.groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"), F.min("uid").alias("nid")))
-    signed = rows.select(F.col("uid").alias("nid"), "n", "sig")
-    postings = settle_table(attach(signed, nodes.select("nid"), "nid", "left_semi").mapInArrow(_band_rows, "key long, nid long, n long"))
-    buckets = postings.groupBy("key").agg(F.min("nid").alias("hub"), F.count("*").alias("c")).filter("c > 1").select("key")
-    active = settle(postings.join(buckets, "key"))
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        """(hub, member, linked, far) of pairs."""
-        seen = settle(_against_hub(pairs, signed.withColumnRenamed("sig", "body"), _compare_rows(need, need_far, num, den),
-                                   "hub long, member long, alive boolean, far boolean"))
-        ask = seen.filter("alive").select("hub", "member")
-        nid = ask.select(F.col("hub").alias("nid")).unionByName(ask.select(F.col("member").alias("nid"))).distinct()
-        wanted = settle(nodes.join(nid, "nid"))
-        text = attach(docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")),
-                      wanted.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
-        full = text.mapInArrow(_full_sets(width), "rep long, n long, s1 long, s2 long, body array<long>")
-        sets = settle_table(full.join(wanted, ["rep", "n", "s1", "s2"]).select("nid", "n", "body").dropDuplicates(["nid"]))
-        sure = _against_hub(ask, sets, _verify_rows(num, den), "hub long, member long, linked boolean").filter("linked")
-        return settle(seen.select("hub", "member", "far").join(sure, ["hub", "member"], "left")
-                      .select("hub", "member", F.coalesce("linked", F.lit(False)).alias("linked"), "far"))
+    bands = rows.select(F.col("uid").alias("nid"), "n", "bands").join(nodes.select("nid"), "nid", "left_semi")
+    postings = settle_table(bands.select("nid", "n", F.explode("bands").alias("key")))
+    buckets = postings.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
+    active = settle(postings.join(buckets, "key").select("key", "nid", "n"))
+    wanted = settle(nodes.join(active.select("nid").distinct(), "nid"))
+    text = attach(docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")),
+                  wanted.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
+    full = text.mapInArrow(_body_rows(width), "rep long, n long, s1 long, s2 long, sig binary, tokens array<long>")
+    bodies = settle_table(full.join(wanted, ["rep", "n", "s1", "s2"]).select("nid", "n", "sig", "tokens").dropDuplicates(["nid"]))
+    judge = _judge_rows(need, need_far, num, den)
 
     # documents with several texts join the nodes of these
     every = settle(rows.select("uid", "id", "n", "s1", "s2").join(nodes.select("n", "s1", "s2", "nid"), ["n", "s1", "s2"], "left").select("uid", "id", "n", "nid"))
@@ -275,9 +262,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         hubs = waiting.groupBy("key").agg(F.min("nid").alias("hub"))
         star = settle(waiting.join(hubs, "key").filter("nid <> hub"))
         pairs = star.select("hub", F.col("nid").alias("member")).distinct()
-        found = verified(settle(pairs.join(known, ["hub", "member"], "left_anti")))
-        known = settle(known.unionByName(found))
-        edges = settle(edges.unionByName(found.filter("linked").select("hub", "member")))
+        found = _judged(settle(pairs.join(known, ["hub", "member"], "left_anti")), bodies, judge)
+        known = known.unionByName(found)
+        edges = edges.unionByName(found.filter("linked").select("hub", "member"))
         root = components(edges, "hub", "member")
         told = settle(star.join(known.withColumnRenamed("member", "nid"), ["hub", "nid"]).select("key", "nid", "n", "linked", "far"))
         middle = told.groupBy("key").agg(F.max(~F.col("linked") & ~F.col("far")).alias("middle"))
@@ -285,7 +272,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         open_ = rest.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("c")).filter("a < b")
         rest = settle(rest.join(open_.select("key", "c"), "key").select("key", "nid", "n", "c"))
         # what fits one block waits for the cells, larger buckets go on while a round at least halves them
-        small = settle(small.unionByName(rest.filter(F.col("c") <= BLOCK_NODES).drop("c")))
+        small = small.unionByName(rest.filter(F.col("c") <= BLOCK_NODES).drop("c"))
         waiting = rest.filter(F.col("c") > BLOCK_NODES).drop("c")
         before, large = large, waiting.count()
         if large > before // 2:
@@ -294,11 +281,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not left.isEmpty():
         sized = left.join(group_sizes(left, ["key"], BLOCK_NODES), "key").select("key", "nid", "_blocks")
         placed = settle(sized.join(rooted(left), ["key", "nid"]))
-        body = attach(signed, placed.select("nid").distinct(), "nid", "left_semi").select("nid", "sig")
+        body = bodies.select("nid", "sig").join(placed.select("nid").distinct(), "nid", "left_semi")
         pairs = run_cells(into_cells(placed, "nid").join(body, "nid"), ["key"], _cell(need, need_far, num, den), "hub long, member long").distinct()
-        found = verified(settle(pairs.join(known, ["hub", "member"], "left_anti")))
-        root = components(settle(edges.unionByName(found.filter("linked").select("hub", "member"))), "hub", "member")
-    elif not active.isEmpty() or not edges.isEmpty():
+        found = _judged(settle(pairs.join(known, ["hub", "member"], "left_anti")), bodies, judge)
+        # only the roots of what is joined already meet again
+        of = lambda c: root.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+        more = found.filter("linked").join(of("hub"), "hub", "left").join(of("member"), "member", "left").select(
+            F.coalesce("hub_root", "hub").alias("hub"), F.coalesce("member_root", "member").alias("member"))
+        top = components(more, "hub", "member").select(F.col("node").alias("root"), F.col("root").alias("top"))
+        lone = top.select(F.col("root").alias("node")).join(root.select("node"), "node", "left_anti").select("node", F.col("node").alias("root"))
+        root = settle(root.unionByName(lone).join(top, "root", "left").select("node", F.coalesce("top", "root").alias("root")))
+    elif not large and active.isEmpty() and not edges.isEmpty():
         root = components(edges, "hub", "member")
     label = nodes.select("nid", "rep").join(root.withColumnRenamed("node", "nid"), "nid", "left").select("nid", "rep", F.coalesce("root", "nid").alias("root"))
     label = settle(label)
@@ -308,13 +301,3 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"),
                       (F.col("id") == F.coalesce("component", "id")).alias("kept"))
 
-
-def _full_sets(width: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in W.blocks(batches, "text"):
-            offsets, h = shingle_sets(part.column("text"), width)
-            s1, s2 = signatures(offsets, h)
-            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(np.diff(offsets)), pa.array(s1), pa.array(s2), W.list_array(offsets, h.view(np.int64))],
-                                             names=["rep", "n", "s1", "s2", "body"])
-
-    return run
