@@ -13,8 +13,9 @@
    linking distance from it, none of them links to one that is (triangle
    inequality), and those are left out; the hub has met everyone. What still
    holds two components goes through another round with its next hub. When
-   rounds stop paying, buckets are cut into blocks, and each pair of blocks is
-   compared, so nothing is capped.
+   rounds stop paying, and for what fits one block, buckets are cut into blocks,
+   and each pair of blocks is compared and verified in one task, which sends
+   no more links than it has nodes; nothing is capped.
 
 A pair at the threshold misses all 36 bands of 6 hashes with probability 4e-8;
 at the first batches and with the default it is dropped at about 1e-6.
@@ -30,20 +31,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.blocks import group_sizes, into_cells, run_cells, task_count
+from ..plans.blocks import into_cells, run_cells, task_count
 from ..plans.components import components
 from ..plans.joins import attach
 from ..session import settle, settle_table
 from . import words as W
-from .jaccard import shingle_sets, signatures
+from .jaccard import common_counts, shingle_sets, signatures
 
 BANDS, ROWS = 36, 6
 HASHES = BANDS * ROWS
 #: Hashes compared between two decisions.
 BATCH = 36
 MISS = 1e-6
-#: Members that one task unit compares with a hub, nodes of a block.
-MEMBERS, BLOCK_NODES = 256, 256
+#: Members that one task unit compares with a hub, nodes and shingles of a block.
+MEMBERS, BLOCK_NODES, BLOCK_SHINGLES = 256, 256, 1 << 18
 
 
 def _factors() -> tuple[np.ndarray, np.ndarray]:
@@ -187,29 +188,50 @@ def _judged(pairs: DataFrame, bodies: DataFrame, fn) -> DataFrame:
 
 
 def _cell(need: np.ndarray, need_far: np.ndarray, num: int, den: int):
-    """Pairs of two blocks of a bucket that are not joined yet and survive the batches."""
+    """Links between two blocks of a bucket that join what is not joined yet, at most one per node."""
 
     def run(t: pa.Table) -> pa.RecordBatch | None:
+        t = t.combine_chunks()
         block, nid = t.column("_block").to_numpy(), t.column("nid").to_numpy()
         lo, hi = t.column("_lo")[0].as_py(), t.column("_hi")[0].as_py()
         n, root = t.column("n").to_numpy(), t.column("root").to_numpy()
         sig = _matrix(t.column("sig").combine_chunks())
         a, b = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
-        fits = (root[a][:, None] != root[b][None, :]) & (nid[a][:, None] != nid[b][None, :])
+        fits = root[a][:, None] != root[b][None, :]
         fits &= den * np.minimum(n[a][:, None], n[b][None, :]) >= num * np.maximum(n[a][:, None], n[b][None, :])
         if lo == hi:
             fits &= np.arange(len(a))[:, None] < np.arange(len(b))[None, :]
         x, y = np.nonzero(fits)
-        left, right = [], []
+        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for start in range(0, len(x), 1 << 14):
             i, j = a[x[start:start + (1 << 14)]], b[y[start:start + (1 << 14)]]
             alive, _ = compare(sig[i], sig[j], need, need)
-            left.append(nid[i[alive]])
-            right.append(nid[j[alive]])
-        if not left:
+            left.append(i[alive])
+            right.append(j[alive])
+        i, j = np.concatenate(left), np.concatenate(right)
+        if not len(i):
             return None
-        left, right = np.concatenate(left), np.concatenate(right)
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(left, right)), pa.array(np.maximum(left, right))], names=["hub", "member"])
+        tokens = t.column("tokens").combine_chunks()
+        flat, cut = tokens.values.to_numpy(), tokens.offsets.to_numpy()
+        (some, at), (others, bt) = np.unique(i, return_inverse=True), np.unique(j, return_inverse=True)
+        sets = lambda rows: [flat[cut[r]:cut[r + 1]] for r in rows.tolist()]
+        common = common_counts(sets(some), sets(others))[at, bt]
+        linked = den * common >= num * (n[i] + n[j] - common)
+        _, of = np.unique(root, return_inverse=True)
+        up = np.arange(len(nid))
+        out = []
+        for p, q in zip(i[linked].tolist(), j[linked].tolist(), strict=True):
+            x, y = of[p], of[q]
+            while up[x] != x:
+                up[x] = x = up[up[x]]
+            while up[y] != y:
+                up[y] = y = up[up[y]]
+            if x != y:
+                up[x] = y
+                out.append((root[p], root[q]))
+        if not out:
+            return None
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["hub", "member"])
 
     return run
 
@@ -279,15 +301,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             break
     left = small.unionByName(waiting) if large else small
     if not left.isEmpty():
-        sized = left.join(group_sizes(left, ["key"], BLOCK_NODES), "key").select("key", "nid", "_blocks")
-        placed = settle(sized.join(rooted(left), ["key", "nid"]))
-        body = bodies.select("nid", "sig").join(placed.select("nid").distinct(), "nid", "left_semi")
-        pairs = run_cells(into_cells(placed, "nid").join(body, "nid"), ["key"], _cell(need, need_far, num, den), "hub long, member long").distinct()
-        found = _judged(settle(pairs.join(known, ["hub", "member"], "left_anti")), bodies, judge)
+        # buckets with the same members once, in blocks of bounded size
+        of_key = left.groupBy("key").agg(F.count("*").alias("c"), F.sum("n").alias("size"), F.min("nid").alias("x"), F.max("nid").alias("y"),
+                                         *[F.bit_xor(F.xxhash64(F.lit(i), "nid")).alias(f"h{i}") for i in (0, 1)])
+        once = of_key.groupBy("c", "size", "x", "y", "h0", "h1").agg(F.min("key").alias("key")).filter("c > 1").select(
+            "key", F.greatest(F.ceil(F.col("c") / BLOCK_NODES), F.ceil(F.col("size") / BLOCK_SHINGLES)).cast("int").alias("_blocks"))
+        placed = settle(rooted(left).join(once, "key").select("key", "nid", "root", "_blocks"))
+        cells = into_cells(placed, "nid").join(bodies, "nid")
+        more = settle(run_cells(cells, ["key"], _cell(need, need_far, num, den), "hub long, member long").distinct())
         # only the roots of what is joined already meet again
-        of = lambda c: root.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
-        more = found.filter("linked").join(of("hub"), "hub", "left").join(of("member"), "member", "left").select(
-            F.coalesce("hub_root", "hub").alias("hub"), F.coalesce("member_root", "member").alias("member"))
         top = components(more, "hub", "member").select(F.col("node").alias("root"), F.col("root").alias("top"))
         lone = top.select(F.col("root").alias("node")).join(root.select("node"), "node", "left_anti").select("node", F.col("node").alias("root"))
         root = settle(root.unionByName(lone).join(top, "root", "left").select("node", F.coalesce("top", "root").alias("root")))
