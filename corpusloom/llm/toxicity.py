@@ -25,6 +25,8 @@ SENTENCE = 64
 #: Labelled documents of a class that are fitted; every feature that tells the classes apart is kept.
 PER_CLASS = 12_000
 BEGINNINGS = (4, 5, 6)
+#: Steps of the fit, each one a pass of the tasks over the sample, and the rate of the first.
+STEPS, RATE = 40, 0.3
 #: Share of a feature's log odds among documents that its weight starts from and is drawn to.
 PRIOR = 0.5
 
@@ -84,8 +86,32 @@ def _weights_of(vocabulary: pa.Array, names: pa.Array, weights: np.ndarray) -> n
     return total
 
 
-def _hits(names: list[str]):
-    """Per sample document: number of sentences, and its (sentence, feature) hits."""
+#: Arrays of a block of sample documents: label and blank sentences of each; document, copies
+#: and end in ``feature`` of each sentence that holds features.
+BLOCK = "label array<int>, blank array<int>, own array<int>, copies array<int>, stop array<int>, feature array<int>"
+BLOCK_COLUMNS = [c.split()[0] for c in BLOCK.split(", ")]
+
+
+def fold(doc: np.ndarray, sentence: np.ndarray, feature: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(own, copies, stop, feature): the sentences' features, equal sentences of a document once.
+
+    Sentences are numbered through; each (sentence, feature) hit may repeat and counts as often.
+    """
+    order = np.lexsort((feature, sentence))
+    doc, sentence, feature = doc[order], sentence[order], feature[order]
+    start = np.flatnonzero(np.diff(sentence, prepend=-1))
+    size = np.diff(np.append(start, len(sentence)))
+    text, at = {}, np.zeros(len(start), np.int64)
+    feature = np.ascontiguousarray(feature, np.int32)
+    for i, (d, a, n) in enumerate(zip(doc[start].tolist(), start.tolist(), size.tolist(), strict=True)):
+        at[i] = text.setdefault((d, feature[a:a + n].tobytes()), len(text))
+    first = np.unique(at, return_index=True)[1]
+    copies = np.bincount(at, minlength=len(first))
+    return doc[start][first], copies, np.cumsum(size[first]), feature[W.take_ranges(start[first], size[first])]
+
+
+def _blocks(names: list[str]):
+    """One row per block of sample documents."""
     known = pa.array(names, pa.large_string())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,12 +125,38 @@ def _hits(names: list[str]):
                 sent.append(number[hit])
                 feat.append(at[hit])
             row, sent, feat = map(np.concatenate, (row, sent, feat))
-            order = np.argsort(row, kind="stable")
-            cuts = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=part.num_rows)))) if len(row) else np.zeros(part.num_rows + 1, int)
+            blank = np.diff(first) - np.bincount(row[np.unique(sent, return_index=True)[1]], minlength=part.num_rows)
+            own, copies, stop, feat = fold(row, sent, feat)
             yield pa.RecordBatch.from_arrays(
-                [part.column("id").cast(pa.string()), part.column("label"), pa.array(np.diff(first)),
-                 W.list_array(cuts, (sent - first[row])[order].astype(np.int64)), W.list_array(cuts, feat[order].astype(np.int64))],
-                names=["id", "label", "sentences", "at", "feature"])
+                [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x, pa.int32()))
+                 for x in (part.column("label").to_numpy(), blank, own, copies, stop, feat)], names=BLOCK_COLUMNS)
+
+    return run
+
+
+def gradient(block: dict[str, np.ndarray], class_weight: tuple[float, float], w: np.ndarray, bias: float) -> np.ndarray:
+    """Gradient of the weighted log loss of a block's documents, the bias last."""
+    label, blank, own, copies, stop, feature = (block[c] for c in BLOCK_COLUMNS)
+    docs, size = len(label), np.diff(stop, prepend=0)
+    sent = np.repeat(np.arange(len(own)), size)
+    z = bias + np.bincount(sent, w[feature], len(own))
+    p, base = 1 / (1 + np.exp(-np.clip(z, -30, 30))), 1 / (1 + np.exp(-bias))
+    miss = np.bincount(own, copies * np.log1p(-np.minimum(p, 1 - 1e-12)), docs) + blank * np.log1p(-base)
+    score = np.maximum(-np.expm1(miss), 1e-12)
+    pull = np.where(label == 1, class_weight[1], class_weight[0]) * (score - label) / score
+    dz = pull[own] * p * copies
+    return np.append(np.bincount(feature, dz[sent], len(w)), dz.sum() + (pull * blank).sum() * base)
+
+
+def _gradients(class_weight: tuple[float, float], w: np.ndarray, bias: float):
+    """One summed gradient per task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(w) + 1)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                total += gradient({c: batch.column(c)[i].values.to_numpy() for c in BLOCK_COLUMNS}, class_weight, w, bias)
+        yield pa.RecordBatch.from_arrays([W.list_array(np.array([0, len(total)]), total)], names=["g"])
 
     return run
 
@@ -116,34 +168,28 @@ class NoisyOr:
         self.names, self.prior = names, np.zeros(len(names)) if prior is None else np.maximum(0, prior)
         self.w, self.bias = self.prior.copy(), -6.0
 
-    def fit(self, label, sentences_of, at, feature, weight=None, steps: int = 400, rate: float = 0.05, decay: float = 3e-5):
-        """Adam over all documents; sentences without any feature count by the bias."""
-        docs = len(label)
-        if not docs:
-            return self
-        size = np.array([len(x) for x in at])
-        doc = np.repeat(np.arange(docs), size)
-        wide = int(max(sentences_of.max(initial=0), 1)) + 1
-        key, sent = np.unique(doc * wide + np.concatenate([*at, np.zeros(0, np.int64)]), return_inverse=True)
-        own, feat = key // wide, np.concatenate([*feature, np.zeros(0, np.int64)]).astype(np.int64)
-        blank = sentences_of - np.bincount(own, minlength=docs)
-        y = label.astype(float)
-        weight = np.full(docs, 1 / docs) if weight is None else weight / weight.sum()
+    def descend(self, slope, steps: int = STEPS, rate: float = RATE, decay: float = 3e-5):
+        """Adam on ``slope(w, bias)``, the gradient over all documents, with a rate that falls to a tenth."""
         m, v = np.zeros(len(self.w) + 1), np.zeros(len(self.w) + 1)
         for step in range(1, steps + 1):
-            z = self.bias + np.bincount(sent, self.w[feat], len(key))
-            p, base = 1 / (1 + np.exp(-np.clip(z, -30, 30))), 1 / (1 + np.exp(-self.bias))
-            miss = np.bincount(own, np.log1p(-np.minimum(p, 1 - 1e-12)), docs) + blank * np.log1p(-base)
-            score = np.maximum(-np.expm1(miss), 1e-12)
-            pull = weight * (score - y) / score
-            dz = pull[own] * p
-            grad = np.append(np.bincount(feat, dz[sent], len(self.w)) + decay * (self.w - self.prior), dz.sum() + (pull * blank).sum() * base)
+            grad = slope(self.w, self.bias) + np.append(decay * (self.w - self.prior), 0)
             m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
-            move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+            move = rate * 0.1 ** (step / steps) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
             self.w = np.maximum(0, self.w - move[:-1])  # a feature never speaks for a sentence
             self.bias = float(np.clip(self.bias - move[-1], -8, 0))
         return self
 
+    def fit(self, label, sentences_of, at, feature):
+        """The same on documents at hand: ``at`` and ``feature`` list each one's (sentence, feature) hits."""
+        if not len(label):
+            return self
+        doc = np.repeat(np.arange(len(label)), [len(x) for x in at])
+        number = doc * (int(max(sentences_of)) + 1) + np.concatenate([*at, np.zeros(0, np.int64)])
+        feature = np.concatenate([*feature, np.zeros(0, np.int64)])
+        blank = sentences_of - np.bincount(doc[np.unique(number, return_index=True)[1]], minlength=len(label))
+        block = dict(zip(BLOCK_COLUMNS, (np.asarray(label), blank, *fold(doc, number, feature)), strict=True))
+        return self.descend(lambda w, bias: gradient(block, (1 / len(label),) * 2, w, bias))
+
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text",
           per_class: int = PER_CLASS) -> NoisyOr:
@@ -162,12 +208,20 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str
     told = {r["feature"]: PRIOR * r["odds"] for r in chosen.select("feature", F.log(
         ((F.col("ones") + 0.5) / ones) / ((F.col("zeros") + 0.5) / zeros)).alias("odds")).collect()}
     names = sorted(told)
-    got = rows.mapInArrow(_hits(names), "id string, label int, sentences long, at array<long>, feature array<long>").toArrow()
-    got = got.take(pc.sort_indices(got, [("id", "ascending"), ("label", "ascending")]))
-    lists = lambda c: [np.asarray(x.values, dtype=np.int64) for x in got.column(c)]
-    label = got.column("label").to_numpy()
-    return NoisyOr(names, np.array([told[n] for n in names])).fit(label, got.column("sentences").to_numpy(), lists("at"), lists("feature"),
-                              np.where(label == 1, share[1] / ones, share[0] / zeros))
+    model = NoisyOr(names, np.array([told[n] for n in names]))
+    # classes weigh by their true share; all weights together are 1
+    weight = share[0] / zeros, share[1] / ones
+    whole = weight[0] * totals.get(0, 0) + weight[1] * totals.get(1, 0)
+    if not whole or not names:
+        return model
+    weight = weight[0] / whole, weight[1] / whole
+    blocks = settle_table(rows.select("label", "text").mapInArrow(_blocks(names), BLOCK))
+
+    def slope(w, bias):
+        got = blocks.mapInArrow(_gradients(weight, w, bias), "g array<double>").toArrow().column("g")
+        return np.sum([np.asarray(x.values) for x in got], axis=0)
+
+    return model.descend(slope)
 
 
 def _judge(model: NoisyOr, text: pa.Array) -> tuple[np.ndarray, pa.Array]:
