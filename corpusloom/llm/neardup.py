@@ -13,9 +13,9 @@
    linking distance from it, none of them links to one that is (triangle
    inequality), and those are left out; the hub has met everyone. What still
    holds two components goes through another round with its next hub. When
-   rounds stop paying, and for what fits one block, buckets are cut into blocks,
-   and each pair of blocks is compared and verified in one task, which sends
-   no more links than it has nodes; nothing is capped.
+   rounds stop paying, and for what fits one block, nodes are put into blocks;
+   each pair of blocks that share a bucket is compared and verified in one task,
+   which sends no more links than it has nodes; nothing is capped.
 
 A pair at the threshold misses all 36 bands of 6 hashes with probability 4e-8;
 at the first batches and with the default it is dropped at about 1e-6.
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.blocks import into_cells, run_cells, task_count
+from ..plans.blocks import run_cells, task_count
 from ..plans.components import components
 from ..plans.joins import attach
 from ..session import settle, settle_table
@@ -301,14 +301,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             break
     left = small.unionByName(waiting) if large else small
     if not left.isEmpty():
-        # buckets with the same members once, in blocks of bounded size
-        of_key = left.groupBy("key").agg(F.count("*").alias("c"), F.sum("n").alias("size"), F.min("nid").alias("x"), F.max("nid").alias("y"),
-                                         *[F.bit_xor(F.xxhash64(F.lit(i), "nid")).alias(f"h{i}") for i in (0, 1)])
-        once = of_key.groupBy("c", "size", "x", "y", "h0", "h1").agg(F.min("key").alias("key")).filter("c > 1").select(
-            "key", F.greatest(F.ceil(F.col("c") / BLOCK_NODES), F.ceil(F.col("size") / BLOCK_SHINGLES)).cast("int").alias("_blocks"))
-        placed = settle(rooted(left).join(once, "key").select("key", "nid", "root", "_blocks"))
-        cells = into_cells(placed, "nid").join(bodies, "nid")
-        more = settle(run_cells(cells, ["key"], _cell(need, need_far, num, den), "hub long, member long").distinct())
+        # a node lies in one block, of the family of its largest bucket; blocks that share a bucket meet once
+        sizes = left.groupBy("key").agg(F.count("*").alias("c"))
+        family = left.join(sizes, "key").groupBy("nid").agg(F.max(F.struct("c", "key")).alias("top"), F.max("n").alias("n"))
+        family = settle(family.select("nid", "n", F.col("top.key").alias("family")))
+        parts = family.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / BLOCK_NODES), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("parts"))
+        block = F.xxhash64("family", F.pmod(F.xxhash64("nid"), F.col("parts")))
+        placed = settle(family.join(parts, "family").select("nid", block.alias("_block"))
+                        .join(root.withColumnRenamed("node", "nid"), "nid", "left").select("nid", "_block", F.coalesce("root", "nid").alias("root")))
+        of_block = placed.groupBy("_block").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+        spot = left.select("key", "nid").join(placed.select("nid", "_block"), "nid").select("key", "_block").distinct().join(of_block, "_block")
+        one = spot.select("key", F.col("_block").alias("_lo"), "low", "high")
+        two = spot.select("key", F.col("_block").alias("_hi"), F.col("low").alias("low2"), F.col("high").alias("high2"))
+        apart = F.least("low", "low2") < F.greatest("high", "high2")
+        meets = settle(one.join(two, "key").filter((F.col("_lo") <= F.col("_hi")) & apart).select("_lo", "_hi").distinct())
+        sides = placed.join(meets, F.col("_block") == F.col("_lo")).unionByName(
+            placed.join(meets.filter("_lo <> _hi"), F.col("_block") == F.col("_hi")))
+        more = settle(run_cells(sides.join(bodies, "nid"), [], _cell(need, need_far, num, den), "hub long, member long").distinct())
         # only the roots of what is joined already meet again
         top = components(more, "hub", "member").select(F.col("node").alias("root"), F.col("root").alias("top"))
         lone = top.select(F.col("root").alias("node")).join(root.select("node"), "node", "left_anti").select("node", F.col("node").alias("root"))
