@@ -192,6 +192,7 @@ def _verify(num: int, den: int):
             if out:
                 cols = [np.concatenate(c).astype(np.int64) for c in zip(*out, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["nid", "near", "links"])
+            W.release()
 
     return run
 

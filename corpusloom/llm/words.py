@@ -6,6 +6,7 @@ A word is a run of anything but the six ASCII white-space characters, that is
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
@@ -25,6 +26,14 @@ class Words(NamedTuple):
     vocabulary: pa.Array
 
 
+def release() -> None:
+    """Give freed memory back to the system; workers live on after their task."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def blocks(batches: Iterable[pa.RecordBatch], text: str, max_bytes: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """Batches cut where the text passes ``max_bytes``; a longer text is alone."""
     for batch in batches:
@@ -39,6 +48,7 @@ def blocks(batches: Iterable[pa.RecordBatch], text: str, max_bytes: int = BLOCK_
             # a copy: some Arrow functions read slices wrongly
             yield batch if stop - start == len(size) else batch.take(pa.array(np.arange(start, stop)))
             start = stop
+            release()
 
 
 def split(text: pa.Array) -> Words:
