@@ -103,7 +103,7 @@ def best_fit_runs(counts: dict[int, int], window: int, start: int = 0) -> list[t
 def _encode(path: str, window: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = encoder(path)
-        for part in W.blocks(batches, "text"):
+        for part in W.blocks(batches, "text", 1 << 20):
             w = W.split(plain_words(part.column("text")))
             offsets, ids = known.table(w.vocabulary.to_pylist())
             count = np.diff(offsets)[w.codes]

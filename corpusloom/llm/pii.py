@@ -273,7 +273,7 @@ def written(occurrence: str, stand_in: str, kind: str) -> str:
 
 def _detect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kinds = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("kind", pa.string()), ("entity", pa.string())]))
-    for part in W.blocks(batches, "text"):
+    for part in W.blocks(batches, "text", 1 << 20):
         found, rows = [], []
         for i, text in enumerate(part.column("text").to_pylist()):
             spans = find(text)
@@ -335,7 +335,9 @@ def _rewrite(text: pd.Series, edits: pd.Series) -> pd.Series:
             at = e["stop"]
         return "".join([*out, t[at:]])
 
-    return pd.Series([one(t, s) for t, s in zip(text, edits, strict=True)], dtype=object)
+    out = pd.Series([one(t, s) for t, s in zip(text, edits, strict=True)], dtype=object)
+    W.release()
+    return out
 
 
 def surrogates(docs: DataFrame, key: str, text_col: str = "text", count_col: str | None = None) -> DataFrame:

@@ -240,7 +240,7 @@ def _judge(model: NoisyOr, text: pa.Array) -> tuple[np.ndarray, pa.Array]:
 
 def _scores(model: NoisyOr):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in W.blocks(batches, "text"):
+        for part in W.blocks(batches, "text", 1 << 20):
             score, word = _judge(model, part.column("text"))
             yield pa.RecordBatch.from_arrays([part.column("id"), part.column("held_out"), pa.array(score), word],
                                              names=["id", "held_out", "score", "sentence_words"])
@@ -250,7 +250,7 @@ def _scores(model: NoisyOr):
 
 def _clean(model: NoisyOr, threshold: float, text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in W.blocks(batches, text_col):
+        for part in W.blocks(batches, text_col, 1 << 20):
             yield part.filter(pa.array(_judge(model, part.column(text_col))[0] < threshold))
 
     return run
