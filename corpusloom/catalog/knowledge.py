@@ -207,6 +207,14 @@ def link_extract(spark, sf):
 SELECT src AS note_name, count(*) AS n_broken,
   array_to_string(list_slice(list_sort(list(DISTINCT target)), 1, 5), ',') AS targets FROM dead GROUP BY 1""")
 def broken_links(spark, sf):
+    p = S.linked_pages(spark, sf)
+    return links.broken_links(p, links.extract_links(p), shown=5).withColumn("targets", joined("targets"))
+
+
+@query("broken_links_full", f"""WITH {PAGES}, dead AS (SELECT * FROM links WHERE target NOT IN (SELECT note_name FROM pages0))
+SELECT src AS note_name, count(*) AS n_broken, array_to_string(list_sort(list(DISTINCT target)), ',') AS targets FROM dead GROUP BY 1""")
+def broken_links_full(spark, sf):
+    """All broken targets of a page."""
     p = S.linked_pages(spark, sf)
     return links.broken_links(p, links.extract_links(p)).withColumn("targets", joined("targets"))
 
@@ -236,7 +244,7 @@ lint AS (
 
 @query("lint_report", f"WITH {LINT} SELECT * FROM lint")
 def lint_report(spark, sf):
-    return links.lint(S.linked_pages(spark, sf)).withColumn("related", joined("related"))
+    return links.lint(S.linked_pages(spark, sf), shown=5).withColumn("related", joined("related"))
 
 
 PATHS = """pp AS (SELECT doc_id, lang || '/' || source || '/n' || doc_id // 5 AS page, 'n' || doc_id // 5 AS stem,
@@ -272,7 +280,15 @@ def lint_paths(spark, sf):
   SELECT type, severity, count(*) OVER (PARTITION BY type) AS total,
     row_number() OVER (PARTITION BY type ORDER BY note_name) AS rank, note_name, n FROM lint) WHERE rank <= 10""")
 def lint_summary(spark, sf):
-    return links.lint_summary(links.lint(S.linked_pages(spark, sf)))
+    return links.lint_summary(links.lint(S.linked_pages(spark, sf)), 10)
+
+
+@query("lint_summary_full", f"""WITH {LINT} SELECT type, severity, count(*) OVER (PARTITION BY type) AS total,
+  CAST(row_number() OVER (PARTITION BY type ORDER BY note_name) AS INTEGER) AS rank, note_name, n FROM lint""")
+def lint_summary_full(spark, sf):
+    """Every finding, none cut."""
+    out = links.lint_summary(links.lint(S.linked_pages(spark, sf)))
+    return out.withColumn("rank", F.col("rank").cast("int"))
 
 
 def renames(spark, sf):
@@ -480,13 +496,30 @@ UNION ALL SELECT 0, '# 失败文件' || chr(10) || '> 自动更新于 2024-01-01
   FROM x HAVING count(*) > 0
 UNION ALL SELECT count(*) + 1, chr(10) || '> 自动生成于 2024-01-01' || chr(10) FROM x HAVING count(*) > 0""")
 def failed_moc(spark, sf):
-    """Toxic documents as failed imports; the first line is the reason."""
+    """Toxic documents as failed imports; the first line is the reason, its first 80 characters are shown."""
+    return moc.failed_lines(moc.failed_entries(failed_pages(spark, sf)), "2024-01-01", 80)
+
+
+FAILED_FULL = """WITH f AS (SELECT 'FAIL_d' || doc_id AS stem, 'd' || doc_id || '.md' AS source, trim(string_split(text, chr(10))[1]) AS reason
+  FROM documents JOIN labels USING (doc_id) WHERE toxic = 1)
+SELECT row_number() OVER (ORDER BY stem) AS ord, '- [[' || stem || ']] ' || source || chr(10)
+  || CASE WHEN reason = '' THEN '' ELSE '  - 原因: ' || reason || chr(10) END AS line FROM f"""
+
+
+@query("failed_moc_full", FAILED_FULL)
+def failed_moc_full(spark, sf):
+    """Whole reasons; the entries only."""
+    lines = moc.failed_lines(moc.failed_entries(failed_pages(spark, sf)), "2024-01-01")
+    return lines.filter(F.startswith("line", F.lit("- [[")))
+
+
+def failed_pages(spark, sf):
     d = S.table(spark, sf, "documents").join(S.table(spark, sf, "labels").filter("toxic = 1"), "doc_id", "left_semi")
     name = F.concat(F.lit("d"), F.col("doc_id").cast("string"))
     page = d.select(
         F.concat(F.lit("_failed/FAIL_"), name, F.lit(".md")).alias("rel_path"),
         F.concat(F.lit("---\nsource: "), name, F.lit(".md\n---\n- **原因**: "), F.substring_index("text", "\n", 1), F.lit("\n")).alias("content"))
-    return moc.failed_lines(moc.failed_entries(page), "2024-01-01")
+    return page
 
 
 @query("moc_stale_files", """WITH old AS (SELECT DISTINCT 'MOC_' || CAST(ceil(doc_id / 100.0) AS INTEGER) || '.md' AS file FROM documents),

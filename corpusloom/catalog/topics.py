@@ -8,7 +8,7 @@ from ..operators import classify, duplicates, incremental, topics
 from ..plans.ranking import global_rank
 from ..session import settle
 from ..sources import corpus as S
-from .registry import NOTES, WEB, query
+from .registry import NOTES, TITLE_PAIRS, WEB, query
 
 C = F.lit
 
@@ -20,19 +20,56 @@ def dup_title_groups(spark, sf):
     return duplicates.title_groups(S.web_pages(spark, sf))
 
 
-@query("dup_page_pairs")
-def dup_page_pairs(spark, sf):
-    """The title ratio has no SQL form; tests compare it with brute force."""
-    d = duplicates.duplicate_titles(S.web_pages(spark, sf))
+SHOWN = "page_key, title_a, title_b, first_a, first_b, n_a, n_b, round(similarity, 6) AS similarity, round(reverse, 6) AS reverse"
+
+
+def rounded(d):
     return d.withColumn("similarity", F.round("similarity", 6)).withColumn("reverse", F.round("reverse", 6))
 
 
-@query("dup_page_map")
+@query("dup_page_pairs", f"WITH RECURSIVE {WEB}, keyed AS (SELECT page_path, page_key, title FROM web), {TITLE_PAIRS} SELECT {SHOWN} FROM dup")
+def dup_page_pairs(spark, sf):
+    return rounded(duplicates.duplicate_titles(S.web_pages(spark, sf)))
+
+
+def words_as_titles(spark, sf):
+    """Pages whose titles are two words of a page's title, keyed by the first
+    letter: many titles under a key, many of them alike."""
+    p = S.web_pages(spark, sf)
+    words = F.split("title", " ")
+    title = F.array_join(F.slice(words, 2, 2), " ")
+    return p.select("page_path", F.lower(F.substring(title, 1, 2)).alias("page_key"), title.alias("title"))
+
+
+WORD_TITLES = f"""{WEB}, keyed AS (
+  SELECT page_path, lower(left(title, 2)) AS page_key, title FROM (
+    SELECT page_path, array_to_string(string_split(title, ' ')[2:3], ' ') AS title FROM web))"""
+
+
+@query("dup_title_near", f"WITH RECURSIVE {WORD_TITLES}, {TITLE_PAIRS} SELECT {SHOWN} FROM dup")
+def dup_title_near(spark, sf):
+    return rounded(duplicates.duplicate_titles(words_as_titles(spark, sf)))
+
+
+@query("dup_title_near_map", f"WITH RECURSIVE {WORD_TITLES}, {TITLE_PAIRS} SELECT page_path, canonical FROM dup_map")
+def dup_title_near_map(spark, sf):
+    """Chains of similar titles end at one page."""
+    return duplicates.duplicate_map(words_as_titles(spark, sf))
+
+
+@query("dup_page_map", f"WITH RECURSIVE {WEB}, keyed AS (SELECT page_path, page_key, title FROM web), {TITLE_PAIRS} SELECT page_path, canonical FROM dup_map")
 def dup_page_map(spark, sf):
     return duplicates.duplicate_map(S.web_pages(spark, sf))
 
 
-@query("dup_page_merge")
+@query("dup_page_merge", f"""WITH RECURSIVE {WEB}, keyed AS (SELECT page_path, page_key, title FROM web), {TITLE_PAIRS},
+u AS (SELECT canonical, list_sort(list_distinct(list(w.path))) AS sources FROM dup_map d JOIN web w USING (page_path) GROUP BY 1),
+nm AS (SELECT canonical, string_agg(regexp_extract(page_path, '[^/]*$'), ', ' ORDER BY page_path) AS names FROM dup_map WHERE page_path <> canonical GROUP BY 1)
+SELECT page_path, false AS changed, md5(CASE WHEN names IS NULL THEN '---' || chr(10) || 'sources: [' || w.path || ']' || chr(10) || 'tags: [web]' || chr(10) || '---' || chr(10) || title
+  ELSE '---' || chr(10) || 'sources: [' || array_to_string(list_transform(sources, lambda s: '"' || s || '"'), ', ') || ']' || chr(10) || 'tags: ["web"]' || chr(10) || '---' || chr(10)
+    || chr(10) || '> 合并自: ' || names || chr(10) || title END) AS content_md5
+FROM web w LEFT JOIN u ON u.canonical = w.page_path LEFT JOIN nm ON nm.canonical = w.page_path
+WHERE page_path NOT IN (SELECT page_path FROM dup_map WHERE page_path <> canonical)""")
 def dup_page_merge(spark, sf):
     w = S.web_pages(spark, sf)
     pages = w.select("page_path", F.concat(C("---\nsources: ["), "path", C("]\ntags: [web]\n---\n"), "title").alias("content"))
@@ -138,13 +175,12 @@ def topic_centroid_move(spark, sf):
     return t.select("topic_id", F.posexplode("centroid").alias("pos", "x"), "doc_count").withColumn("x", F.round("x", 6))
 
 
-@query("vector_upsert", """SELECT vec_id, count(*) OVER () AS total, CASE WHEN vec_id % 2 = 0 THEN len(embedding) ELSE 8 END AS dims
-FROM embeddings WHERE vec_id % 2 = 0 OR vec_id % 3 = 0""")
+@query("vector_upsert", """SELECT vec_id, count(*) OVER () AS total, CASE WHEN vec_id % 2 = 0 THEN len(embedding) ELSE 8 END AS dims FROM embeddings""")
 def vector_upsert(spark, sf):
-    """Every third vector is stored with 8 dimensions, then every second one
-    is set in full: some are replaced, some stay, some are new."""
+    """Odd vectors and every fourth one are stored with 8 dimensions, then all
+    even ones are set in full: some are replaced, some stay, some are new."""
     v = vecs(spark, sf).select("vec_id", "embedding")
-    old = v.filter("vec_id % 3 = 0").withColumn("embedding", F.slice("embedding", 1, 8))
+    old = v.filter("vec_id % 2 <> 0 OR vec_id % 4 = 0").withColumn("embedding", F.slice("embedding", 1, 8))
     out = incremental.replace_rows(old, v.filter("vec_id % 2 = 0"), ["vec_id"])
     n = out.agg(F.count("*")).scalar()
     return out.select("vec_id", n.alias("total"), F.size("embedding").cast("bigint").alias("dims"))

@@ -41,7 +41,7 @@ def resolve_links(pages: DataFrame, links: DataFrame, match_on: str = "stem") ->
     return links.join(names.select("target", "n.to"), "target", "left").select(*links.columns, "to")
 
 
-def broken_links(pages: DataFrame, links: DataFrame, match_on: str = "stem", shown: int | None = 5) -> DataFrame:
+def broken_links(pages: DataFrame, links: DataFrame, match_on: str = "stem", shown: int | None = None) -> DataFrame:
     """note_name, n_broken (repeats count), the first distinct broken targets
     (``shown`` None: all)."""
     return _broken(resolve_links(pages, links.filter("target <> ''"), match_on), shown)
@@ -78,7 +78,7 @@ def no_outlinks(pages: DataFrame, links: DataFrame, exempt: str = "MOC_") -> Dat
 
 
 def lint(pages: DataFrame, match_on: str = "stem", orphan_max: int = 1, max_chars: int | None = None,
-         shown: int | None = 5) -> DataFrame:
+         shown: int | None = None) -> DataFrame:
     """type, severity, note_name, n, related of all findings.
 
     Matched on stems, of pages with the same stem the last path counts, for
@@ -104,7 +104,7 @@ def lint(pages: DataFrame, match_on: str = "stem", orphan_max: int = 1, max_char
     )
 
 
-def lint_summary(findings: DataFrame, shown: int | None = 10) -> DataFrame:
+def lint_summary(findings: DataFrame, shown: int | None = None) -> DataFrame:
     """Total per type with its first findings (``shown`` None: all)."""
     total = findings.groupBy("type", "severity").agg(F.count("*").alias("total"))
     rows = findings.select("type", "note_name", "n")

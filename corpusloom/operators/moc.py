@@ -203,7 +203,7 @@ def failed_entries(pages: DataFrame) -> DataFrame:
     )
 
 
-def failed_lines(rows: DataFrame, made_at: str, shown: int | None = 80, footer: str = K.FOOTER_PREFIX) -> DataFrame:
+def failed_lines(rows: DataFrame, made_at: str, shown: int | None = None, footer: str = K.FOOTER_PREFIX) -> DataFrame:
     """ord, line of the failed-file page; rows: stem, source, reason, and path
     if stems repeat. ``shown``: characters of a reason (None: all)."""
     r = global_rank(rows, [c for c in ("stem", "path", "source", "reason") if c in rows.columns])
