@@ -23,8 +23,10 @@ from pyspark.sql import functions as F
 from ..plans.ranking import group_rank
 from ..session import settle_table
 from . import words as W
-from .vocabulary import plain_words, encoder
+from .vocabulary import Encoder, plain_words
 
+#: Words that a task remembers with their ids.
+TASK_WORDS = 300_000
 RUN = "length long, first long, last long, per long, sequence long, place long"
 
 
@@ -102,7 +104,7 @@ def best_fit_runs(counts: dict[int, int], window: int, start: int = 0) -> list[t
 
 def _encode(path: str, window: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = encoder(path)
+        known = Encoder(path, TASK_WORDS)  # the task's own: a worker that lives on keeps no words
         for part in W.blocks(batches, "text", 1 << 20):
             w = W.split(plain_words(part.column("text")))
             offsets, ids = known.table(w.vocabulary.to_pylist())
@@ -126,6 +128,8 @@ def _encode(path: str, window: int, end_id: int):
             yield pa.RecordBatch.from_arrays(
                 [part.column("uid").take(at), part.column("id").take(at), *(pa.array(x, pa.int64()) for x in (start, length, crc, total))],
                 names=["uid", "id", "start", "length", "ids_crc32", "doc_tokens"])
+        del known
+        W.release()
 
     return run
 

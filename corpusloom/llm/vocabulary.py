@@ -46,11 +46,11 @@ def plain_words(text: pa.Array) -> pa.Array:
 class Encoder:
     """Ids of words, the same as ``Tokenizer.encode(word, add_special_tokens=False)``."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, memory: int = MEMORY):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.memory = Tokenizer.from_file(path), memory
         self.forget()
         # small letters go to the model at once, only if that changes nothing
         probe = ["the", "mixture", "ofthhahaen", "s", "é", "straße", "çãñöx"]
@@ -68,7 +68,7 @@ class Encoder:
 
     def table(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(offsets, ids) of the words, for gathering."""
-        if len(self.place) + len(words) > MEMORY:
+        if len(self.place) + len(words) > self.memory:
             self.forget()
         place = self.place
         new = [w for w in words if w not in place]
