@@ -2,8 +2,9 @@
 
 Each function starts a query that works off what is there (``availableNow``)
 or keeps running with another trigger, and returns the query; results land in
-Parquet below the given folder. State that one key may dominate is folded per
-micro-batch with the batch operators, which split hot keys.
+Parquet below the given folder and are read with ``results`` or ``newest``.
+State per key lies in the engine's state store (``state``), so a lost executor
+or a restart goes on from the last finished micro-batch.
 """
 
 from __future__ import annotations
@@ -12,20 +13,39 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators import moc, observe, work_queue
-from ..operators.incremental import skip_known
-from .batch_log import BatchLog
+from .. import constants as K
+from ..operators import moc, observe
+from ..plans.ranking import latest
+from . import state
 
 INDEX = "md5 string, path string, status string"
 TASKS = "task_id string, path string, status string, retry_count bigint, seq bigint"
-STREAKS = "provider bigint, rate_limit bigint, server_error bigint"
+CHANGES = f"{TASKS}, version bigint"
 CALLS = "provider bigint, ts timestamp, seq bigint, outcome string, rate_limit bigint, server_error bigint, cooldown int"
+RESTS = "provider bigint, start timestamp, finish timestamp, failures bigint, ended_by string"
 
 
 def _start(df: DataFrame, work: str, trigger: dict | None):
     return df.writeStream.option("checkpointLocation", f"{work}/checkpoint").trigger(**(trigger or {"availableNow": True}))
 
 
+def _append(df: DataFrame, work: str, trigger: dict | None) -> StreamingQuery:
+    return _start(df, work, trigger).format("parquet").option("path", f"{work}/out").outputMode("append").start()
+
+
+def results(spark: SparkSession, work: str, schema: str) -> DataFrame:
+    """What a stream has written so far; no rows before its first micro-batch."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{work}/out")
+    if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{work}/out")
+
+
+def newest(spark: SparkSession, work: str, schema: str, keys: list[str], version: str) -> DataFrame:
+    """The last written row of each key."""
+    return latest(results(spark, work, schema), keys, [F.col(version).desc()]).drop(version)
+
+
 def table_stream(spark: SparkSession, path: str, per_trigger: int = 64) -> DataFrame:
     """Stream of a Parquet file or folder."""
     schema = spark.read.parquet(path).schema
@@ -40,23 +60,20 @@ def _is_file(spark: SparkSession, path: str) -> bool:
 
 
 def ingest(files: DataFrame, work: str, within_batch: bool = False, trigger: dict | None = None) -> StreamingQuery:
-    """Record content seen for the first time. files: path, md5.
+    """Record content seen for the first time (INDEX rows). files: path, md5.
 
-    Copies inside one micro-batch all pass unless ``within_batch``.
+    Copies inside one micro-batch all pass unless ``within_batch``, which
+    keeps the smallest path. Rows without md5 are left out.
     """
-    log = BatchLog(files.sparkSession, f"{work}/index", INDEX)
-
-    def step(batch: DataFrame, batch_id: int) -> None:
-        fresh = skip_known(batch, log.rows(batch_id), "md5", within_batch, [F.col("path").asc()])
-        log.write(batch_id, fresh.select("md5", "path", F.lit("success").alias("status")))
-
-    return _start(files, work, trigger).foreachBatch(step).start()
+    rows = files.select("md5", "path").filter("md5 IS NOT NULL")
+    fresh = rows.groupBy("md5").transformWithState(state.FirstSeen(within_batch), INDEX, "Append", "None")
+    return _append(fresh, work, trigger)
 
 
 def unique_content(files: DataFrame, work: str, keep: str = "1 day", trigger: dict | None = None) -> StreamingQuery:
     """First arrival of each content within the watermark. files: md5, ts, …"""
     once = files.withWatermark("ts", keep).dropDuplicatesWithinWatermark(["md5"])
-    return _start(once, work, trigger).format("parquet").option("path", f"{work}/out").outputMode("append").start()
+    return _append(once, work, trigger)
 
 
 def tree_counts(pages: DataFrame, work: str, trigger: dict | None = None) -> StreamingQuery:
@@ -75,36 +92,53 @@ def health(file_events: DataFrame, work: str, window: str = "1 day", late: str =
     window is not written. file_events: ts, status, elapsed."""
     win = file_events.withWatermark("ts", late).groupBy(F.window("ts", window))
     out = observe.with_health(win.agg(*observe.run_counters())).withColumn("start", F.col("window.start")).drop("window")
-    return _start(out, work, trigger).format("parquet").option("path", f"{work}/out").outputMode("append").start()
+    return _append(out, work, trigger)
+
+
+def _by_provider(calls: DataFrame):
+    """Calls with their time in microseconds, without rows that cannot be placed."""
+    return calls.filter("provider IS NOT NULL AND ts IS NOT NULL AND seq IS NOT NULL").withColumn("at", F.unix_micros("ts"))
 
 
 def cooldown(calls: DataFrame, work: str, trigger: dict | None = None) -> StreamingQuery:
-    """Each call with running failure streaks; per provider only the streaks
-    after its last call are kept. calls: provider, ts, seq, outcome."""
-    spark = calls.sparkSession
-    state = BatchLog(spark, f"{work}/state", STREAKS)
-    out = BatchLog(spark, f"{work}/out", CALLS)
+    """Each call with running failure streaks (CALLS rows). calls: provider, ts, seq, outcome.
 
-    def step(batch: DataFrame, batch_id: int) -> None:
-        rows = observe.failure_streaks(batch, initial=state.current(["provider"], batch_id))
-        out.write(batch_id, rows)
-        done = spark.read.parquet(f"{work}/out/batch={batch_id}")
-        last = F.struct("ts", "seq")
-        state.write(batch_id, done.groupBy("provider").agg(
-            F.max_by("rate_limit", last).alias("rate_limit"), F.max_by("server_error", last).alias("server_error")))
+    Per provider the state is its streaks after the last call. Calls of one
+    micro-batch are taken in time order, later arrivals after them. A task
+    holds 17 bytes per call of one provider in a micro-batch.
+    """
+    rows = _by_provider(calls).select("provider", "at", "seq", "outcome")
+    raw = "provider bigint, at bigint, seq bigint, kind int, rate_limit bigint, server_error bigint, cooldown int"
+    out = rows.groupBy("provider").transformWithStateInPandas(state.Streaks(), raw, "Append", "None")
+    names = F.array(*[F.lit(k) for k in [*state.KINDS, "other_error", "ok"]])
+    return _append(out.select(
+        "provider", F.timestamp_micros("at").alias("ts"), "seq", F.get(names, F.col("kind")).alias("outcome"),
+        *state.KINDS, "cooldown"), work, trigger)
 
-    return _start(calls, work, trigger).foreachBatch(step).start()
 
+def rests(calls: DataFrame, work: str, late: str = "1 hour", trigger: dict | None = None) -> StreamingQuery:
+    """Finished rests of each provider (RESTS rows). calls: provider, ts, seq, outcome.
 
-def queue(outcomes: DataFrame, tasks: DataFrame, work: str, trigger: dict | None = None) -> StreamingQuery:
-    """Apply outcomes to the tasks per micro-batch; only tasks that changed
-    are written. outcomes: path, ord, outcome."""
-    log = BatchLog(outcomes.sparkSession, f"{work}/tasks", TASKS)
+    A rest ends with a success or by an event-time timer at its end; calls
+    older than the watermark are dropped. Open rests are not written.
+    """
+    rows = _by_provider(calls.withWatermark("ts", late)).select("provider", "ts", "at", "seq", "outcome")
+    raw = "provider bigint, start bigint, finish bigint, failures bigint, ended_by string"
+    out = rows.groupBy("provider").transformWithStateInPandas(state.Rests(), raw, "Append", "EventTime")
+    when = lambda c: F.timestamp_micros(c).alias(c)
+    return _append(out.select("provider", when("start"), when("finish"), "failures", "ended_by"), work, trigger)
 
-    def step(batch: DataFrame, batch_id: int) -> None:
-        touched = batch.select("path").distinct()
-        seen = log.current(["path"], batch_id).join(touched, "path", "left_semi")
-        first = tasks.join(touched, "path", "left_semi").join(seen.select("path"), "path", "left_anti")
-        log.write(batch_id, work_queue.apply_outcomes(first.unionByName(seen), batch))
 
-    return _start(outcomes, work, trigger).foreachBatch(step).start()
+def queue(outcomes: DataFrame, tasks: DataFrame, work: str, max_retries: int = K.MAX_RETRIES,
+          trigger: dict | None = None) -> StreamingQuery:
+    """Tasks that changed, per micro-batch (CHANGES rows). outcomes: path, ord, outcome.
+
+    ``tasks`` is the initial state. Each input task folds its outcomes first, so
+    a path with a third of all rows sends one row per Arrow batch; the fold
+    does not depend on the order of arrival. ``newest`` by ``version`` gives
+    the table.
+    """
+    first = tasks.filter("path IS NOT NULL").groupBy("path")
+    out = state.folded_outcomes(outcomes).groupBy("path").transformWithState(
+        state.TaskStates(max_retries), CHANGES, "Append", "None", first)
+    return _append(out, work, trigger)

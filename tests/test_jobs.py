@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from corpusloom.plans.jobs import Vault, classify_dynamic, crosslink_pages, maintain_topics
 from corpusloom.sources import files
 from corpusloom.streaming import streams
-from corpusloom.streaming.batch_log import BatchLog
 from corpusloom.operators import observe, work_queue
 
 BODY = "Spark engine writes whole shuffle partitions. " * 12
@@ -136,26 +135,71 @@ def test_cooldown_stream_over_batches(spark, tmp_path):
     path = str(tmp_path / "in")
     write_parts(df, path, "seq", 4)
     work = str(tmp_path / "work")
-    streams.cooldown(streams.table_stream(spark, path, 1), work).awaitTermination()
-    cols = ["seq", "rate_limit", "server_error", "cooldown"]
+    q = streams.cooldown(streams.table_stream(spark, path, 1), work)
+    q.awaitTermination()
+    assert len([p for p in q.recentProgress if p.numInputRows]) == 4
+    cols = ["seq", "outcome", "rate_limit", "server_error", "cooldown"]
     f = lambda d: sorted(tuple(x) for x in d.select(*cols).collect())
-    got = BatchLog(spark, f"{work}/out", streams.CALLS).rows()
-    assert got.select("batch").distinct().count() == 4
-    assert f(got) == f(observe.failure_streaks(df))
+    assert f(streams.results(spark, work, streams.CALLS)) == f(observe.failure_streaks(df))
+
+
+def brute_rests(calls, rules, limit, watermark):
+    """Rests of one provider's (ts, outcome) in seconds, ended by the watermark at the latest."""
+    out, run, rest = [], {k: 0 for k in rules}, None
+    for ts, o in calls:
+        if o == "ok" or o in rules:
+            if rest and rest[1] <= ts:
+                out.append((*rest, "timer"))
+                rest = None
+        if o == "ok":
+            if rest:
+                out.append((rest[0], ts, rest[2], "success"))
+            run, rest = {k: 0 for k in rules}, None
+        elif o in rules:
+            run[o] += 1
+            end = ts + rules[o][run[o] >= limit]
+            rest = (rest[0] if rest else ts, end, rest[2] + 1 if rest else 1)
+    if rest and rest[1] <= watermark:
+        out.append((*rest, "timer"))
+    return out
+
+
+def test_rests_end_by_success_or_timer(spark, tmp_path):
+    from corpusloom import constants as K
+
+    r = random.Random(5)
+    outcome = lambda: r.choice(["ok", "rate_limit", "rate_limit", "server_error", "other_error"])
+    data = [(r.choice([1, 1, 2]), 1_700_000_000 + i * 25, i, outcome()) for i in range(300)]
+    data += [(3, 1_700_000_100, 900, "rate_limit"), (4, 1_700_007_480, 901, "rate_limit")]  # one call each: timer, still open
+    df = spark.createDataFrame(data, "provider long, t long, seq long, outcome string").select("provider", F.timestamp_seconds("t").alias("ts"), "seq", "outcome")
+    path, work = str(tmp_path / "in"), str(tmp_path / "work")
+    write_parts(df, path, "ts", 5)
+    streams.rests(streams.table_stream(spark, path, 1), work, "1 minute").awaitTermination()
+    got = streams.results(spark, work, streams.RESTS).select(
+        "provider", F.unix_timestamp("start"), F.unix_timestamp("finish"), "failures", "ended_by").collect()
+    mark = max(d[1] for d in data) - 60
+    want = [(p, *x) for p in (1, 2, 3, 4) for x in brute_rests(sorted((t, o) for q, t, _, o in data if q == p), K.COOLDOWN, K.STREAK_LIMIT, mark)]
+    assert sorted(tuple(x) for x in got) == sorted(want)
+    assert any(x[0] == 3 for x in want) and not any(x[0] == 4 for x in want)
+    assert {x[4] for x in want} == {"success", "timer"}
 
 
 def test_queue_stream_over_batches(spark, tmp_path):
     r = random.Random(2)
-    o = spark.createDataFrame([(f"p{r.randint(0, 9)}", i, r.choice(["done", "fail", "fail", "cancel"])) for i in range(90)], "path string, ord long, outcome string")
+    o = spark.createDataFrame([(f"p{r.randint(0, 9)}", i, r.choice(["done", "fail", "fail", "cancel", "processing"])) for i in range(90)]
+                              + [("nobody", 91, "done"), (None, 92, "done"), ("p1", 93, None), ("p2", None, "fail")],
+                              "path string, ord long, outcome string")
     t = spark.createDataFrame([(f"t{i}", f"p{i}", "pending", 0, i) for i in range(10)], streams.TASKS)
-    path, work = str(tmp_path / "in"), str(tmp_path / "work")
-    write_parts(o, path, "ord", 3)
-    streams.queue(streams.table_stream(spark, path, 1), t, work).awaitTermination()
-    log = BatchLog(spark, f"{work}/tasks", streams.TASKS)
-    f = lambda d: sorted(tuple(x) for x in d.select("path", "status", "retry_count").collect())
-    assert f(log.current(["path"])) == f(work_queue.apply_outcomes(t, o))
-    small = log.compact(["path"], f"{work}/small")
-    assert f(small.current(["path"])) == f(log.current(["path"]))
+    f = lambda d: sorted(tuple(x) for x in d.select("task_id", "path", "status", "retry_count", "seq").collect())
+    for name, order in (("forth", F.col("ord")), ("back", F.col("ord").desc())):  # any order of arrival
+        path, work = str(tmp_path / name), str(tmp_path / f"{name}-work")
+        write_parts(o, path, order, 4)
+        run = lambda p=path, w=work: streams.queue(streams.table_stream(spark, p, 1), t, w).awaitTermination()
+        run()
+        got = streams.newest(spark, work, streams.CHANGES, ["path"], "version")
+        assert f(got) == f(work_queue.apply_outcomes(t, o))
+        run()  # nothing new
+        assert f(streams.newest(spark, work, streams.CHANGES, ["path"], "version")) == f(got)
 
 
 def test_ingest_stream_is_incremental(spark, tmp_path):
@@ -163,13 +207,14 @@ def test_ingest_stream_is_incremental(spark, tmp_path):
     df = spark.createDataFrame([(f"f{i}", f"m{i % 7}", i) for i in range(20)], "path string, md5 string, n long")
     write_parts(df, path, "n", 2)
     run = lambda: streams.ingest(streams.table_stream(spark, path, 1).select("path", "md5"), work, within_batch=True).awaitTermination()
+    seen = lambda: streams.results(spark, work, streams.INDEX)
+    assert seen().count() == 0
     run()
-    log = BatchLog(spark, f"{work}/index", streams.INDEX)
-    assert sorted(r["path"] for r in log.rows().collect()) == [f"f{i}" for i in range(7)]
+    assert sorted(r["path"] for r in seen().collect()) == [f"f{i}" for i in range(7)]
     run()  # nothing new
     spark.createDataFrame([("g", "m1", 1), ("h", "new", 2)], "path string, md5 string, n long").coalesce(1).write.mode("append").parquet(path)
     run()
-    assert log.rows().count() == 8 and log.rows().filter("md5 = 'new'").count() == 1
+    assert seen().count() == 8 and seen().filter("md5 = 'new'").count() == 1
 
 
 # ---- what the jobs must not lose ----------------------------------------------------------
