@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from ..plans.ranking import global_rank
 from ..session import scratch_path
 from ..sources import corpus as S
 from ..streaming import streams
@@ -19,22 +18,30 @@ def done(q):
         raise q.exception()
 
 
-def arrivals(rows, order):
-    """The rows as a stream of BATCHES micro-batches, ascending in ``order`` (unique).
+def arrivals(rows, by):
+    """The rows as a stream of BATCHES micro-batches, ascending in the integer ``by``.
 
     Each batch is written by a job of its own, as the same number of files, so
-    that files arrive in batch order whatever their number.
+    that files arrive in batch order whatever their number. Equal values of
+    ``by`` are in one batch, null ones in the first.
     """
-    spark, ranked = rows.sparkSession, global_rank(rows, order, "_rn")
-    n = ranked.count()
+    spark, path = rows.sparkSession, scratch_path(rows.sparkSession, "arrivals")
+    rows = rows.withColumn("_by", F.coalesce(by, F.lit(-(1 << 63))))
+    shares = [i / BATCHES for i in range(1, BATCHES)]
+    cuts, n = rows.agg(F.percentile_approx("_by", shares), F.count("*")).first()
     per_batch = max(1, -(-n // (BATCHES * PER_FILE)))
-    path = scratch_path(spark, "arrivals")
-    ranked = ranked.withColumn("_batch", F.floor((F.col("_rn") - 1) * BATCHES / max(n, 1)))
+    cuts = cuts or [0] * len(shares)
+    batch = sum((F.col("_by") > c).cast("int") for c in cuts)
     for b in range(BATCHES):
-        ranked.filter(F.col("_batch") == b).drop("_rn", "_batch").repartition(per_batch).write.mode("append").parquet(path)
+        rows.filter(batch == b).drop("_by").repartition(per_batch).write.mode("append").parquet(path)
     return streams.table_stream(spark, path, per_batch)
 
 
+def in_order(text):
+    """An integer that ascends with the text: its first seven bytes."""
+    return F.conv(F.rpad(F.hex(F.substring(F.col(text).cast("binary"), 1, 7)), 14, "0"), 16, 10).cast("bigint")
+
+
 def files(spark, sf):
     """One row per document: path, md5, category and a time; all within a day."""
     d = S.table(spark, sf, "documents")
@@ -53,22 +60,22 @@ def events(spark, sf):
 @query("stream_ingest", """SELECT md5(text) AS md5, min(lang || '/' || source || '/' || doc_id) AS path, 'success' AS status FROM documents GROUP BY 1""")
 def stream_ingest(spark, sf):
     work = scratch_path(spark, "ingest")
-    done(streams.ingest(arrivals(files(spark, sf).select("path", "md5"), ["path"]), work, within_batch=True))
+    done(streams.ingest(arrivals(files(spark, sf).select("path", "md5"), in_order("path")), work, within_batch=True))
     return streams.results(spark, work, streams.INDEX)
 
 
 @query("stream_unique", "SELECT DISTINCT md5(text) AS md5 FROM documents")
 def stream_unique(spark, sf):
     work = scratch_path(spark, "unique")
-    done(streams.unique_content(arrivals(files(spark, sf).select("md5", "ts", "path"), ["ts", "path"]), work, "1 day"))
-    return streams.results(spark, work, "md5 string, ts timestamp, path string").select("md5")
+    done(streams.unique_content(arrivals(files(spark, sf).select("md5", "ts"), F.unix_micros("ts")), work, "1 day"))
+    return streams.results(spark, work, "md5 string, ts timestamp").select("md5")
 
 
 @query("stream_tree_counts", """SELECT prefix, count(*) AS n FROM (SELECT lang AS prefix FROM documents
   UNION ALL SELECT lang || '/' || source FROM documents) GROUP BY 1""")
 def stream_tree_counts(spark, sf):
     work = scratch_path(spark, "tree")
-    done(streams.tree_counts(arrivals(files(spark, sf).select("category", "path"), ["path"]), work))
+    done(streams.tree_counts(arrivals(files(spark, sf).select("category"), in_order("category")), work))
     return streams.newest(spark, work, "prefix string, n bigint, batch bigint", ["prefix"], "batch")
 
 
@@ -78,8 +85,8 @@ WHERE start + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""
 def stream_health(spark, sf):
     work = scratch_path(spark, "health")
     status = F.when(F.col("event_type") == "error", "fail").when(F.col("event_type") == "view", "skip").otherwise("ok")
-    rows = events(spark, sf).select("ts", "event_id", status.alias("status"), F.col("value").alias("elapsed"))
-    done(streams.health(arrivals(rows, ["ts", "event_id"]), work))
+    rows = events(spark, sf).select("ts", status.alias("status"), F.col("value").alias("elapsed"))
+    done(streams.health(arrivals(rows, F.unix_micros("ts")), work))
     out = spark.read.parquet(f"{work}/out")
     return out.withColumn("start", F.unix_micros("start")).withColumn("elapsed", F.round("elapsed", 4)).withColumn(
         "fail_rate", F.round("fail_rate", 6))
@@ -87,7 +94,7 @@ def stream_health(spark, sf):
 
 def calls(spark, sf):
     rows = S.as_calls(events(spark, sf)).select("provider", "ts", "seq", "outcome")
-    return arrivals(rows, ["ts", "seq"])
+    return arrivals(rows, F.unix_micros("ts"))
 
 
 @query("stream_cooldown", f"WITH {STREAKS} SELECT provider, seq, outcome, rate_limit, server_error, CAST(cooldown AS INTEGER) AS cooldown FROM cd")
@@ -121,5 +128,5 @@ def stream_queue(spark, sf):
     o = (F.when(F.col("event_type") == "error", "fail").when(F.col("event_type") == "signup", "cancel")
          .when(F.col("event_type") == "click", "processing").otherwise("done"))
     rows = events(spark, sf).select(F.col("user_id").cast("string").alias("path"), F.col("event_id").alias("ord"), o.alias("outcome"))
-    done(streams.queue(arrivals(rows, ["ord"]), tasks(spark, sf), work))
+    done(streams.queue(arrivals(rows, F.col("ord")), tasks(spark, sf), work))
     return streams.newest(spark, work, streams.CHANGES, ["path"], "version")

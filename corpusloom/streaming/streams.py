@@ -9,6 +9,8 @@ or a restart goes on from the last finished micro-batch.
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -29,8 +31,30 @@ def _start(df: DataFrame, work: str, trigger: dict | None):
     return df.writeStream.option("checkpointLocation", f"{work}/checkpoint").trigger(**(trigger or {"availableNow": True}))
 
 
+#: Keyed processors need this store; it uploads only what a micro-batch changed.
+STORE = {
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+
+
+@contextmanager
+def _store(spark: SparkSession):
+    """STORE for a query that starts inside; the session keeps its own settings."""
+    before = {k: spark.conf.get(k, None) for k in STORE}
+    try:
+        for k, v in STORE.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def _append(df: DataFrame, work: str, trigger: dict | None) -> StreamingQuery:
-    return _start(df, work, trigger).format("parquet").option("path", f"{work}/out").outputMode("append").start()
+    with _store(df.sparkSession):
+        return _start(df, work, trigger).format("parquet").option("path", f"{work}/out").outputMode("append").start()
 
 
 def results(spark: SparkSession, work: str, schema: str) -> DataFrame:

@@ -202,6 +202,21 @@ def test_queue_stream_over_batches(spark, tmp_path):
         assert f(streams.newest(spark, work, streams.CHANGES, ["path"], "version")) == f(got)
 
 
+def test_streams_bring_their_own_state_store(spark, tmp_path):
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    other = "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
+    path, work = str(tmp_path / "in"), str(tmp_path / "work")
+    spark.createDataFrame([("a", "m"), ("b", "m"), ("c", None)], "path string, md5 string").write.parquet(path)
+    try:
+        spark.conf.set(key, other)
+        streams.ingest(streams.table_stream(spark, path), work, within_batch=True).awaitTermination()
+        assert spark.conf.get(key) == other
+    finally:
+        spark.conf.set(key, before)
+    assert [tuple(r) for r in streams.results(spark, work, streams.INDEX).collect()] == [("m", "a", "success")]
+
+
 def test_ingest_stream_is_incremental(spark, tmp_path):
     path, work = str(tmp_path / "in"), str(tmp_path / "work")
     df = spark.createDataFrame([(f"f{i}", f"m{i % 7}", i) for i in range(20)], "path string, md5 string, n long")
