@@ -43,8 +43,8 @@ HASHES = BANDS * ROWS
 #: Hashes compared between two decisions.
 BATCH = 36
 MISS = 1e-6
-#: Members that one task unit compares with a hub, nodes and shingles of a block.
-MEMBERS, BLOCK_NODES, BLOCK_SHINGLES = 256, 256, 1 << 18
+#: Members that one task unit compares with a hub, nodes and shingles of a block, first rows of a block that meet another.
+MEMBERS, BLOCK_NODES, BLOCK_SHINGLES, SLICE = 256, 2048, 1 << 20, 16
 
 
 def _factors() -> tuple[np.ndarray, np.ndarray]:
@@ -188,47 +188,56 @@ def _judged(pairs: DataFrame, bodies: DataFrame, fn) -> DataFrame:
 
 
 def _cell(need: np.ndarray, need_far: np.ndarray, num: int, den: int):
-    """Links between two blocks of a bucket that join what is not joined yet, at most one per node."""
+    """Links between two blocks of a bucket that join what is not joined yet, at most one per node.
+
+    Rows of one block meet the other in slices that grow from SLICE rows on:
+    what a slice has joined needs no pair in the next ones.
+    """
 
     def run(t: pa.Table) -> pa.RecordBatch | None:
         t = t.combine_chunks()
-        block, nid = t.column("_block").to_numpy(), t.column("nid").to_numpy()
+        block, n, root = (t.column(c).to_numpy() for c in ("_block", "n", "root"))
         lo, hi = t.column("_lo")[0].as_py(), t.column("_hi")[0].as_py()
-        n, root = t.column("n").to_numpy(), t.column("root").to_numpy()
-        sig = _matrix(t.column("sig").combine_chunks())
         a, b = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
-        fits = root[a][:, None] != root[b][None, :]
-        fits &= den * np.minimum(n[a][:, None], n[b][None, :]) >= num * np.maximum(n[a][:, None], n[b][None, :])
-        if lo == hi:
-            fits &= np.arange(len(a))[:, None] < np.arange(len(b))[None, :]
-        x, y = np.nonzero(fits)
-        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for start in range(0, len(x), 1 << 14):
-            i, j = a[x[start:start + (1 << 14)]], b[y[start:start + (1 << 14)]]
-            alive, _ = compare(sig[i], sig[j], need, need)
-            left.append(i[alive])
-            right.append(j[alive])
-        i, j = np.concatenate(left), np.concatenate(right)
-        if not len(i):
+        if not len(a) or not len(b):
             return None
+        sig = _matrix(t.column("sig").combine_chunks())
         tokens = t.column("tokens").combine_chunks()
         flat, cut = tokens.values.to_numpy(), tokens.offsets.to_numpy()
-        (some, at), (others, bt) = np.unique(i, return_inverse=True), np.unique(j, return_inverse=True)
         sets = lambda rows: [flat[cut[r]:cut[r + 1]] for r in rows.tolist()]
-        common = common_counts(sets(some), sets(others))[at, bt]
-        linked = den * common >= num * (n[i] + n[j] - common)
         _, of = np.unique(root, return_inverse=True)
-        up = np.arange(len(nid))
-        out = []
-        for p, q in zip(i[linked].tolist(), j[linked].tolist(), strict=True):
-            x, y = of[p], of[q]
-            while up[x] != x:
-                up[x] = x = up[up[x]]
-            while up[y] != y:
-                up[y] = y = up[up[y]]
-            if x != y:
-                up[x] = y
-                out.append((root[p], root[q]))
+        up, out = np.arange(len(root)), []
+        start, rows = 0, SLICE
+        while start < len(a):
+            part, now = a[start:start + rows], up[of]
+            fits = now[part][:, None] != now[b][None, :]
+            fits &= den * np.minimum(n[part][:, None], n[b][None, :]) >= num * np.maximum(n[part][:, None], n[b][None, :])
+            if lo == hi:
+                fits &= (start + np.arange(len(part)))[:, None] < np.arange(len(b))[None, :]
+            x, y = np.nonzero(fits)
+            alive = np.zeros(len(x), bool)
+            for at in range(0, len(x), 1 << 14):
+                s = slice(at, at + (1 << 14))
+                alive[s] = compare(sig[part[x[s]]], sig[b[y[s]]], need, need)[0]
+            i, j = part[x[alive]], b[y[alive]]
+            start += rows
+            rows = max(1, min(2 * rows, (1 << 20) // len(b)))
+            if not len(i):
+                continue
+            (some, at), (others, bt) = np.unique(i, return_inverse=True), np.unique(j, return_inverse=True)
+            common = common_counts(sets(some), sets(others))[at, bt]
+            linked = den * common >= num * (n[i] + n[j] - common)
+            for p, q in zip(i[linked].tolist(), j[linked].tolist(), strict=True):
+                x, y = of[p], of[q]
+                while up[x] != x:
+                    up[x] = x = up[up[x]]
+                while up[y] != y:
+                    up[y] = y = up[up[y]]
+                if x != y:
+                    up[x] = y
+                    out.append((root[p], root[q]))
+            while (up[up] != up).any():
+                up = up[up]
         if not out:
             return None
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["hub", "member"])

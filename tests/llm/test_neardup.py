@@ -68,6 +68,7 @@ def test_large_cluster_around_the_threshold(spark, monkeypatch):
     """Members link with some others only; rounds of hubs end and blocks take the rest."""
     monkeypatch.setattr(D, "MEMBERS", 7)
     monkeypatch.setattr(D, "BLOCK_NODES", 8)
+    monkeypatch.setattr(D, "SLICE", 2)
     rng = random.Random(4)
     base = [f"w{i}" for i in range(120)]
     rows = []
