@@ -34,8 +34,8 @@ def release() -> None:
         trim(0)
 
 
-def blocks(batches: Iterable[pa.RecordBatch], text: str, max_bytes: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Batches cut where the text passes ``max_bytes``; a longer text is alone."""
+def blocks(batches: Iterable[pa.RecordBatch], text: str, max_bytes: int = BLOCK_BYTES, max_rows: int = 1 << 31) -> Iterator[pa.RecordBatch]:
+    """Batches cut where the text passes ``max_bytes``, or after ``max_rows``; a longer text is alone."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -44,7 +44,7 @@ def blocks(batches: Iterable[pa.RecordBatch], text: str, max_bytes: int = BLOCK_
         start = 0
         while start < len(size):
             before = total[start] - size[start]
-            stop = max(start + 1, int(np.searchsorted(total, before + max_bytes, side="right")))
+            stop = min(start + max_rows, max(start + 1, int(np.searchsorted(total, before + max_bytes, side="right"))))
             # a copy: some Arrow functions read slices wrongly
             yield batch if stop - start == len(size) else batch.take(pa.array(np.arange(start, stop)))
             start = stop

@@ -2,7 +2,10 @@
 
 import random
 import re
+from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from corpusloom.llm import jaccard
@@ -93,3 +96,38 @@ def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert jaccard.jaccard_join(df).count() == 0
     assert jaccard.one_per_group(df).count() == 0
+
+
+def test_tokens_of_a_block_keep_their_rows():
+    rng = np.random.default_rng(3)
+    token, row = rng.integers(0, 1 << 63, 5000, dtype=np.uint64) * np.uint64(2), rng.integers(0, 900, 5000)
+    ranges, bodies = jaccard._pack(token, row)
+    assert ranges == sorted(set(ranges)) and sum(map(len, bodies)) == 6 * len(token)
+    codes, rows, size = jaccard._unpack(bodies)
+    got = sorted(zip(np.repeat(ranges, size).tolist(), codes.tolist(), rows.tolist()))
+    assert got == sorted((int(t) >> 53, int(t) >> 21 & 0xFFFFFFFF, r) for t, r in zip(token, row.tolist()))
+    assert jaccard._pack(token[:0], row[:0]) == ([], [])
+
+
+def test_neighbouring_rows_of_a_key_come_together():
+    keys = [[1, 1, 2], [2], [], [2, 3], [4]]
+    batches = [pa.RecordBatch.from_pydict({"k": pa.array(k, pa.int64())}) for k in keys]
+    assert [t.column("k").to_pylist() for t in jaccard._by(iter(batches), "k")] == [[1, 1], [2, 2, 2], [3], [4]]
+
+
+def test_screen_writes_no_token_of_texts_without_partner(spark, tmp_path, monkeypatch):
+    """What the steps write as tables stays far below the texts when nothing links."""
+    written = []
+
+    def kept(df):
+        path = f"{tmp_path}/step{len(written)}"
+        df.write.parquet(path)
+        written.append(sum(f.stat().st_size for f in Path(path).glob("*.parquet")))
+        return df.sparkSession.read.parquet(path)
+
+    monkeypatch.setattr(jaccard, "settle_table", kept)
+    rng = random.Random(9)
+    rows = [(i, " ".join(rng.choices([f"w{k}" for k in range(900)], k=300))) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.n_links for r in jaccard.jaccard_join(df).collect()} == {0}
+    assert sum(written) < sum(len(t) for _, t in rows) / 4
