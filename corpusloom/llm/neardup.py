@@ -13,9 +13,10 @@
    linking distance from it, none of them links to one that is (triangle
    inequality), and those are left out; the hub has met everyone. What still
    holds two components goes through another round with its next hub. When
-   rounds stop paying, and for what fits one block, nodes are put into blocks;
-   each pair of blocks that share a bucket is compared and verified in one task,
-   which sends no more links than it has nodes; nothing is capped.
+   rounds stop paying, and for what fits one block, buckets that share nodes
+   are put together and cut into blocks, or stay alone where that sends fewer
+   rows; each pair of blocks is compared and verified in one task, which sends
+   no more links than it has nodes; nothing is capped.
 
 A pair at the threshold misses all 36 bands of 6 hashes with probability 4e-8;
 at the first batches and with the default it is dropped at about 1e-6.
@@ -245,6 +246,25 @@ def _cell(need: np.ndarray, need_far: np.ndarray, num: int, den: int):
     return run
 
 
+def _units(left: DataFrame) -> DataFrame:
+    """unit, nid, n: each bucket's nodes meet in a unit, of two ways the one that sends fewer rows.
+
+    Buckets linked by common nodes are a group. A group is one unit if, cut
+    into blocks, it sends a node no more often than the node has buckets
+    there; otherwise each of its buckets is a unit. So rows stay below those of
+    ``left`` unless a single bucket takes several blocks.
+    """
+    first = left.groupBy("nid").agg(F.min("key").alias("first"))
+    linked = components(settle(left.join(first, "nid").select("key", "first").distinct()), "key", "first")
+    rows = settle(left.select("key", "nid", "n").join(linked.withColumnRenamed("node", "key"), "key", "left")
+                  .select("key", "nid", "n", F.coalesce("root", "key").alias("group")))
+    nodes = settle(rows.groupBy("group", "nid").agg(F.max("n").alias("n"), F.count("*").alias("c")))
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK_NODES), F.ceil(F.sum("n") / BLOCK_SHINGLES))
+    many = nodes.groupBy("group").agg((blocks * F.count("*") > F.sum("c")).alias("many")).filter("many").select("group")
+    return settle(nodes.join(many, "group", "left_anti").select(F.col("group").alias("unit"), "nid", "n").unionByName(
+        rows.join(many, "group", "left_semi").select(F.col("key").alias("unit"), "nid", "n")))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 85, den: int = 100,
                     miss: float = MISS) -> DataFrame:
     """One row per input row: id, n_shingles, component_id, kept.
@@ -310,20 +330,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             break
     left = small.unionByName(waiting) if large else small
     if not left.isEmpty():
-        # a node lies in one block, of the family of its largest bucket; blocks that share a bucket meet once
-        sizes = left.groupBy("key").agg(F.count("*").alias("c"))
-        family = left.join(sizes, "key").groupBy("nid").agg(F.max(F.struct("c", "key")).alias("top"), F.max("n").alias("n"))
-        family = settle(family.select("nid", "n", F.col("top.key").alias("family")))
-        parts = family.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / BLOCK_NODES), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("parts"))
-        block = F.xxhash64("family", F.pmod(F.xxhash64("nid"), F.col("parts")))
-        placed = settle(family.join(parts, "family").select("nid", block.alias("_block"))
-                        .join(root.withColumnRenamed("node", "nid"), "nid", "left").select("nid", "_block", F.coalesce("root", "nid").alias("root")))
-        of_block = placed.groupBy("_block").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-        spot = left.select("key", "nid").join(placed.select("nid", "_block"), "nid").select("key", "_block").distinct().join(of_block, "_block")
-        one = spot.select("key", F.col("_block").alias("_lo"), "low", "high")
-        two = spot.select("key", F.col("_block").alias("_hi"), F.col("low").alias("low2"), F.col("high").alias("high2"))
+        unit = _units(left)
+        parts = unit.groupBy("unit").agg(F.greatest(F.ceil(F.count("*") / BLOCK_NODES), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("parts"))
+        block = F.xxhash64("unit", F.pmod(F.xxhash64("nid"), F.col("parts")))
+        placed = settle(unit.join(parts, "unit").select("unit", "nid", block.alias("_block"))
+                        .join(root.withColumnRenamed("node", "nid"), "nid", "left").select("unit", "nid", "_block", F.coalesce("root", "nid").alias("root")))
+        of_block = placed.groupBy("unit", "_block").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+        one = of_block.select("unit", F.col("_block").alias("_lo"), "low", "high")
+        two = of_block.select("unit", F.col("_block").alias("_hi"), F.col("low").alias("low2"), F.col("high").alias("high2"))
         apart = F.least("low", "low2") < F.greatest("high", "high2")
-        meets = settle(one.join(two, "key").filter((F.col("_lo") <= F.col("_hi")) & apart).select("_lo", "_hi").distinct())
+        meets = settle(one.join(two, "unit").filter((F.col("_lo") <= F.col("_hi")) & apart).select("_lo", "_hi"))
+        placed = placed.drop("unit")
         sides = placed.join(meets, F.col("_block") == F.col("_lo")).unionByName(
             placed.join(meets.filter("_lo <> _hi"), F.col("_block") == F.col("_hi")))
         more = settle(run_cells(sides.join(bodies, "nid"), [], _cell(need, need_far, num, den), "hub long, member long").distinct())

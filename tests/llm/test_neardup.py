@@ -112,3 +112,40 @@ def test_batches_drop_only_what_cannot_link():
     alive, far = D.compare(sig, other, D.least_matches(0.85, 1e-6), D.least_matches(0.7, 1e-6))
     assert not alive[:100].any() and alive[100:].all()
     assert far[:50].all() and not far[100:].any()
+
+
+def test_units_send_no_more_rows_than_buckets(spark, monkeypatch):
+    """Small buckets that share nodes meet in one unit; a long group stays in its buckets."""
+    monkeypatch.setattr(D, "BLOCK_NODES", 8)
+    rng = random.Random(6)
+    near = [(k, x) for k in range(40) for x in rng.sample(range(100, 116), 3)]  # many buckets, few nodes
+    far = [(1000 + k, 5000 + k + d) for k in range(60) for d in (0, 1)]  # a chain
+    left = spark.createDataFrame([(k, x, 10) for k, x in near + far], "key long, nid long, n long")
+    units = {}
+    for r in D._units(left).collect():
+        units.setdefault(r.nid, set()).add(r.unit)
+    for bucket in {k for k, _ in near + far}:
+        assert set.intersection(*[units[x] for k, x in near + far if k == bucket])
+    assert all(len(units[x]) == 1 for _, x in near) and len({u for _, x in near for u in units[x]}) == 1
+    assert sum(len(u) for x, u in units.items() if x >= 5000) == len(far)
+
+
+def test_cells_of_linked_buckets_send_nodes_few_times(spark, monkeypatch):
+    sent = []
+
+    def counted(rows, *args):
+        sent.append((rows.count(), rows.select("nid").distinct().count()))
+        return run_cells(rows, *args)
+
+    run_cells = D.run_cells
+    monkeypatch.setattr(D, "run_cells", counted)
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(150):
+        t = list(base)
+        for p in rng.sample(range(len(t)), rng.choice([2, 3, 4])):
+            t[p] = f"z{rng.randrange(1000)}"
+        rows.append((i, " ".join(t)))
+    assert run(spark, rows) == brute(rows)
+    assert sent and all(n <= 2 * nodes for n, nodes in sent)
