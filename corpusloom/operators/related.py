@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions import text as T
 from ..plans import blocks
+from ..plans.joins import attach
 from ..plans.ranking import top_k
 from ..session import settle, settle_table
 
@@ -142,7 +143,7 @@ def _hot_partners(profiles: DataFrame, hot: DataFrame, cool: DataFrame, k: int,
         "pid", "key", F.lit(0).alias("role"), cut("nq").alias("_lo"), every("nm").alias("_hi"))
     answer = member.select("pid", "key").join(sizes, "key").select(
         "pid", "key", F.lit(1).alias("role"), every("nq").alias("_lo"), cut("nm").alias("_hi"))
-    cells = ask.unionByName(answer).join(profiles, "pid")
+    cells = attach(profiles, ask.unionByName(answer), "pid", "inner")
     return blocks.run_cells(cells, ["key"], _scorer(k, min_score), SCORED)
 
 
@@ -180,19 +181,21 @@ def related_docs(
     base = settle_table(base)  # text is tokenised once; what follows reads hashes and ids
     names = settle(top_k(base.select("pid", "note_name"), ["pid"], [F.col("note_name").asc()], k + 1, "nth"))
     heads = names.filter("nth = 1").select("pid", "note_name")
-    profiles = base.join(heads, ["pid", "note_name"]).withColumnRenamed("note_name", "first_name")
+    one_each = base.join(heads, ["pid", "note_name"])
 
     meet = F.transform("tags", lambda x: F.concat(F.lit("t"), x))
     if min_score <= K.CATEGORY_WEIGHT + K.KEYWORD_WEIGHT:
         meet = F.concat(meet, F.array(F.concat(F.lit("c"), "category")))
     if min_score <= K.KEYWORD_WEIGHT:
         meet = F.concat(meet, F.transform("words", lambda x: F.concat(F.lit("w"), x.cast("string"))))
-    keyed = profiles.select("pid", F.explode(meet).alias("meet"))
+    keyed = one_each.select("pid", F.explode(meet).alias("meet"))
     sizes = settle(blocks.group_sizes(keyed, ["meet"], block_rows))
-    cool = (
-        keyed.join(sizes.filter("_blocks = 1").select("meet"), "meet").join(profiles, "pid")
-        .select("*", F.lit(2).alias("role"), F.lit(0).alias("_lo"), F.lit(0).alias("_hi"))
-    )
+    # groups are found without the words; the wide rows move when each one's cells are known
+    found = keyed.join(sizes.filter("_blocks = 1").select("meet"), "meet").groupBy("pid").agg(F.collect_list("meet").alias("cool"))
+    profiles = settle_table(base.join(heads.join(found, "pid", "left"), ["pid", "note_name"]).withColumnRenamed("note_name", "first_name"))
+    cool = profiles.withColumn("meet", F.explode("cool")).drop("cool").select(
+        "*", F.lit(2).alias("role"), F.lit(0).alias("_lo"), F.lit(0).alias("_hi"))
+    profiles = profiles.drop("cool")
     scored = settle(
         blocks.run_cells(cool, ["meet"], _scorer(k, min_score), SCORED, pack_rows=128).dropDuplicates(["pid", "other_pid"]))
     hot = sizes.filter("_blocks > 1").select("meet")

@@ -62,6 +62,20 @@ def test_related_equals_brute_force(spark, seed, block, min_score):
         brute_related(docs, 4, min_score)
 
 
+def test_related_moves_words_once_to_their_cells(spark, monkeypatch):
+    """The rows of the cells come from the table of profiles without another shuffle of the words."""
+    plans, run_cells = [], related.blocks.run_cells
+
+    def planned(rows, *args, **options):
+        plans.append(rows._jdf.queryExecution().executedPlan().toString())
+        return run_cells(rows, *args, **options)
+
+    monkeypatch.setattr(related.blocks, "run_cells", planned)
+    df = spark.createDataFrame(random_docs(5, 70, 0.5), "note_name string, tags array<string>, category string, summary string")
+    assert related.related_docs(df, 4, 2.0, "[a-z]{2,4}", block_rows=8).count()
+    assert len(plans) == 2 and not any("hashpartitioning" in p for p in plans)
+
+
 # ---- duplicates ----------------------------------------------------------------------
 
 def random_pages(seed, n):
