@@ -1,9 +1,8 @@
 """Keyed state of the streams, kept by the engine's state store.
 
 Each processor handles one key at a time. What one key may hold too many rows
-of is folded in the input tasks first (``folded_outcomes``), read as a stream
-(``FirstSeen``) or kept as 17 bytes a row (``Streaks``, ``Rests``), so the
-micro-batch bounds what a task holds.
+of is read as a stream (``FirstSeen``) or kept as 17 bytes a row (``Streaks``,
+``Rests``), so the micro-batch bounds what a task holds.
 """
 
 from __future__ import annotations
@@ -12,78 +11,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import Row
 from pyspark.sql.streaming import StatefulProcessor
 
 from .. import constants as K
 
-FOLDED = "path string, fails bigint, last string, last_ord bigint, cancel_ord bigint"
-OPEN_TASK = "task_id string, status string, retry_count bigint, seq bigint, " + FOLDED.partition(", ")[2] + ", version bigint"
-
-
-def folded_outcomes(outcomes: DataFrame) -> DataFrame:
-    """path, fails, last, last_ord, cancel_ord: one row per path and Arrow batch.
-
-    What a task's end state needs can be merged in any order: the number of
-    fails, the newest outcome that is not a cancel and the newest cancel.
-    """
-
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            d = batch.to_pandas(types_mapper={pa.int64(): pd.Int64Dtype()}.get)
-            d = d[d["path"].notna() & d["outcome"].notna()]
-            if d.empty:
-                continue
-            out = d.assign(fails=(d["outcome"] == "fail").astype("int64")).groupby("path")[["fails"]].sum()
-            dated = d[d["ord"].notna()].sort_values(["ord", "outcome"])
-            acts = dated[dated["outcome"] != "cancel"].groupby("path")[["outcome", "ord"]].last()
-            out = out.join(acts.rename(columns={"outcome": "last", "ord": "last_ord"}))
-            out = out.join(dated[dated["outcome"] == "cancel"].groupby("path")["ord"].max().rename("cancel_ord"))
-            yield pa.RecordBatch.from_pandas(out.reset_index(), schema=schema, preserve_index=False)
-
-    schema = pa.schema([("path", pa.string()), ("fails", pa.int64()), ("last", pa.string()), ("last_ord", pa.int64()),
-                        ("cancel_ord", pa.int64())])
-    rows = outcomes.selectExpr("path", "CAST(ord AS BIGINT) AS ord", "outcome")
-    return rows.mapInArrow(fold, FOLDED)
-
-
-class TaskStates(StatefulProcessor):
-    """A task's row after each micro-batch that touched it; paths without a task give nothing."""
-
-    def __init__(self, max_retries: int = K.MAX_RETRIES):
-        self.max_retries = max_retries
-
-    def init(self, handle) -> None:
-        self.task = handle.getValueState("task", OPEN_TASK)
-
-    def handleInitialState(self, key, initialState, timerValues) -> None:
-        t = initialState
-        self.task.update((t["task_id"], t["status"], t["retry_count"], t["seq"], 0, None, None, None, 0))
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        found = self.task.get()
-        if found is None:
-            return
-        task_id, status, retries, seq, fails, last, last_ord, cancel_ord, version = found
-        for r in rows:
-            fails += r["fails"]
-            if r["last_ord"] is not None and (last_ord is None or (r["last_ord"], r["last"]) > (last_ord, last)):
-                last, last_ord = r["last"], r["last_ord"]
-            if r["cancel_ord"] is not None and (cancel_ord is None or r["cancel_ord"] > cancel_ord):
-                cancel_ord = r["cancel_ord"]
-        version += 1
-        self.task.update((task_id, status, retries, seq, fails, last, last_ord, cancel_ord, version))
-        tries = retries + fails
-        if last in ("done", "processing"):
-            status = last
-        elif last == "fail":
-            status = "pending" if tries < self.max_retries else "failed"
-        late = cancel_ord is not None and (last_ord is None or cancel_ord > last_ord)
-        if late and status in ("pending", "processing"):
-            status = "cancelled"
-        yield Row(task_id=task_id, path=key[0], status=status, retry_count=tries, seq=seq, version=version)
-
 
 class FirstSeen(StatefulProcessor):
     """The rows of a content in the first micro-batch that has it: the smallest path, or all of them."""

@@ -153,16 +153,43 @@ def rests(calls: DataFrame, work: str, late: str = "1 hour", trigger: dict | Non
     return _append(out.select("provider", when("start"), when("finish"), "failures", "ended_by"), work, trigger)
 
 
+def _kept(df: DataFrame, path: str) -> DataFrame:
+    """The rows of ``df`` as the first start of a stream wrote them."""
+    spark = df.sparkSession
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+        df.write.mode("overwrite").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def queue(outcomes: DataFrame, tasks: DataFrame, work: str, max_retries: int = K.MAX_RETRIES,
           trigger: dict | None = None) -> StreamingQuery:
     """Tasks that changed, per micro-batch (CHANGES rows). outcomes: path, ord, outcome.
 
-    ``tasks`` is the initial state. Each input task folds its outcomes first, so
-    a path with a third of all rows sends one row per Arrow batch; the fold
-    does not depend on the order of arrival. ``newest`` by ``version`` gives
-    the table.
+    ``tasks`` is the initial state, one row per path, kept below ``work`` at the
+    first start; paths without a task give nothing. What a task's end state
+    needs can be merged in any order of arrival: the number of fails, the newest
+    outcome that is not a cancel and the newest cancel. The engine keeps these
+    per task and merges them in the input tasks first, so a path with a third
+    of all rows sends one row per input task. ``newest`` by ``version``, the
+    number of the micro-batch, gives the table.
     """
-    first = tasks.filter("path IS NOT NULL").groupBy("path")
-    out = state.folded_outcomes(outcomes).groupBy("path").transformWithState(
-        state.TaskStates(max_retries), CHANGES, "Append", "None", first)
-    return _append(out, work, trigger)
+    first = _kept(tasks.select("path", "task_id", "status", "retry_count", "seq").filter("path IS NOT NULL"), f"{work}/tasks")
+    rows = outcomes.select("path", F.col("ord").cast("bigint").alias("ord"), "outcome").filter("outcome IS NOT NULL")
+    act = (F.col("outcome") != "cancel") & F.col("ord").isNotNull()
+    merged = rows.join(first, "path").groupBy("path", "task_id", "status", "retry_count", "seq").agg(
+        F.count_if(F.col("outcome") == "fail").alias("fails"), F.max(F.when(act, F.struct("ord", "outcome"))).alias("last"),
+        F.max(F.when(F.col("outcome") == "cancel", F.col("ord"))).alias("cancel_ord"))
+    tries, act = F.col("retry_count") + F.col("fails"), F.col("last.outcome")
+    status = (F.when(act.isin("done", "processing"), act)
+              .when(act == "fail", F.when(tries < max_retries, "pending").otherwise("failed")).otherwise(F.col("status")))
+    late = F.col("cancel_ord").isNotNull() & (F.col("last").isNull() | (F.col("cancel_ord") > F.col("last.ord")))
+    out = merged.withColumn("state", status).select(
+        "task_id", "path", F.when(late & F.col("state").isin("pending", "processing"), "cancelled").otherwise(F.col("state")).alias("status"),
+        tries.alias("retry_count"), "seq")
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{work}/out/version={batch_id}")
+
+    with _store(outcomes.sparkSession):
+        return _start(out, work, trigger).outputMode("update").foreachBatch(step).start()

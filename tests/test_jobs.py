@@ -202,6 +202,21 @@ def test_queue_stream_over_batches(spark, tmp_path):
         assert f(streams.newest(spark, work, streams.CHANGES, ["path"], "version")) == f(got)
 
 
+def test_queue_stream_merges_in_the_engine(spark, tmp_path):
+    """No Python per task, and a restart goes on from the first tasks."""
+    t = spark.createDataFrame([(f"t{i}", f"p{i}", "pending", 1, i) for i in range(3)], streams.TASKS)
+    path, work = str(tmp_path / "in"), str(tmp_path / "work")
+    start = lambda tasks: streams.queue(streams.table_stream(spark, path), tasks, work)
+    spark.createDataFrame([("p1", 1, "fail"), ("p9", 2, "done")], "path string, ord long, outcome string").write.parquet(path)
+    q = start(t)
+    q.awaitTermination()
+    assert {o["operatorName"] for o in q.lastProgress["stateOperators"]} == {"stateStoreSave"}
+    spark.createDataFrame([("p1", 3, "fail"), ("p2", 4, "cancel")], "path string, ord long, outcome string").write.mode("append").parquet(path)
+    start(t.withColumn("retry_count", F.lit(50).cast("bigint"))).awaitTermination()
+    got = streams.newest(spark, work, streams.CHANGES, ["path"], "version").select("path", "status", "retry_count")
+    assert sorted(map(tuple, got.collect())) == [("p1", "failed", 3), ("p2", "cancelled", 1)]
+
+
 def test_streams_bring_their_own_state_store(spark, tmp_path):
     key = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(key)
