@@ -46,6 +46,8 @@ BATCH = 36
 MISS = 1e-6
 #: Members that one task unit compares with a hub, nodes and shingles of a block, first rows of a block that meet another.
 MEMBERS, BLOCK_NODES, BLOCK_SHINGLES, SLICE = 256, 2048, 1 << 20, 16
+#: Steps by which buckets that share nodes come together.
+JOINED = 3
 
 
 def _factors() -> tuple[np.ndarray, np.ndarray]:
@@ -249,15 +251,17 @@ def _cell(need: np.ndarray, need_far: np.ndarray, num: int, den: int):
 def _units(left: DataFrame) -> DataFrame:
     """unit, nid, n: each bucket's nodes meet in a unit, of two ways the one that sends fewer rows.
 
-    Buckets linked by common nodes are a group. A group is one unit if, cut
-    into blocks, it sends a node no more often than the node has buckets
-    there; otherwise each of its buckets is a unit. So rows stay below those of
-    ``left`` unless a single bucket takes several blocks.
+    Buckets with common nodes take the smallest key among them, JOINED times,
+    and those of one key are a group. A group is one unit if, cut into blocks,
+    it sends a node no more often than the node has buckets there; otherwise
+    each of its buckets is a unit. So rows stay below those of ``left`` unless a
+    single bucket takes several blocks.
     """
-    first = left.groupBy("nid").agg(F.min("key").alias("first"))
-    linked = components(settle(left.join(first, "nid").select("key", "first").distinct()), "key", "first")
-    rows = settle(left.select("key", "nid", "n").join(linked.withColumnRenamed("node", "key"), "key", "left")
-                  .select("key", "nid", "n", F.coalesce("root", "key").alias("group")))
+    rows = left.select("key", "nid", "n", F.col("key").alias("group"))
+    for _ in range(JOINED):
+        of_node = rows.groupBy("nid").agg(F.min("group").alias("least"))
+        of_key = rows.join(of_node, "nid").groupBy("key").agg(F.min("least").alias("group"))
+        rows = settle(rows.drop("group").join(of_key, "key"))
     nodes = settle(rows.groupBy("group", "nid").agg(F.max("n").alias("n"), F.count("*").alias("c")))
     blocks = F.greatest(F.ceil(F.count("*") / BLOCK_NODES), F.ceil(F.sum("n") / BLOCK_SHINGLES))
     many = nodes.groupBy("group").agg((blocks * F.count("*") > F.sum("c")).alias("many")).filter("many").select("group")

@@ -119,7 +119,7 @@ def test_units_send_no_more_rows_than_buckets(spark, monkeypatch):
     monkeypatch.setattr(D, "BLOCK_NODES", 8)
     rng = random.Random(6)
     near = [(k, x) for k in range(40) for x in rng.sample(range(100, 116), 3)]  # many buckets, few nodes
-    far = [(1000 + k, 5000 + k + d) for k in range(60) for d in (0, 1)]  # a chain
+    far = [(1000 + k, x) for k in range(60) for x in (5000, 5001 + k)]  # many nodes, few in common
     left = spark.createDataFrame([(k, x, 10) for k, x in near + far], "key long, nid long, n long")
     units = {}
     for r in D._units(left).collect():
